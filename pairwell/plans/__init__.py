@@ -1 +1 @@
-"""Plans of the paired-evaluation engine."""
+"""Reversible contract plans, compiled to Column expressions over leaves."""
