@@ -56,11 +56,6 @@ def key_order(leaves: Column, scope: str = "") -> Column:
     return F.transform(inside, lambda x: F.substr(x["path"], F.lit(len(scope) + 2)))
 
 
-def general(path: Column) -> Column:
-    """A leaf's path with * for array positions."""
-    return F.regexp_replace(path, r"/\d+(?=/|$)", "/*")
-
-
 def _holds(leaf: Column, field: Field) -> Column:
     text = leaf["text"]
     out = leaf["kind"].isin(_KINDS[field.type])
@@ -83,10 +78,9 @@ def conforms(leaves: Column, contract: list[Field]) -> Column:
     """Whether an object has every required field, no undeclared one, and fitting values; null leaves do not."""
 
     def fits(leaf: Column) -> Column:
-        path = general(leaf["path"])
         out = F.when(leaf["path"] == "", leaf["kind"] == "object")
         for field in contract:
-            out = out.when(path == field.path, F.coalesce(_holds(leaf, field), F.lit(False)))
+            out = out.when(leaf["shape"] == field.path, F.coalesce(_holds(leaf, field), F.lit(False)))
         return out.otherwise(False)
 
     present = F.transform(leaves, lambda x: x["path"])

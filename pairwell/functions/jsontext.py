@@ -1,8 +1,8 @@
 """Strict JSON texts as arrays of leaves.
 
-One small Arrow helper reads a response into leaves (path, kind, text); every contract check, transform and
-score is a native expression over that array. A leaf's path joins keys and positions with /; the root is
-the empty path. Kinds: null, boolean, integer, integral (a float without fraction), number, string, object,
+One small Arrow helper reads a response into leaves (path, shape, kind, text); every contract check, transform
+and score is a native expression over that array. A leaf's path joins keys and positions with /, its shape has
+* for positions; the root is the empty path. Kinds: null, boolean, integer, integral (a float without fraction), number, string, object,
 array. Objects keep the order of keys; of a repeated key the last value counts.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
+LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
 READ = T.StructType([T.StructField("whole", T.BooleanType()), T.StructField("recovered", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("leaves", T.ArrayType(LEAF))])
 
 
@@ -34,13 +34,13 @@ def _kind(value: Any) -> tuple[str, str | None]:
 
 
 def _leaves(value: Any) -> list[dict]:
-    out, todo = [], [("", value)]
+    out, todo = [], [("", "", value)]
     while todo:
-        path, value = todo.pop()
+        path, shape, value = todo.pop()
         kind, text = _kind(value)
-        out.append({"path": path, "kind": kind, "text": text})
+        out.append({"path": path, "shape": shape, "kind": kind, "text": text})
         inner = value.items() if kind == "object" else enumerate(value) if kind == "array" else ()
-        todo += [(f"{path}/{k}", v) for k, v in reversed(list(inner))]
+        todo += [(f"{path}/{k}", f"{shape}/{k if kind == 'object' else '*'}", v) for k, v in reversed(list(inner))]
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import contracts, numbers
@@ -31,32 +31,31 @@ def baseline_score(read: Column, order: tuple[str, str]) -> Column:
     )
 
 
-def layered_score(read: Column, gold: Column, order: tuple[str, str], representation: str) -> Column:
-    """Layers of a response: whole object, internal contract, semantics, external contract, and both together.
+def layered_score(rows: DataFrame, read: str, gold: str, order: tuple[str, str], representation: str) -> DataFrame:
+    """rows with s, the layers of a response: whole object, internal contract, semantics, external contract, and both.
 
     Only a whole object can satisfy a contract; the answer may also come from a recovered one. The external
     answer is a canonical integer string; an internal integer is turned into one.
     """
-    leaves = read["leaves"]
-    whole = F.when(read["whole"], leaves)
-    internal = contracts.conforms(whole, contracts.answer_contract(representation, order))
-    if representation == "integer":
-        plan = Plan(tuple(contracts.answer_contract("signed_string", order)), (IntegerString("/answer"),))
-        external = internal & plan.run(whole)["code"].isNull()
-    else:
-        external = internal & contracts.conforms(whole, contracts.answer_contract("signed_string", order))
-    answer = numbers.canonical_number(predicted_answer(leaves))
-    semantic = F.coalesce(answer == numbers.canonical_number(gold), F.lit(False))
-    return F.struct(
-        read["whole"].alias("whole"),
-        read["recovered"].alias("recovered"),
-        internal.alias("internal_valid"),
+    r = F.col(read)
+    whole = F.when(r["whole"], r["leaves"])
+    external = tuple(contracts.answer_contract("signed_string", order))
+    plan = Plan(external, (IntegerString("/answer"),) if representation == "integer" else ())
+    keep = rows.columns
+    out = plan.run(rows, whole).withColumns({"__internal": contracts.conforms(whole, contracts.answer_contract(representation, order)), "__answer": numbers.canonical_number(predicted_answer(r["leaves"])), "__gold": numbers.canonical_number(F.col(gold))})
+    semantic = F.coalesce(F.col("__answer") == F.col("__gold"), F.lit(False))
+    valid = F.col("__internal") & F.col("code").isNull()
+    score = F.struct(
+        r["whole"].alias("whole"),
+        r["recovered"].alias("recovered"),
+        F.col("__internal").alias("internal_valid"),
         F.coalesce(contracts.key_order(whole) == F.array(*map(F.lit, order)), F.lit(False)).alias("order_matches"),
-        answer.alias("predicted"),
+        F.col("__answer").alias("predicted"),
         semantic.alias("semantic_correct"),
-        external.alias("external_valid"),
-        (semantic & external).alias("contract_valid_correct"),
+        valid.alias("external_valid"),
+        (semantic & valid).alias("contract_valid_correct"),
     )
+    return out.select(*keep, score.alias("s"))
 
 
 def tool_contract(name: str, arguments: list[contracts.Field]) -> list[contracts.Field]:
@@ -71,30 +70,31 @@ def equal_values(kind: Column, text: Column, other_kind: Column, other_text: Col
     return F.coalesce(F.when(both, numbers.canonical_number(text) == numbers.canonical_number(other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
 
 
-def tool_score(read: Column, name: str, arguments: list[contracts.Field], accepted: dict[str, Column]) -> Column:
-    """Whether a call selects the tool, satisfies the internal and external contracts, gives accepted values, and succeeds.
+def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field], accepted: dict[str, Column]) -> DataFrame:
+    """rows with s: whether a call selects the tool, satisfies the internal and external contracts, gives accepted
+    values, and succeeds.
 
-    Integers may come as canonical strings only outside; accepted holds one wanted text per argument path.
-    receipt is the digest of the state after the one call, null if it cannot be executed.
+    accepted holds one wanted text per argument path. receipt is the digest of the state after the one call,
+    null if it cannot be executed.
     """
-    whole = F.when(read["whole"], read["leaves"])
-    contract = tool_contract(name, arguments)
+    whole = F.when(F.col(read)["whole"], F.col(read)["leaves"])
     external = tool_contract(name, contracts.integers_as_strings(arguments))
-    internal = contracts.conforms(whole, contract)
     steps = tuple(IntegerString(f.path) for f in arguments if f.type == "integer")
-    run = Plan(tuple(external), steps).run(whole)
-    valid = internal & run["code"].isNull()
+    keep = rows.columns
+    out = Plan(tuple(external), steps).run(rows, whole).withColumn("__internal", contracts.conforms(whole, tool_contract(name, arguments)))
+    valid = F.col("__internal") & F.col("code").isNull()
     right = F.lit(True)
     for path, wanted in accepted.items():
-        right = right & F.coalesce(contracts.text_at(run["external"], path) == wanted, F.lit(False))
-    state = F.array_join(F.array_sort(F.transform(run["external"], lambda x: F.concat_ws("=", x["path"], x["text"]))), "\n")
-    selected = F.coalesce(contracts.text_at(whole, "/name") == name, F.lit(False))
-    return F.struct(
-        read["whole"].alias("whole"),
-        selected.alias("selected"),
-        internal.alias("internal_valid"),
-        valid.alias("external_valid"),
-        (valid & right).alias("arguments_correct"),
-        (selected & valid & right).alias("success"),
-        F.when(valid, F.sha2(state.cast("binary"), 256)).alias("receipt"),
+        right = right & F.coalesce(contracts.text_at(F.col("external"), path) == wanted, F.lit(False))
+    state = F.array_join(F.array_sort(F.transform("external", lambda x: F.concat_ws("=", x["path"], x["text"]))), "\n")
+    out = out.withColumns({"__valid": valid, "__right": valid & right, "__selected": F.coalesce(contracts.text_at(whole, "/name") == name, F.lit(False))})
+    score = F.struct(
+        F.col(read)["whole"].alias("whole"),
+        F.col("__selected").alias("selected"),
+        F.col("__internal").alias("internal_valid"),
+        F.col("__valid").alias("external_valid"),
+        F.col("__right").alias("arguments_correct"),
+        (F.col("__selected") & F.col("__right")).alias("success"),
+        F.when(F.col("__valid"), F.sha2(state.cast("binary"), 256)).alias("receipt"),
     )
+    return out.select(*keep, score.alias("s"))

@@ -22,9 +22,10 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def checked_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows, failing at run time if a key is repeated."""
-    n = repeated(rows, keys).agg(F.count("*").alias("n"))
-    guard = n.select(F.when(F.col("n") > 0, F.raise_error(F.concat(F.col("n").cast("string"), F.lit(" repeated keys")))).otherwise(F.lit(True)).alias("ok"))
-    return rows.join(F.broadcast(guard), F.lit(True) == F.col("ok")).drop("ok")
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct(*rest)).alias("row"))
+    checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated keys: "), F.to_json(F.struct(*keys))))).otherwise(F.col("row"))
+    return one.select(*keys, checked.alias("row")).select(*keys, "row.*")
 
 
 def paired(rows: DataFrame, comparisons: list[tuple[str, str, str]], by: list[str], item: str = "item_id", condition: str = "condition") -> DataFrame:
@@ -82,8 +83,7 @@ def field_differences(left: DataFrame, right: DataFrame, keys: list[str], fields
 
 def field_agreement(differences: DataFrame, pairs: DataFrame, fields: list[str], item: str) -> DataFrame:
     """Per field the pairs that agree and those that do not, fields without a difference included."""
-    total = pairs.agg(F.count("*").alias("pairs"))
-    named = differences.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    named = pairs.agg(F.count("*").alias("pairs")).select("pairs", F.explode(F.array(*map(F.lit, fields))).alias("field"))
     counts = differences.groupBy("field").agg(F.count("*").alias("differing"), F.min(item).alias("first_item"))
-    joined = named.join(counts, "field", "left").join(F.broadcast(total))
-    return joined.select("field", (F.col("pairs") - F.coalesce("differing", F.lit(0))).alias("agreeing"), F.coalesce("differing", F.lit(0)).alias("differing"), "first_item")
+    differing = F.coalesce("differing", F.lit(0))
+    return named.join(counts, "field", "left").select("field", (F.col("pairs") - differing).alias("agreeing"), differing.alias("differing"), "first_item")

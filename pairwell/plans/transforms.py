@@ -12,10 +12,10 @@ import json
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions.contracts import CANONICAL_SEARCH, Field, conforms, general, is_canonical_integer, key_order
+from pairwell.functions.contracts import CANONICAL_SEARCH, Field, conforms, is_canonical_integer, key_order
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,13 @@ class IntegerString:
 
     def inverse(self, leaves: Column) -> Column:
         def back(x: Column) -> Column:
-            mine = (general(x["path"]) == self.path) & (x["kind"] == "integer")
-            return F.struct(x["path"].alias("path"), F.when(mine, "string").otherwise(x["kind"]).alias("kind"), x["text"].alias("text"))
+            mine = (x["shape"] == self.path) & (x["kind"] == "integer")
+            return x.withField("kind", F.when(mine, "string").otherwise(x["kind"]))
 
         return F.transform(leaves, back)
 
     def reversible(self, leaves: Column) -> Column:
-        return F.forall(leaves, lambda x: (general(x["path"]) != self.path) | (x["kind"].isin("integer", "string") & is_canonical_integer(x["text"])))
+        return F.forall(leaves, lambda x: (x["shape"] != self.path) | (x["kind"].isin("integer", "string") & is_canonical_integer(x["text"])))
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,8 @@ class KeyAlias:
         return [replace(f, path=f"/{self.alias}" + f.path[len(self.key) + 1 :]) if f.path == f"/{self.key}" or f.path.startswith(f"/{self.key}/") else f for f in contract]
 
     def inverse(self, leaves: Column) -> Column:
-        return F.transform(leaves, lambda x: F.struct(F.regexp_replace(x["path"], rf"\A/{self.alias}(?=/|\z)", f"/{self.key}").alias("path"), x["kind"].alias("kind"), x["text"].alias("text")))
+        back = lambda path: F.regexp_replace(path, rf"\A/{self.alias}(?=/|\z)", f"/{self.key}")
+        return F.transform(leaves, lambda x: x.withField("path", back(x["path"])).withField("shape", back(x["shape"])))
 
     def reversible(self, leaves: Column) -> Column:
         return F.forall(leaves, lambda x: ~x["path"].rlike(rf"\A/{self.key}(?:/|\z)"))
@@ -132,19 +133,23 @@ class Plan:
         body = {"external": [asdict(f) for f in self.external], "steps": [[type(s).__name__, asdict(s)] for s in self.steps]}
         return hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
-    def run(self, leaves: Column) -> Column:
-        """struct(code, external): code null and the external leaves, or the first failing stage and null."""
-        back, broken = leaves, F.lit(False)
-        for step in self.steps:
-            broken = broken | ~F.coalesce(step.reversible(back), F.lit(False))
-            back = step.inverse(back)
+    def run(self, rows: DataFrame, leaves: Column) -> DataFrame:
+        """rows with code and external: code null and the external leaves, or the first failing stage and null.
+
+        Every step is a column of its own, computed once, however often later ones refer to it.
+        """
+        names = [f"__step_{i}" for i in range(len(self.steps) + 1)]
+        out, broken = rows.withColumn(names[0], leaves), F.lit(False)
+        for step, before, after in zip(self.steps, names, names[1:], strict=False):
+            broken = broken | ~F.coalesce(step.reversible(F.col(before)), F.lit(False))
+            out = out.withColumn(after, step.inverse(F.col(before)))
         code = (
-            F.when(leaves.isNull(), "no_object")
-            .when(~conforms(leaves, self.internal()), "internal_invalid")
+            F.when(F.col(names[0]).isNull(), "no_object")
+            .when(~conforms(F.col(names[0]), self.internal()), "internal_invalid")
             .when(broken, "not_reversible")
-            .when(~conforms(back, list(self.external)), "external_invalid")
+            .when(~conforms(F.col(names[-1]), list(self.external)), "external_invalid")
         )
-        return F.struct(code.alias("code"), F.when(code.isNull(), back).alias("external"))
+        return out.withColumn("code", code).withColumn("external", F.when(F.col("code").isNull(), F.col(names[-1]))).drop(*names)
 
 
 def rendered(leaves: Column, scope: str = "") -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell import queries_layers as layers
 from pairwell.functions import contracts, jsontext, numbers, scoring, stats
 from pairwell.operators import catalogue, pairing, profiles, report, selection, validation
 from pairwell.plans.transforms import FieldOrder, IntegerString, KeyAlias, Plan, ScratchField, rendered
@@ -505,14 +506,15 @@ def sco_01_baseline_score(spark, sf_dir):
 @query
 def sco_02_layered_score(spark, sf_dir):
     read = responses(spark, sf_dir).select("pos", "gold_answer", jsontext.read_response("raw_output").alias("r"))
-    return read.select("pos", scoring.layered_score(F.col("r"), F.col("gold_answer"), ORDER, "integer").alias("s")).select("pos", "s.*")
+    return scoring.layered_score(read, "r", "gold_answer", ORDER, "integer").select("pos", "s.*")
 
 
 @query
 def sco_06_rescore_difference(spark, sf_dir):
     """Verdicts that change when an integer contract is replaced by one for strings."""
     read = responses(spark, sf_dir).select("pos", "gold_answer", jsontext.read_response("raw_output").alias("r"))
-    both = read.select("pos", scoring.layered_score(F.col("r"), F.col("gold_answer"), ORDER, "integer").alias("a"), scoring.layered_score(F.col("r"), F.col("gold_answer"), ORDER, "signed_string").alias("b"))
+    one = scoring.layered_score(read, "r", "gold_answer", ORDER, "integer").withColumnRenamed("s", "a")
+    both = scoring.layered_score(one, "r", "gold_answer", ORDER, "signed_string").withColumnRenamed("s", "b")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").alias("before"), F.col(f"b.{f}").alias("after")) for f in ("internal_valid", "external_valid", "contract_valid_correct")])
     return both.select("pos", F.explode(cells).alias("x")).select("pos", "x.*").filter("before <> after")
 
@@ -524,7 +526,7 @@ _ARGUMENTS = [contracts.Field("/arguments/sku", "string"), contracts.Field("/arg
 def sco_03_tool_score(spark, sf_dir):
     read = tool_calls(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "wanted_quantity", jsontext.read_call("raw_output").alias("r"))
     accepted = {"/arguments/quantity_delta": F.col("wanted_quantity"), "/arguments/sku": F.concat(F.lit("P"), F.col("l_partkey").cast("string"))}
-    found = read.select("l_orderkey", "l_linenumber", scoring.tool_score(F.col("r"), "adjust_stock", _ARGUMENTS, accepted).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+    found = scoring.tool_score(read, "r", "adjust_stock", _ARGUMENTS, accepted).select("l_orderkey", "l_linenumber", "s.*")
     return found.withColumn("receipt", F.col("receipt").isNotNull())
 
 
@@ -542,8 +544,7 @@ def trf_07_transduce(spark, sf_dir):
     answer = F.when(F.col("pos") % 7 == 0, F.concat(k, F.lit(".0"))).otherwise(k)
     raw = F.concat(F.lit("{"), scratch, F.lit('"why": "it is '), k, F.lit('", "answer": '), answer, F.lit("}"))
     read = runs(spark, sf_dir).select("pos", jsontext.read_response(raw).alias("r"))
-    done = read.select("pos", answer_plan().run(F.col("r.leaves")).alias("x"))
-    return done.select("pos", F.col("x.code").alias("code"), rendered(F.col("x.external")).alias("external"))
+    return answer_plan().run(read, F.col("r.leaves")).select("pos", "code", rendered(F.col("external")).alias("external"))
 
 
 @query
@@ -585,9 +586,9 @@ def agg_27_canonical_delta(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | layers.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return dict(SQL)
 

@@ -281,3 +281,98 @@ SELECT item_id, """
 }
 _GATE = SQL["val_01_violations"].replace("\nSELECT condition AS scope", ",\nv AS (SELECT condition AS scope", 1)
 SQL["val_07_gate"] = _GATE + ") SELECT c.scope, coalesce(string_agg(\"check\", ',' ORDER BY \"check\"), '') AS failed, count(\"check\") = 0 AS passes FROM (SELECT DISTINCT condition AS scope FROM runs) c LEFT JOIN v USING (scope) GROUP BY c.scope"
+
+SQL |= {
+    "src_04_inventory": 'SELECT source, count(*) AS "rows", count(DISTINCT doc_id) AS distinct_keys, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source',
+    "fil_03_single_condition": _RUNS + " SELECT item_id, count(DISTINCT condition) AS conditions, count(*) AS \"rows\" FROM runs WHERE condition = 'click' GROUP BY item_id",
+    "fil_05_losses": _ARMS + " SELECT item_id, comparison FROM pairs WHERE cc AND NOT tc",
+    "fil_06_negative_answers": _RUNS + " SELECT condition AS comparison, count(*) AS n FROM runs WHERE answer LIKE '-%' GROUP BY 1",
+    "fil_07_no_negative_gold": _RUNS + " SELECT condition, true AS holds FROM runs GROUP BY condition",
+    "prj_02_rest_of_config": _ARMS.replace("x.error AS te", "x.hit_max_new_tokens AS th, y.hit_max_new_tokens AS ch, x.error AS te")
+    + " SELECT comparison, count(*) FILTER (th = ch AND te IS NOT DISTINCT FROM ce) AS same, count(*) FILTER (NOT (th = ch AND te IS NOT DISTINCT FROM ce)) AS other FROM pairs GROUP BY comparison",
+    "prj_06_aliases": _RUNS + " SELECT pos, correct AS correct_exact, coalesce(strict, correct) AS correct_exact_strict FROM runs",
+    "prj_08_typed_options": "SELECT o_orderkey, CAST(2 AS BIGINT) AS integers FROM orders",
+    "jon_04_zip": _RUNS
+    + """,
+n AS (SELECT condition, correct, row_number() OVER (PARTITION BY condition ORDER BY pos) AS i FROM runs WHERE condition IN ('click', 'view'))
+SELECT count(*) AS pairs, count(*) FILTER (c.correct AND v.correct) AS both_correct FROM n c JOIN n v ON c.i = v.i AND c.condition = 'click' AND v.condition = 'view'""",
+    "jon_11_lookup": "SELECT o_orderpriority, count(*) AS lines, count(*) FILTER (o_orderkey IS NULL) AS missing FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "agg_03_consistency_profile": _SHAPES
+    + f""",
+v AS (
+  SELECT condition, shape NOT IN (4, 5, 6) AND k = gold AS semantic, shape IN (0, 7) AND k = gold AS valid,
+         shape = 7 AND k <> 7 AS inconsistent, shape IN (4, 5, 6) AS not_assessable FROM s
+)
+SELECT condition, count(*) AS examples, count(*) FILTER (semantic) AS semantic, count(*) FILTER (valid) AS contract_valid,
+       {_wilson("count(*) FILTER (valid)", "count(*)")[0]} AS low, {_wilson("count(*) FILTER (valid)", "count(*)")[1]} AS high,
+       count(*) FILTER (inconsistent) AS inconsistent, count(*) FILTER (not_assessable) AS not_assessable
+FROM v GROUP BY condition""",
+    "agg_04_tool_profile": _CALLS
+    + """,
+f AS (SELECT l_linenumber, l_linenumber < 7 AS w, l_linenumber IN (1, 3, 4, 5, 6) AS s, l_linenumber IN (1, 5) AS i, l_linenumber = 1 AS e, l_linenumber = 1 AND wanted = given AS a FROM calls)
+SELECT l_linenumber, count(*) AS calls, round(avg(CAST(w AS INT)), 9) AS whole, round(avg(CAST(s AS INT)), 9) AS selected, round(avg(CAST(i AS INT)), 9) AS internal_valid,
+       round(avg(CAST(e AS INT)), 9) AS external_valid, round(avg(CAST(a AS INT)), 9) AS arguments_correct, round(avg(CAST(a AS INT)), 9) AS success, count(*) FILTER (i AND NOT e) AS transduction_failures
+FROM f GROUP BY l_linenumber""",
+    "sco_05_receipts": _CALLS
+    + """
+SELECT l_orderkey, l_linenumber, sha256(array_to_string(list_sort(['=2', '/arguments=3', '/arguments/bins=2', '/arguments/bins/0=1', '/arguments/bins/1=2', '/arguments/quantity_delta=' || given, '/arguments/sku=P' || l_partkey, '/name=adjust_stock']), chr(10))) AS receipt
+FROM calls WHERE l_linenumber = 1""",
+    "agg_08_latency_per_token": _RUNS + " SELECT item_id, round(avg(CASE WHEN generated_tokens > 0 THEN latency_ms / generated_tokens END), 6) AS latency_per_token FROM runs GROUP BY item_id",
+    "agg_10_conditional_counts": _RUNS + " SELECT condition, count(error) AS errors, count(*) FILTER (hit_max_new_tokens) AS cap_hits, count(*) FILTER (strict IS NULL) AS blank, count(*) FILTER (correct AND error IS NULL) AS clean FROM runs GROUP BY condition",
+    "agg_12_mcnemar_by_brand": """
+WITH l AS (SELECT l_partkey AS item_id, l_returnflag AS condition, l_orderkey * 8 + l_linenumber AS pos, l_quantity > 25 AS correct FROM lineitem),
+arms AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY item_id, condition ORDER BY pos DESC, correct DESC) = 1),
+pairs AS (SELECT p_brand AS comparison, x.correct AS tc, y.correct AS cc FROM arms x JOIN arms y ON x.item_id = y.item_id AND x.condition = 'A' AND y.condition = 'N' JOIN part ON p_partkey = x.item_id)"""
+    + _counts("pairs", "tc", "cc")
+    + " SELECT comparison AS p_brand, pairs, treatment_only, control_only, round(mcnemar_p, 9) AS p FROM tested",
+    "agg_21_conjunction": _RUNS + " SELECT condition, bool_and(latency_ms > 0 AND generated_tokens <= 99) AS holds FROM runs GROUP BY condition",
+    "agg_23_repair_summary": _ARMS + " SELECT comparison, count(*) AS available, count(*) FILTER (tc) AS repaired, min(item_id) FILTER (tc) AS first_repaired FROM pairs WHERE NOT cc GROUP BY comparison",
+    "agg_24_totals": " UNION ALL ".join(f"SELECT '{t}' AS scope, count(*) AS \"rows\" FROM {t}" for t in ("events", "documents", "conversations", "labels", "benchmark")),
+    "win_04_last_rows": _ARMS + " SELECT item_id, condition, pos, answer FROM arms",
+    "win_05_canary_rows": _RUNS + " SELECT condition, pos, item_id FROM runs QUALIFY row_number() OVER (PARTITION BY condition ORDER BY pos) <= 3",
+    "srt_01_sorted_groups": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL",
+    "smp_03_parity_selection": _ARMS + " SELECT comparison, item_id, tc <> cc AS discordant FROM pairs WHERE tc <> cc OR left(md5(item_id), 1) < '4'",
+    "set_01_union_all": "SELECT c_custkey AS key, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, NULL FROM supplier",
+    "set_02_intersection": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "set_05_overlap": "SELECT count(*) AS overlap FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "scl_04_whole_object": _SHAPES + " SELECT pos, shape NOT IN (1, 2, 6) AS whole, CASE WHEN shape IN (1, 2, 6) THEN 'invalid_json' END AS error FROM s",
+    "scl_05_recovered": _SHAPES + " SELECT pos, 'integer' AS kind, CAST(k AS VARCHAR) AS text FROM s WHERE shape IN (1, 2)",
+    "scl_05b_sliced": _SHAPES + " SELECT pos, shape <> 6 AS whole FROM s",
+    "scl_06_answers": _SHAPES + " SELECT pos, CASE WHEN shape NOT IN (4, 5, 6) THEN CAST(k AS VARCHAR) END AS strict, CASE WHEN shape = 4 THEN k || '.0' WHEN shape NOT IN (5, 6) THEN CAST(k AS VARCHAR) END AS lax FROM s",
+    "scl_08_key_order": _SHAPES + " SELECT pos, CASE shape WHEN 6 THEN NULL WHEN 7 THEN 'answer,reasoning' ELSE 'reasoning,answer' END AS keys FROM s",
+    "scl_09_consistency": _SHAPES + " SELECT pos, CASE WHEN shape IN (4, 5, 6) THEN 'not_assessable' WHEN shape = 7 AND k <> 7 THEN 'inconsistent' ELSE 'consistent' END AS verdict FROM s",
+    "scl_10_sign_inverse": _ARMS + f" SELECT comparison, item_id, {_SIGN} AS flipped FROM pairs",
+    "scl_15_percent": _RUNS + " SELECT item_id, printf('%.1f%%', 100 * (count(*) FILTER (correct) / 8.0)) AS shown FROM runs GROUP BY item_id",
+    "scl_17_equal_values": "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS as_number, false AS as_text FROM lineitem",
+    "scl_18_accepted_options": "SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AS accepted FROM orders",
+    "scl_19_cap_hits": _RUNS + " SELECT pos, k >= 90 AS cap FROM runs",
+    "scl_20_prompt_parity": "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS conversations FROM conversations WHERE turn = 0 GROUP BY 1 HAVING count(*) > 1",
+    "sch_01_contracts": _SHAPES + ' SELECT pos, shape IN (0, 4, 7) AS "integer", shape = 3 AS signed_string, shape = 3 AS "string" FROM s',
+    "trf_01_integer_string": _RUNS
+    + """,
+a AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN '-0' ELSE answer END AS a FROM runs)
+SELECT pos, NULL AS code, '{"reasoning":"r","answer":"' || CASE WHEN a = '-0' THEN '0' ELSE a END || '"}' AS external FROM a""",
+    "trf_02_key_alias": _RUNS + """ SELECT pos, CASE WHEN pos % 3 = 0 THEN 'internal_invalid' END AS code, CASE WHEN pos % 3 <> 0 THEN '{"reasoning":"r","answer":"' || k || '"}' END AS external FROM runs""",
+    "trf_03_field_order": _RUNS + """ SELECT pos, NULL AS code, '{"answer":"' || k || '","reasoning":"r"}' AS external FROM runs""",
+    "trf_04_scratch_field": _RUNS + """ SELECT pos, CASE WHEN pos % 4 = 0 THEN 'internal_invalid' END AS code, CASE WHEN pos % 4 <> 0 THEN '{"reasoning":"r","answer":"' || k || '"}' END AS external FROM runs""",
+    "trd_02_tool_arguments": _CALLS
+    + """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 5 THEN 'not_reversible' WHEN l_linenumber = 7 THEN 'no_object' ELSE 'internal_invalid' END AS code,
+       CASE WHEN l_linenumber = 1 THEN 'string' END AS kind, CASE WHEN l_linenumber = 1 THEN CAST(given AS VARCHAR) END AS quantity
+FROM calls""",
+    "sco_04_smoke_score": _SHAPES
+    + """,
+n AS (SELECT *, CASE WHEN shape = 4 THEN k || '.0' WHEN shape = 7 THEN '7' ELSE CAST(k AS VARCHAR) END AS last FROM s)
+SELECT pos, shape <> 6 AS object, last AS last_number, last = CAST(gold AS VARCHAR) AS correct FROM n""",
+    "hsh_01_text_digests": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "val_02_coverage": _RUNS
+    + """
+SELECT c.condition, count(h.item_id) AS covered, count(*) - count(h.item_id) AS missing
+FROM (SELECT DISTINCT condition FROM runs) c CROSS JOIN (SELECT DISTINCT item_id FROM runs) i LEFT JOIN (SELECT DISTINCT item_id, condition FROM runs) h ON h.item_id = i.item_id AND h.condition = c.condition
+GROUP BY c.condition""",
+    "val_05_rescore": _SHAPES + " SELECT condition, count(*) FILTER ((shape NOT IN (4, 5, 6) AND k = gold) <> (k = gold)) AS changed, count(*) AS \"rows\" FROM s GROUP BY condition",
+    "val_08_stage_gate": "SELECT o_orderstatus AS scope, CASE WHEN count(*) FILTER (o_orderpriority = '5-LOW') > 0 THEN 'known_priority' ELSE '' END AS failed, count(*) FILTER (o_orderpriority = '5-LOW') = 0 AS passes FROM orders GROUP BY 1",
+    "val_09_unlabelled": 'SELECT source, count(*) FILTER (quality IS NULL) AS open, count(*) AS "all" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source',
+    "val_10_contains_facts": "SELECT lang, count(*) FILTER (contains(coalesce(text, ''), 'the')) AS required, count(*) FILTER (contains(coalesce(text, ''), 'password')) AS forbidden FROM documents GROUP BY lang",
+    "val_11_cross_check": _ARMS + _counts("pairs", "tc", "cc") + " SELECT comparison, treatment_only, control_only, true AS agrees FROM tested",
+}

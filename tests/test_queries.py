@@ -1,10 +1,13 @@
 import pytest
 
-from pairwell.queries import _QUERIES
+from pairwell.queries import queries
 from pairwell.queries_sql import SQL
 from tests.oracle import assert_same
 
 
+_QUERIES = queries()
+
+
 @pytest.mark.parametrize("name", sorted(_QUERIES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert_same(_QUERIES[name](spark, sf_dir), SQL[name], sf_dir)

@@ -14,6 +14,11 @@ def column(spark, values, f):
     return [r.x for r in rows.select("i", f(F.col("v")).alias("x")).orderBy("i").collect()]
 
 
+def read_rows(spark, values, read=jsontext.read_response):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").coalesce(1)
+    return rows.select("i", read("v").alias("r"))
+
+
 def test_canonical_number(spark):
     given = ["$1,200.00", "2/4", "18.0", "007", "-3.50", "abc X", "", None, "12.", "1e5", "3/0", "-12", "9" * 40]
     assert column(spark, given, numbers.canonical_number) == ["1200", "1/2", "18", "7", "-3.5", "abc x", None, None, "12", "100000", "3/0", "-12", "9" * 40]
@@ -46,7 +51,7 @@ def test_reading_is_strict(spark):
 
 def test_layers(spark):
     given = ['{"reasoning": "r", "answer": 18}', '{"reasoning": "r", "answer": "18"}', '{"reasoning": "r", "answer": 18.0}', '{"reasoning": "r", "answer": true}', '{"reasoning": "r", "answer": 18} ok', '{"answer": 18, "reasoning": "r"}', '{"reasoning": "r", "answer": 18, "x": 1}', '{"reasoning": "' + "r" * 257 + '", "answer": 18}']
-    got = column(spark, given, lambda v: scoring.layered_score(jsontext.read_response(v), F.lit("18"), ORDER, "integer"))
+    got = [r.s for r in scoring.layered_score(read_rows(spark, given).withColumn("gold", F.lit("18")), "r", "gold", ORDER, "integer").orderBy("i").collect()]
     assert [g.internal_valid for g in got] == [True, False, True, False, False, True, False, False]
     assert [g.external_valid for g in got] == [True, False, False, False, False, True, False, False]
     assert [g.semantic_correct for g in got] == [True, True, False, False, True, True, True, True]
@@ -57,8 +62,8 @@ def test_layers(spark):
 def test_huge_integers_survive(spark):
     big = "9" * 300
     plan = Plan(tuple(contracts.answer_contract("signed_string", ORDER)), (IntegerString("/answer"),))
-    got = column(spark, [f'{{"reasoning": "r", "answer": -{big}}}'], lambda v: rendered(plan.run(jsontext.read_response(v)["leaves"])["external"]))
-    assert json.loads(got[0]) == {"reasoning": "r", "answer": "-" + big}
+    got = plan.run(read_rows(spark, [f'{{"reasoning": "r", "answer": -{big}}}']), F.col("r.leaves")).select(rendered(F.col("external")).alias("x")).first()
+    assert json.loads(got.x) == {"reasoning": "r", "answer": "-" + big}
 
 
 def test_plan_round_trip_and_refusals(spark):
@@ -68,7 +73,7 @@ def test_plan_round_trip_and_refusals(spark):
     assert [f.path for f in plan.internal()] == ["/scratch", "/why", "/answer"]
     assert plan.digest() == Plan(external, steps).digest() != Plan(external, steps[1:]).digest()
     given = ['{"scratch": "s", "why": "a \\"b\\"", "answer": 3}', '{"why": "w", "answer": 3}', '{"scratch": "s", "why": "w", "answer": 3.0}', '{"scratch": "longer", "why": "w", "answer": 3}', "no"]
-    got = column(spark, given, lambda v: plan.run(jsontext.read_response(v)["leaves"]))
+    got = plan.run(read_rows(spark, given), F.col("r.leaves")).orderBy("i").collect()
     assert [g.code for g in got] == [None, "internal_invalid", "not_reversible", "internal_invalid", "no_object"]
     assert [(x.path, x.kind, x.text) for x in got[0].external] == [("", "object", "3"), ("/answer", "string", "3"), ("/reasoning", "string", 'a "b"')]
     assert all(g.external is None for g in got[1:])
@@ -85,7 +90,7 @@ def test_plan_round_trip_and_refusals(spark):
 def test_tool_score(spark):
     args = [contracts.Field("/arguments/sku", "string"), contracts.Field("/arguments/n", "integer"), contracts.Field("/arguments/bins", "array"), contracts.Field("/arguments/bins/*", "integer", required=False)]
     given = ['{"name": "t", "arguments": {"sku": "a", "n": -5, "bins": [1]}}', '{"name": "u", "arguments": {"sku": "a", "n": -5, "bins": []}}', '{"name": "t", "arguments": {"sku": "a", "n": "-5", "bins": []}}', '{"name": "t", "arguments": {"sku": "a", "n": 5, "bins": []}}', '{"name": "t"}']
-    got = column(spark, given, lambda v: scoring.tool_score(jsontext.read_call(v), "t", args, {"/arguments/n": F.lit("-5")}))
+    got = [r.s for r in scoring.tool_score(read_rows(spark, given, jsontext.read_call), "r", "t", args, {"/arguments/n": F.lit("-5")}).orderBy("i").collect()]
     assert [(g.selected, g.internal_valid, g.arguments_correct, g.success) for g in got] == [(True, True, True, True), (False, False, False, False), (True, False, False, False), (True, True, False, False), (True, False, False, False)]
     assert got[0].receipt and got[4].receipt is None
 
