@@ -108,7 +108,7 @@ class Lattice:
 
 def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of two kinds by block of documents. With places: a document, the numbers of its words in the
-    block and how often it has each (int32). With word: a distinct word of the block, its number (place)
+    block (int32, each as the step from the one before) and how often it has each (int32). With word: a distinct word of the block, its number (place)
     and how often training documents have it (trained)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"block string, doc_id {kind}, held boolean, places binary, times binary, place int, word binary, trained long"
@@ -129,12 +129,16 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
             pair, times = np.unique(doc * np.int64(max(1, n)) + where, return_counts=True)
             owner, place = pair // max(1, n), pair % max(1, n)
             ends = np.searchsorted(owner, np.arange(len(held) + 1)).tolist()
-            place, times = place.astype("<i4"), times.astype("<i4")
+            times = times.astype("<i4")
             train = ~held[owner].astype(bool)
             trained = np.bincount(place[train], times[train], n).astype(np.int64)
             spans = list(zip(ends[:-1], ends[1:], strict=True))
+            steps = np.diff(place, prepend=0)  # places rise within a document: their steps are small
+            heads = np.array(ends[:-1])[np.diff(ends) > 0]
+            steps[heads] = place[heads]
+            steps = steps.astype("<i4")
             empty = pa.nulls
-            own = [part["doc_id"].combine_chunks(), part["held"].combine_chunks(), pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([times[a:b].tobytes() for a, b in spans], pa.binary())]
+            own = [part["doc_id"].combine_chunks(), part["held"].combine_chunks(), pa.array([steps[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([times[a:b].tobytes() for a, b in spans], pa.binary())]
             m = len(held)
             yield pa.RecordBatch.from_arrays([pa.array([block] * m), *own, empty(m, pa.int32()), empty(m, pa.binary()), empty(m, pa.int64())], names=names)
             for a in range(0, n, WORD_ROWS):
@@ -230,7 +234,7 @@ def score(docs: DataFrame, held_out: Column | None = None, tokenizer: str = TOKE
         base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
         out = []
         for at, times in zip(left["places"].to_pylist(), left["times"].to_pylist(), strict=True):
-            at, times = np.frombuffer(at, "<i4"), np.frombuffer(times, "<i4").astype(np.int64)
+            at, times = np.cumsum(np.frombuffer(at, "<i4")), np.frombuffer(times, "<i4").astype(np.int64)
             out.append((int(times.sum()) + 1, int(times[c[at] > 0].sum()) + (ends > 0), float((times * base[at]).sum()) + end_base, (float((times * lp[at]).sum()) + end_score) / float(np.log(10))))
         n_tokens, n_known, base_score, total = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table(
