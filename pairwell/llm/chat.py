@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-RESULT = ["conv_id", "example", "n_turns", "formatted", "loss_start", "loss_length", "last"]
 
 
 def escaped(text: Column) -> Column:

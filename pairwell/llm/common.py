@@ -148,9 +148,3 @@ def ramp(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... for each count, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
