@@ -109,3 +109,9 @@ def test_stream_resumes(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text("".join(json.dumps(row | {"item_id": x}) + "\n" for x in ("b", "c")))
     go()
     assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_windowed_progress(spark):
+    rows = frame(spark, [("c", "2024-01-01 00:01:00", None), ("c", "2024-01-01 00:09:00", "x"), ("c", "2024-01-01 00:11:00", None)], "condition string, timestamp string, error string")
+    got = resume.windowed_progress(rows.withColumn("timestamp", F.to_timestamp("timestamp"))).orderBy("window").collect()
+    assert [(r["rows"], r.errors) for r in got] == [(2, 1), (1, 0)]
