@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import text_key, without
+from pairwell.llm.common import cut, text_key, without
 
 MIN_SITES = 5
 #: Sketches have 2**LOG_BUCKETS buckets: a standard error of about 1.6 %.
@@ -32,10 +32,12 @@ def spread_lines(each: DataFrame, min_sites: int, band: float) -> DataFrame:
     """Hashes (h, g) of the lines that stand on min_sites distinct sites or more; a null site is none."""
     sites = each.filter(F.col("site").isNotNull()).select("h", "g", F.col("site").cast("string").alias("site"))
     sketches = sites.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_BUCKETS))).alias("estimate"))
-    sure = sketches.filter(F.col("estimate") > min_sites * (1 + band)).select("h", "g")
-    near = sketches.filter(F.col("estimate").between(min_sites * (1 - band), min_sites * (1 + band))).select("h", "g")
+    # cut here and below, so that joins read plain shuffles and Spark can split the one of a very common line
+    wide = cut(sketches.filter(F.col("estimate") >= min_sites * (1 - band)))
+    sure = wide.filter(F.col("estimate") > min_sites * (1 + band)).select("h", "g")
+    near = wide.filter(F.col("estimate") <= min_sites * (1 + band)).select("h", "g")
     exact = sites.join(near, ["h", "g"], "left_semi").distinct().groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
-    return sure.unionByName(exact.select("h", "g"))
+    return cut(sure.unionByName(exact.select("h", "g")))
 
 
 def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -47,17 +49,17 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     one site add one site. Input columns named as a result column give way to it.
     """
     docs = without(docs, RESULT)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     each = lines(docs, site)
     spread = spread_lines(each, min_sites, band)
-    drops = each.select("tkey", "pos", "h", "g").join(spread, ["h", "g"]).groupBy("tkey").agg(F.collect_set("pos").alias("__drop")).withColumnRenamed("tkey", "__tkey")
-    rows = docs.withColumn("__key", text_key()).join(drops, F.col("__key") == F.col("__tkey"), "left")
+    drops = each.select("tkey", "pos", "h", "g").join(spread, ["h", "g"]).groupBy("tkey").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(row, "text", text_key().alias("key")).join(drops, F.col("key") == F.col("tkey"), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__drop", i))
+    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
     full = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
     return rows.select(
-        *columns,
+        "row.*",
         F.when(F.col("text").isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_removed"),
-        F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
     )
