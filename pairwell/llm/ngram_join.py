@@ -96,14 +96,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         # done when every node but the roots has one edge, and that to a root
-        ends = edges.groupBy("a").agg(F.count("*").alias("n"))
-        inner = edges.join(ends.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi")
-        if not ends.filter("n > 1").select("a").unionAll(inner.select("a")).limit(1).count():
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.filter("up > 1 or (up = 1 and down = 1)").limit(1).count():
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = edges.join(least, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")).distinct()
+        # cut, so that the join reads two plain shuffles and Spark can split the one of a node with many edges
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
+        large = cut(edges.join(least, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.select(F.col("a").alias("n"), "m"), F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
