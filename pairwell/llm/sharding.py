@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,23 +86,15 @@ def balanced_bounds(keys: DataFrame, total: int, ranges: int) -> tuple[np.ndarra
     raise AssertionError
 
 
-def dealt(ranges: dict[int, tuple[int, int, int, int]], total: int, shards: int) -> tuple[dict[int, list[int]], dict[int, int]]:
-    """The shards of each range (more than one only where it outweighs a shard) and its pieces."""
-    share = total / shards
-    items = []
-    for k, (size, n, _, _) in sorted(ranges.items()):
-        pieces = 1 if size <= share else min(n, int(np.ceil(size / share * RANGES_PER_SHARD / 4)))
-        items += [(size / pieces, k, i) for i in range(pieces)]
-    loads = [(0.0, s) for s in range(shards)]
-    out: dict[tuple[int, int], int] = {}
-    for size, k, i in sorted(items, key=lambda x: (-x[0], x[1], x[2])):
+def dealt(sizes: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
+    """The shard of each piece of a range: largest first, each to the shard that holds least."""
+    loads = [(0, s) for s in range(shards)]
+    out = {}
+    for piece, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         load, s = heapq.heappop(loads)
-        out[k, i] = s
+        out[piece] = s
         heapq.heappush(loads, (load + size, s))
-    pieces: dict[int, int] = {}
-    for k, i in out:
-        pieces[k] = max(pieces.get(k, 0), i + 1)
-    return {k: [out[k, i] for i in range(p)] for k, p in pieces.items()}, pieces
+    return out
 
 
 class Plan:
@@ -110,15 +103,22 @@ class Plan:
     def __init__(self, keys: DataFrame, shards: int):
         total = keys.agg(F.sum("size")).first()[0] or 0
         self.bounds, ranges = balanced_bounds(keys, total, shards * RANGES_PER_SHARD)
-        shards_of, pieces = dealt(ranges, total, shards)
         most = max(ranges, default=0) + 1
         self.pieces, self.first, self.cells = np.ones(most, np.int64), np.zeros(most, np.int64), np.ones(most, np.int64)
-        flat: list[int] = []
-        for k in sorted(ranges):
-            self.pieces[k], self.first[k] = pieces[k], len(flat)
-            flat += shards_of[k]
-            self.cells[k] = max(1, -(-ranges[k][1] // (pieces[k] * CELL_ROWS)))
-        self.shards = np.array(flat or [0], np.int64)
+        for k, (size, n, _, _) in ranges.items():
+            if size > total / shards:
+                self.pieces[k] = min(n, int(np.ceil(size * shards / total * RANGES_PER_SHARD / 4)))
+            self.cells[k] = max(1, -(-n // (self.pieces[k] * CELL_ROWS)))
+        self.first = np.cumsum(self.pieces) - self.pieces
+        self.shards = np.zeros(int(self.pieces.sum()), np.int64)
+        sizes = {(k, 0): r[0] for k, r in ranges.items() if self.pieces[k] == 1}
+        split = [F.col("key").between(ranges[k][2], ranges[k][3]) for k in ranges if self.pieces[k] > 1]
+        if split:  # the pieces as they come out, not as they should
+            heavy = reduce(Column.__or__, split)
+            found = with_places(keys.filter(heavy).select("key", "tie", "size"), self).groupBy("range", "piece").agg(F.sum("size").alias("n")).collect()
+            sizes |= {(r.range, r.piece): r.n for r in found}
+        for (k, piece), s in dealt(sizes, shards).items():
+            self.shards[self.first[k] + piece] = s
 
     def place(self, key: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, ...]:
         """Shard, range, piece and cell of each key; tie splits pieces and cells."""
@@ -136,23 +136,30 @@ def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(row, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("key"), F.xxhash64(F.lit("tie"), "doc_id").alias("tie"))
 
 
-def numbered(rows: DataFrame, plan: Plan) -> DataFrame:
-    """rows (as of keyed) with shard and slot. Slots are counted over cells, so no task holds a shard."""
+PLACES = ["shard", "range", "piece", "cell"]
+
+
+def with_places(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (with key and tie) with the shard, range, piece and cell that the plan gives them."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = plan.place(batch.column("key").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, pa.int64()) for x in got)], names=[*names, *where])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, pa.int64()) for x in got)], names=[*names, *PLACES])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in PLACES)]))
 
-    where = ["shard", "range", "piece", "cell"]
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in where)])
-    rows = rows.mapInArrow(run, schema)
-    sums = rows.groupBy(*where).agg(F.count("*").alias("n"))
+
+def numbered(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (as of keyed) with shard and slot. Slots are counted over cells, so no task holds a shard."""
+    names = rows.columns
+    rows = with_places(rows, plan)
+    sums = rows.groupBy(*PLACES).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range", "piece", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*where, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy(*where).orderBy("key", "tie")) - 1
-    rows = rows.withColumn("inner", inner).join(sums, where)
+    sums = sums.select(*PLACES, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy(*PLACES).orderBy("key", "tie")) - 1
+    rows = rows.withColumn("inner", inner).join(sums, PLACES)
     return rows.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("inner")).cast("long").alias("slot"))
 
 
