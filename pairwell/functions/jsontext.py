@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,11 @@ LEAF = T.StructType([T.StructField("path", T.StringType()), T.StructField("shape
 READ = T.StructType([T.StructField("whole", T.BooleanType()), T.StructField("recovered", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("leaves", T.ArrayType(LEAF))])
 
 
+def _utf8(text: str) -> str:
+    """The text with lone surrogates, which JSON can spell but UTF-8 cannot, replaced."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def _kind(value: Any) -> tuple[str, str | None]:
     if value is None:
         return "null", None
@@ -29,32 +35,60 @@ def _kind(value: Any) -> tuple[str, str | None]:
     if isinstance(value, float):
         return ("integral" if value.is_integer() else "number"), repr(value)
     if isinstance(value, str):
-        return "string", value
+        return "string", _utf8(value)
     return ("object", str(len(value))) if isinstance(value, dict) else ("array", str(len(value)))
 
 
-def _leaves(value: Any) -> list[dict]:
-    out, todo = [], [("", "", value)]
-    while todo:
-        path, shape, value = todo.pop()
-        kind, text = _kind(value)
-        out.append({"path": path, "shape": shape, "kind": kind, "text": text})
-        inner = value.items() if kind == "object" else enumerate(value) if kind == "array" else ()
-        todo += [(f"{path}/{k}", f"{shape}/{k if kind == 'object' else '*'}", v) for k, v in reversed(list(inner))]
-    return out
-
-
-def _read(text: str | None, strip: bool) -> dict:
-    out = {"whole": False, "recovered": False, "error": None, "leaves": None}
-    if text is None:
-        return out | {"error": "missing"}
-    try:
-        value = json.loads(text.strip() if strip else text)
-        out["error"] = None if isinstance(value, dict) else "not_object"
-    except (ValueError, RecursionError):
-        value, out["error"] = None, "invalid_json"
-    if out["error"] is None:
-        return out | {"whole": True, "recovered": True, "leaves": _leaves(value)}
+class _Batch:
+    """Arrays of what a batch of texts holds, leaves laid end to end."""
+
+    def __init__(self):
+        self.whole, self.recovered, self.error, self.known, self.ends = [], [], [], [], [0]
+        self.path, self.shape, self.kind, self.text = [], [], [], []
+
+    def add(self, text: str | None, strip: bool) -> None:
+        value, error = None, None
+        if text is None:
+            error = "missing"
+        else:
+            try:
+                value = json.loads(text.strip() if strip else text)
+                error = None if isinstance(value, dict) else "not_object"
+            except (ValueError, RecursionError):
+                error = "invalid_json"
+        self.whole.append(error is None)
+        self.error.append(error)
+        if error is not None:
+            value = None if text is None else _recovered(text)
+        self.recovered.append(value is not None)
+        self.known.append(value is not None)
+        if value is not None:
+            self._add_leaves(value)
+        self.ends.append(len(self.path))
+
+    def _add_leaves(self, root: dict) -> None:
+        todo: list[tuple[str, str, Any]] = [("", "", root)]
+        while todo:
+            path, shape, value = todo.pop()
+            kind, text = _kind(value)
+            self.path.append(path)
+            self.shape.append(shape)
+            self.kind.append(kind)
+            self.text.append(text)
+            if kind == "object":
+                todo += [(f"{path}/{k}", f"{shape}/{k}", v) for k, v in ((_utf8(k), v) for k, v in reversed(value.items()))]
+            elif kind == "array":
+                todo += [(f"{path}/{i}", f"{shape}/*", value[i]) for i in range(len(value) - 1, -1, -1)]
+
+    def arrow(self) -> pa.Array:
+        leaf = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (self.path, self.shape, self.kind, self.text)], names=["path", "shape", "kind", "text"])
+        ends = pa.array(self.ends, pa.int32(), mask=np.append(~np.array(self.known, bool), False))
+        leaves = pa.ListArray.from_arrays(ends, leaf)
+        return pa.StructArray.from_arrays([pa.array(self.whole, pa.bool_()), pa.array(self.recovered, pa.bool_()), pa.array(self.error, pa.string()), leaves], names=["whole", "recovered", "error", "leaves"])
+
+
+def _recovered(text: str) -> dict | None:
+    """The first object that decodes at any opening brace."""
     decoder, at = json.JSONDecoder(), text.find("{")
     while at >= 0:
         try:
@@ -62,18 +96,25 @@ def _read(text: str | None, strip: bool) -> dict:
         except (ValueError, RecursionError):
             value = None
         if isinstance(value, dict):
-            return out | {"recovered": True, "leaves": _leaves(value)}
+            return value
         at = text.find("{", at + 1)
-    return out
+    return None
+
+
+def _read(texts: pa.Array, strip: bool) -> pa.Array:
+    batch = _Batch()
+    for text in texts.to_pylist():
+        batch.add(text, strip)
+    return batch.arrow()
 
 
-@F.pandas_udf(READ)
-def read_response(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(READ)
+def read_response(texts: pa.Array) -> pa.Array:
     """Reads a response: whole (all of it is one object), recovered (some object decodes), error, leaves."""
-    return pd.DataFrame([_read(t, True) for t in texts], columns=["whole", "recovered", "error", "leaves"])
+    return _read(texts, True)
 
 
-@F.pandas_udf(READ)
-def read_call(texts: pd.Series) -> pd.DataFrame:
-    """As read_response, for tool calls: blanks around the object are no exception there either."""
-    return pd.DataFrame([_read(t, False) for t in texts], columns=["whole", "recovered", "error", "leaves"])
+@F.arrow_udf(READ)
+def read_call(texts: pa.Array) -> pa.Array:
+    """As read_response, for tool calls."""
+    return _read(texts, False)

@@ -47,6 +47,8 @@ def test_reading_is_strict(spark):
     assert [(g.whole, g.recovered) for g in got] == [(True, True), (True, True), (False, True), (False, True), (False, False), (False, False), (False, False), (False, False), (True, True), (False, False)]
     assert [(x.path, x.kind, x.text) for x in got[3].leaves] == [("", "object", "1"), ("/a", "object", "1"), ("/a/b", "array", "3"), ("/a/b/0", "integer", "1"), ("/a/b/1", "integral", "2.0"), ("/a/b/2", "null", None)]
     assert got[8].leaves[1].text == "2"
+    odd = column(spark, ['{"\\ud800": "\\udfff é"}'], jsontext.read_response)[0]
+    assert odd.whole and odd.leaves[1].path == "/?" and odd.leaves[1].text == "? é"
 
 
 def test_layers(spark):
