@@ -146,5 +146,25 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: Exact similarities of all texts that share a shingle; doc_id is unique in the given tables, so the keeper is the class's least.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT text, any_value(w) AS w, count(*) AS copies, row_number() OVER () AS t FROM d WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT t, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t)),
+n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+i AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.t <> b.t GROUP BY ALL),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.t = i.a JOIN n y ON y.t = i.b WHERE i.c >= 0.8 * (x.n + y.n - i.c) - 1e-9),
+reach AS (SELECT t AS a, t AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+ids AS (SELECT t.t, min(doc_id) AS least FROM t JOIN d USING (text) GROUP BY t.t),
+classes AS (SELECT reach.a AS t, min(least) AS class_id FROM reach JOIN ids ON ids.t = reach.b GROUP BY reach.a),
+links AS (SELECT l.a AS t, count(*) AS texts, sum(t.copies) AS docs FROM l JOIN t ON t.t = l.b GROUP BY l.a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, coalesce(texts, 0) AS n_text_links,
+       coalesce(copies, 1) AS n_copies, doc_id = coalesce(class_id, doc_id) AS keeper
+FROM d LEFT JOIN t USING (text) LEFT JOIN classes USING (t) LEFT JOIN links USING (t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op9_line_spread": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_line_spread": OP9_SQL, "op10_decontaminate": OP10_SQL}

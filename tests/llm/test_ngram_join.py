@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairwell.llm import ngram_join, queries
 from tests.llm import helpers
+from tests.oracle import assert_same
 
 
 def shingles(text):
@@ -104,6 +105,10 @@ def test_components(spark, edges):
     assert {r.node: r.root for r in got.collect()} == root
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    assert_same(queries.op2_ngram_join(spark, sf_dir), queries.OP2_SQL, sf_dir)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.op2_ngram_join(spark, sf_dir)
