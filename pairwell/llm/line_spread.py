@@ -54,6 +54,7 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     each = written(lines(docs, site))  # a tenth of the text: counted twice and joined once, split and hashed once
     spread = spread_lines(each, min_sites, band)
     drops = each.select("tkey", "pos", "h", "g").join(spread, ["h", "g"]).groupBy("tkey").agg(F.collect_set("pos").alias("gone"))
+    drops = cut(drops)  # as above, for a text with very many copies
     rows = docs.select(row, "text", text_key().alias("key")).join(drops, F.col("key") == F.col("tkey"), "left")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
