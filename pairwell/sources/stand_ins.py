@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, if a scan gives fewer: for work that outweighs a shuffle.
+
+    Large tables come in many splits and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored run rows: item_id, condition, pos, flags with and without nulls, answer and telemetry."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -52,7 +61,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"answer": '), k, F.lit(', "reasoning": "it was 7"}')))
     )
     gold = F.when(F.col("pos") % 3 == 0, F.col("k") + 1).otherwise(F.col("k")).cast("string")
-    return rows.select("pos", "condition", "k", raw.alias("raw_output"), gold.alias("gold_answer"))
+    return dealt(rows.select("pos", "condition", "k", raw.alias("raw_output"), gold.alias("gold_answer")))
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +83,4 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(call("adjust_stock", number, ""))
     )
     wanted = F.when(F.col("l_orderkey") % 2 == 0, -F.col("quantity")).otherwise(F.col("quantity")).cast("string")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw_output"), wanted.alias("wanted_quantity"))
+    return dealt(rows.select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw_output"), wanted.alias("wanted_quantity")))
