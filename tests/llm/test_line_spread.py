@@ -44,10 +44,12 @@ def test_estimates_far_from_the_threshold_decide_alone(spark):
     assert line_spread.spread_lines(each, 50, 0.25).count() == 1
 
 
-def test_main_path_is_native(spark, sf_dir):
+def test_main_path_is_native(spark, sf_dir, monkeypatch):
+    for step in ("cut", "written"):  # one plan from end to end
+        monkeypatch.setattr(line_spread, step, lambda rows: rows)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = line_spread.remove_spread_lines(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("PythonUDF|ArrowEval|BatchEval|MapIn|FlatMap", plan) and "collect_set" in plan
+    assert not re.search("PythonUDF|ArrowEval|BatchEval|MapIn|FlatMap|ExistingRDD", plan) and "hll_sketch_agg" in plan and "collect_set" in plan
 
 
 def test_query_equals_its_sql(spark, sf_dir):
