@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,32 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_stream_takes_late_rows_and_no_repeats_at_any_age(spark, tmp_path):
+    schema = "run_signature string, item_id string, timestamp string, condition string, error string"
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    go = lambda: resume.append_scored(resume.arriving(spark, src, schema), lambda d: d.withColumn("ok", F.lit(True)), out, ck).awaitTermination()
+
+    def arrive(name, rows, modified):
+        path = tmp_path / "in" / name
+        path.write_text("".join(json.dumps({"run_signature": s, "item_id": i, "timestamp": t, "condition": "c", "error": None}) + "\n" for s, i, t in rows))
+        os.utime(path, (modified, modified))
+        go()
+
+    arrive("1.json", [("s", "a", "2024-03-02T00:00:00Z"), ("s", "a", "2024-03-01T00:00:00Z"), ("s", None, None)], 1_710_000_000)
+    arrive("2.json", [("s", "z", "2024-03-09T00:00:00Z")], 1_710_000_100)  # no row is left before the old ones come
+    arrive("3.json", [("s", "old", "2024-01-01T00:00:00Z"), ("s", "a", "2024-06-01T00:00:00Z"), ("t", "a", "2024-01-01T00:00:00Z"), ("s", None, None)], 1_700_000_000)
+    arrive("4.json", [("s", "old", "2024-05-01T00:00:00Z"), ("s", "a", "2024-09-01T00:00:00Z")], 1_710_000_200)
+    got = sorted((r.run_signature, r.item_id or "", r.timestamp and r.timestamp.isoformat()[:10], r.ok) for r in spark.read.parquet(out).collect())
+    want = [("s", "", None, True), ("s", "a", "2024-03-01", True), ("s", "old", "2024-01-01", True), ("s", "z", "2024-03-09", True), ("t", "a", "2024-01-01", True)]
+    assert got == want
+    last = max(int(p.name) for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink(missing_ok=True)  # stopped after the append, before the checkpoint knew
+    go()
+    assert spark.read.parquet(out).count() == len(want)
+
+
 def test_windowed_progress(spark):
     rows = frame(spark, [("c", "2024-01-01 00:01:00", None), ("c", "2024-01-01 00:09:00", "x"), ("c", "2024-01-01 00:11:00", None)], "condition string, timestamp string, error string")
     got = resume.windowed_progress(rows.withColumn("timestamp", F.to_timestamp("timestamp"))).orderBy("window").collect()
