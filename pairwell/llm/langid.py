@@ -5,7 +5,7 @@ with one column of resolved log probabilities per language, so a position is loo
 languages. A text gets the language of the lowest cross-entropy per character. Temperature and rejection
 bounds are calibrated on labelled documents that the models did not learn from.
 
-The models learn from a bounded sample (sample_docs documents a language, by hash of the id); counting
+The models learn from a bounded sample (sample_docs documents a language, by hash of the id and text); counting
 n-grams is a Spark job, and what reaches the driver is bounded by that sample.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.llm.common import id_fold, mix, slices, without
+from pairwell.llm.common import id_fold, mix, slices, without, written
 
 ORDER = 5
 #: Labelled documents a language that the models learn from and are calibrated on, and the share of the latter.
@@ -161,10 +161,10 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         bits, n, has = self.costs([t or "" for t in texts])
-        known = (has > 0) & (len(self.langs) > 0)
+        known = has > 0
         if not self.langs:
             zero = np.zeros(len(texts))
-            return [UNKNOWN] * len(texts), zero, zero, ~known
+            return [UNKNOWN] * len(texts), zero, zero, ~known  # nothing to judge by: only texts without letters go
         best = bits.argmin(1)
         rows = np.arange(len(texts))
         per = bits[rows, best] / np.maximum(n, 1)
@@ -249,21 +249,36 @@ def calibrated(model: Model, lang: list[str], bits: np.ndarray, n: np.ndarray) -
     return model
 
 
+def sampled(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, text and held of about sample_docs distinct rows a language, or of all where there are no more.
+
+    Rows are drawn by hash of the id and text, so neither repeated ids nor repeated rows thin out or swell the
+    sample; a row that is repeated in full counts once. held marks the rows to calibrate on, drawn by id; further
+    texts of one id are drawn each by itself.
+    """
+    each = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("distinct"))
+    share = {r.lang: 1.0 if r.rows <= sample_docs else sample_docs / max(r.distinct, 1) for r in each.collect()}
+
+    def draw(name: str, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(name), *columns), F.lit(1 << 30)) / float(1 << 30)
+
+    if share:
+        shares = F.create_map(*[F.lit(x) for k in sorted(share) for x in (k, share[k])])
+        labelled = labelled.filter(draw("sample", "doc_id", "text") < shares[F.col("lang")])
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = labelled.repartition(tasks, "lang", "doc_id").groupBy("lang", "doc_id").agg(F.sort_array(F.collect_set("text")).alias("texts"))
+    rows = texts.select("lang", "doc_id", F.posexplode("texts").alias("nth", "text"))
+    part = F.when(F.col("nth") == 0, draw("part", "doc_id")).otherwise(draw("part", "doc_id", "text"))
+    return rows.select("lang", "text", (part < CALIBRATION).alias("held"))
+
+
 def learned(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the non-null languages of the rows of docs for which learn holds (a null text teaches nothing).
 
-    About sample_docs rows a language are drawn by hash of the id and text. Without any labelled row the
-    model has no language and predicts und.
+    It learns from sampled() rows. A language all of whose rows would be held back learns from them instead.
+    Without any labelled row with a letter the model has no language, predicts und and rejects only texts without letters.
     """
-    labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    have = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    langs = sorted(have)
-    if not langs:
-        return Model([])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, sample_docs / have[k])])
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text", (part < CALIBRATION).alias("held"))
+    sample = written(sampled(docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), sample_docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,13 +292,19 @@ def learned(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> M
                 grams, n = np.unique(packed, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    fit = sample.filter(~F.col("held")).select("lang", "text")
-    found = fit.mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    def counted(rows: DataFrame) -> pa.Table:
+        return rows.select("lang", "text").mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+
+    found = counted(sample.filter(~F.col("held")))
+    untaught = sorted({r.lang for r in sample.select("lang").distinct().collect()} - set(found["lang"].unique().to_pylist()))
+    if untaught:
+        found = pa.concat_tables([found, counted(sample.filter(F.col("lang").isin(untaught)))])
+    langs = sorted(found["lang"].unique().to_pylist())
+    if not langs:
+        return Model([])
     index = {k: i for i, k in enumerate(langs)}
     lang = np.array([index[x] for x in found["lang"].to_pylist()], np.int64)
     grams = np.frombuffer(b"".join(found["gram"].to_pylist()), np.uint32).reshape(-1, ORDER)
-    if not len(grams):
-        return Model([])
     model = estimated(langs, lang, grams, found["n"].to_numpy().astype(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -293,7 +314,7 @@ def learned(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> M
             some = has > 0
             yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(some)), pa.array(list(bits[some]), pa.list_(pa.float64())), pa.array(n[some], pa.int64())], names=["lang", "bits", "n"])
 
-    held = sample.filter("held").select("lang", "text").mapInArrow(weigh, "lang string, bits array<double>, n long").toArrow()
+    held = sample.filter(F.col("held") & ~F.col("lang").isin(untaught)).select("lang", "text").mapInArrow(weigh, "lang string, bits array<double>, n long").toArrow()
     bits = np.array(held["bits"].to_pylist(), float).reshape(-1, len(langs))
     return calibrated(model, held["lang"].to_pylist(), bits, held["n"].to_numpy())
 
@@ -332,7 +353,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model does not reject, with their own columns."""
+    """The rows of docs that the model does not reject, with their own columns; without a language, all with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

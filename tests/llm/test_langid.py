@@ -124,3 +124,35 @@ def test_query_learns_only_from_its_fold(spark, sf_dir):
     assert len(got) == len(docs) and all(got[d.doc_id].held_out == (helpers.fold(d.doc_id) == 0) for d in docs)
     held = [d for d in docs if got[d.doc_id].held_out and d.lang]
     assert sum(got[d.doc_id].lang_pred == d.lang for d in held) >= 0.95 * len(held)
+
+
+def test_repeated_ids_and_rows_neither_thin_out_nor_swell_the_sample(spark):
+    one_id = [(i, sentence(lang, n, 12), lang, "s", 1) for i, lang in enumerate(sorted(SYLLABLES)[:2]) for n in range(300)]
+    copies = [(50 + n % 3, sentence("cc", n % 3, 40), "cc", "s", 1) for n in range(600)]
+    docs = spark.createDataFrame(one_id + copies, helpers.SCHEMA)
+    have = {r.lang: (r.n, r.held) for r in langid.sampled(docs, 100).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("held").alias("held")).collect()}
+    assert set(have) == set(SYLLABLES) and have["cc"][0] == 3
+    for lang in ("aa", "bb"):
+        assert 60 < have[lang][0] < 140 and 0 < have[lang][1] < 0.5 * have[lang][0]
+    model = langid.learned(docs, F.lit(True), sample_docs=100)
+    new = spark.createDataFrame([(i, sentence(lang, 20_000 + i, 12), lang, "s", 1) for i, lang in enumerate(sorted(SYLLABLES) * 5)], helpers.SCHEMA)
+    assert all(r.lang_pred == r.lang for r in langid.identify(new, model).collect())
+
+
+def test_a_rare_language_is_learned_though_all_its_rows_are_drawn_to_calibrate(spark):
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    held = spark.range(5_000, 5_100).filter(part < langid.CALIBRATION).first().id
+    common = [r for r in training(40) if r[2] != "cc"]
+    docs = spark.createDataFrame([*common, (held, sentence("cc", 1, 60), "cc", "s", 1), (4_999, "12 !", "dd", "s", 1)], helpers.SCHEMA)
+    model = langid.learned(docs, F.lit(True))
+    assert model.langs == ["aa", "bb", "cc"]
+    new = spark.createDataFrame([(i, sentence("cc", 30_000 + i, 20), "cc", "s", 1) for i in range(5)], helpers.SCHEMA)
+    assert {r.lang_pred for r in langid.identify(new, model).collect()} == {"cc"}
+
+
+def test_without_a_language_texts_with_letters_stay(spark):
+    docs = helpers.odd_docs(spark)
+    letters = sum(any(c.isalpha() for c in r[1] or "") for r in helpers.odd_rows())
+    for unlabelled in (docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        model = langid.learned(unlabelled, langid.default_learn())
+        assert model.langs == [] and langid.accepted(unlabelled, model).count() == letters > 0
