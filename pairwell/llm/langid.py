@@ -2,8 +2,9 @@
 
 One character 5-gram model per language; the keys of all languages share one sorted hash array per order,
 with one column of resolved log probabilities per language, so a position is looked up once for all
-languages. A text gets the language of the lowest cross-entropy per character. Temperature and rejection
-bounds are calibrated on labelled documents that the models did not learn from.
+languages. A text gets the language of the lowest cross-entropy per character. Temperature and the
+rejection bound are calibrated on labelled documents that the models did not learn from. Only a high
+cross-entropy rejects; a text is not rejected for being torn between languages, its score tells that.
 
 The models learn from a bounded sample (sample_docs documents a language, by hash of the id and text); counting
 n-grams is a Spark job, and what reaches the driver is bounded by that sample.
@@ -27,7 +28,7 @@ ORDER = 5
 #: Labelled documents a language that the models learn from and are calibrated on, and the share of the latter.
 SAMPLE_DOCS = 1200
 CALIBRATION = 0.25
-#: Share of calibration documents that the rejection bounds may lose, and the room left beyond them.
+#: Share of calibration documents that the rejection bound may lose, and the room left beyond it.
 REJECT_SHARE = 0.001
 REJECT_ROOM = 1.5
 UNKNOWN = "und"
@@ -126,7 +127,6 @@ class Model:
     floor: np.ndarray | None = None  # log2 probability of a character never seen
     temperature: float = 1.0
     worst: float = np.inf
-    least: float = 0.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
 
@@ -171,7 +171,7 @@ class Model:
         odds = -(bits - bits[rows, best][:, None]) / self.temperature
         score = np.where(known, 1 / np.exp2(np.maximum(odds, -1000)).sum(1), 0.0)
         far = self.deviation(per, best, n)
-        rejected = ~known | (far > self.worst) | (score < self.least)
+        rejected = ~known | (far > self.worst)
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], score, np.where(known, per, 0.0), rejected
 
     def deviation(self, per: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -225,7 +225,7 @@ def estimated(langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.
 
 
 def calibrated(model: Model, lang: list[str], bits: np.ndarray, n: np.ndarray) -> Model:
-    """Fits the temperature by likelihood and the rejection bounds by quantile on documents not learned from."""
+    """Fits the temperature by likelihood and the rejection bound by quantile on documents not learned from."""
     count = len(model.langs)
     model.mean, model.spread = np.zeros(count), np.ones(count)
     if not len(lang):
@@ -244,8 +244,6 @@ def calibrated(model: Model, lang: list[str], bits: np.ndarray, n: np.ndarray) -
         model.spread[k] = max(0.05, float(np.median(np.abs(mine - model.mean[k]))) * 1.4826 if len(mine) else 1.0)
     far = model.deviation(per, best, n)
     model.worst = max(6.0, float(np.quantile(far, 1 - REJECT_SHARE)) * REJECT_ROOM)
-    score = 1 / np.exp2(-np.minimum(gap / model.temperature, 1000)).sum(1)
-    model.least = float(min(np.quantile(score, REJECT_SHARE) / REJECT_ROOM, 1 / count))
     return model
 
 

@@ -156,3 +156,12 @@ def test_without_a_language_texts_with_letters_stay(spark):
     for unlabelled in (docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("doc_id", F.lit(None).cast("long"))):
         model = langid.learned(unlabelled, langid.default_learn())
         assert model.langs == [] and langid.accepted(unlabelled, model).count() == letters > 0
+
+
+def test_only_cross_entropy_rejects(spark):
+    texts = [sentence("aa", i, 40) for i in range(60)]
+    docs = spark.createDataFrame([(2 * i + k, t, lang, "s", 1) for i, t in enumerate(texts) for k, lang in enumerate(("aa", "also aa"))], helpers.SCHEMA)
+    model = langid.learned(docs, F.lit(True))
+    assert not hasattr(model, "least")  # a bound of the score that no score can fall below
+    got = langid.identify(docs.filter("lang = 'aa'"), model).collect()
+    assert all(not r.rejected for r in got) and min(r.score for r in got) < 0.9
