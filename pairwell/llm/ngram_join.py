@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 Distinct texts are compared as sets of five-word shingles. Each of TREES trees gives a text a label of DEPTH
-minimum hashes, a byte each, so that texts sorted by label form a prefix trie and a prefix of d bytes is a
-node of depth d. Matching starts at full labels and shortens the prefix until pairs at the threshold meet
-in some tree with the target recall. Texts under one node are candidates.
+minimum hashes, a byte each, so that a prefix of d bytes is a node of depth d of a prefix trie. The forest is
+used at one depth, as banding: prefix_depth() is the longest prefix with which pairs at the threshold meet in
+some tree with the target recall, 5 of 8 bytes for the defaults, and texts under one node of it are candidates.
+The deeper bytes are computed and left unused: whoever shares a longer prefix shares this one too.
 
 Candidates are joined to groups through one edge per text and node (to the node's least text), never through
 pairs. All pairs of a group are verified exactly, in units of two blocks of bounded size, so large groups
