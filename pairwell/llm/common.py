@@ -20,13 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """This session's own folder below spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session, whose tasks run on the driver's machine, makes a folder; any other raises.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairwell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pairwell-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what cut() and written() left in the shared folder. Call it when no result that reads from there is still needed."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.delete(path, True)
+        files.mkdirs(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder: later plans start from there."""
     shared_dir(df.sparkSession)

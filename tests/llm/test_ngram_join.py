@@ -93,6 +93,90 @@ def test_prefix_depth_reaches_the_recall():
     assert ngram_join.prefix_depth(0.1, 0.999999) == 1 and ngram_join.prefix_depth(1.0) == ngram_join.DEPTH
 
 
+def test_the_weakest_link_equals_all_pairs_of_sets():
+    sizes = {1: 1, 3: 2, 4: 5, 6: 1, 7: 2, 9: 1, 30: 2}
+    for n in range(1, 40):
+        here = {**sizes, n: sizes.get(n, 1)}
+        all_links = [c / (n + m - c) for m, k in here.items() if (m, k) != (n, 1) for c in range(min(n, m) + 1) if c >= 0.8 * (n + m - c) - 1e-9]
+        assert ngram_join.weakest_link(n, here, 0.8) == min(all_links, default=None)
+
+
+def test_texts_close_where_their_weakest_link_reaches_the_recall():
+    sizes = dict.fromkeys(range(1, 100), 9)
+    closes = ngram_join.closing_depths(sizes)
+    assert closes[1:4] == [8, 8, 8] and len(set(closes)) >= 4 and closes[-1] == ngram_join.prefix_depth()
+    for n, d in enumerate(closes[1:-1], 1):
+        weakest = ngram_join.weakest_link(n, sizes, 0.8)
+        assert 1 - (1 - weakest**d) ** ngram_join.TREES >= ngram_join.RECALL
+    assert ngram_join.closing_depths({7: 1, 20: 3})[7] == 0  # no other set has a size that allows a link
+
+
+def test_matched_prefixes_shorten_text_by_text(spark):
+    docs = near_copies() + [(i, " ".join(helpers.prose(1000 + i // 2, 5 + i // 2 % 6)) + " end" * (i % 2), "en", "s", 1) for i in range(600)]
+    texts = ngram_join.distinct_texts(ngram_join.signatures(spark.createDataFrame(docs, helpers.SCHEMA))).cache()
+    edges = ngram_join.forest(texts).cache()
+    by = {r.depth: r.n for r in edges.groupBy("depth").agg(F.count("*").alias("n")).collect()}
+    assert len(by) >= 3 and min(by) == ngram_join.prefix_depth() and all(by.values())
+    assert not edges.filter("shared < depth or shared > 8").count()
+    labels = {bytes(r.tkey): r.labels for r in texts.collect()}
+    for r in edges.collect():  # every edge joins texts that agree in the leading bytes of a label
+        assert any(ngram_join.shared_bytes(x ^ y) >= r.depth for x, y in zip(labels[bytes(r.a)], labels[bytes(r.b)], strict=True))
+
+
+def test_candidates_equal_all_texts_under_one_node(spark):
+    docs = near_copies(11)
+    texts = ngram_join.distinct_texts(ngram_join.signatures(spark.createDataFrame(docs, helpers.SCHEMA))).cache()
+    rows = [(bytes(r.tkey), r["labels"], r["size"]) for r in texts.collect()]
+    sizes = {}
+    for _, _, n in rows:
+        sizes[n] = sizes.get(n, 0) + 1
+    closes = ngram_join.closing_depths({n: k for n, k in sizes.items() if n <= ngram_join.SIZES})
+    at = {k: closes[min(n, len(closes) - 1)] for k, _, n in rows}
+    root = {k: k for k, *_ in rows}
+    want = set()
+    for i, (a, x, _) in enumerate(rows):
+        for b, y, _ in rows[:i]:
+            if at[a] and at[b] and any(ngram_join.shared_bytes(p ^ q) >= max(at[a], at[b]) for p, q in zip(x, y, strict=True)):
+                want.add(frozenset((a, b)))
+    groups = ngram_join.components(ngram_join.forest(texts).select("a", "b"))
+    root |= {bytes(r.node): bytes(r.root) for r in groups.collect()}
+    assert want and all(len({root[k] for k in pair}) == 1 for pair in want)
+
+
+def test_weak_candidates_cost_near_linear_work(spark):
+    """Texts that share half of their shingles with all others are all candidates; few of their pairs are verified."""
+    n = 20_000
+    body = " ".join(helpers.prose(5, 24, 5000))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(body + " "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.xxhash64("id", k).cast("string")), " ")).alias("text"))
+    docs = docs.withColumn("text", F.regexp_replace("text", "-", "m")).cache()
+    texts = ngram_join.cut(ngram_join.distinct_texts(ngram_join.signatures(docs)))
+    groups = ngram_join.components(ngram_join.forest(texts))
+    assert groups.groupBy("root").count().agg(F.max("count")).first()[0] > n / 2  # one group holds most
+    sets = ngram_join.shingle_sets(docs, ngram_join.blocked(texts, groups, ngram_join.BLOCK))
+    pairs = ngram_join.units(sets, 0.8).groupBy("low", "high").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert pairs <= n * ngram_join.BLOCK
+    assert ngram_join.verified(ngram_join.units(sets, 0.8), 0.8).count() == 0
+
+
+def test_rare_prefixes_meet_across_every_link():
+    rng = random.Random(4)
+    counts = ngram_join.np.array([rng.randrange(9) for _ in range(ngram_join.SLOTS)])
+    for _ in range(300):
+        pool = rng.sample(range(10**12), 60)
+        a, b = (ngram_join.np.unique(ngram_join.np.array(rng.sample(pool, rng.randrange(40, 61)), "<u8")) for _ in "ab")
+        if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
+            assert set(ngram_join.rare_prefix(a, counts, 0.8)) & set(ngram_join.rare_prefix(b, counts, 0.8))
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, each a pass and a block of its own, and a copy that differs in some words."""
+    long = [f"w{i * 7919 % 100_003}" for i in range(250_000)]
+    other = [f"v{i}" if i % 20_000 == 0 else w for i, w in enumerate(long)]
+    docs = [(1, " ".join(long), "en", "s", 1), (2, " ".join(other), "en", "s", 1), (3, " ".join(reversed(long)), "en", "s", 1), (4, "a" * 1_500_000, "en", "s", 1)]
+    got = ngram_join.joined(spark.createDataFrame(docs, helpers.SCHEMA))
+    assert helpers.rows_of(got, "doc_id", "class_id", "n_links") == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (52, 29)], [(5, 5)]])
 def test_components(spark, edges):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
