@@ -68,6 +68,25 @@ def text_key(col: str = "text") -> Column:
     return F.unhex(F.md5(F.col(col).cast("binary")))
 
 
+#: Bits of a table of keys, which is broadcast: 4 MB whatever the number of keys.
+KEY_BITS = 1 << 25
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """bucket and bitmap: KEY_BITS bits, of which each key (the binary column tkey) sets one."""
+    place = F.pmod(F.xxhash64("tkey"), F.lit(KEY_BITS)) + 1
+    return cut(keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")))
+
+
+def with_bit(rows: DataFrame, bits: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a boolean column: false only if the key is none of those of key_bits(). More keys than bits make it true more often."""
+    place = F.pmod(F.xxhash64(key), F.lit(KEY_BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    both = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket"), "left")
+    return both.select(*rows.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that have one of the names, in any case."""
     taken = {n.lower() for n in names}

@@ -5,29 +5,39 @@ of up to three words index a shift table: a block that no pattern holds lets the
 windows that would contain it. Where the shift is zero, the suffix hash picks a bucket of test strings,
 their prefix hash thins it out, and comparing the bytes of all words confirms an occurrence.
 
-The patterns go to the tasks in blocks of bounded size (block_bytes of benchmark text); a larger benchmark
-is searched block after block, so nothing is broadcast that grows without limit.
+The patterns go to the tasks in blocks of bounded size (block_bytes of benchmark text). A larger benchmark is
+searched block after block: each search writes the hits of its block, by text, and gives up its tables before the
+next begins, so no plan holds more than one search and what is broadcast does not grow with the benchmark. Items
+are cut into pieces that overlap by a window less one word, and equal pieces share one entry, so neither a long
+item nor one with many ids outgrows a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.llm.common import ALNUM, Words, byte_texts, mix, ramp, slices, without
+from pairwell.llm.common import ALNUM, Words, byte_texts, cut, key_bits, mix, ramp, slices, text_key, with_bit, without, written
 
 WINDOW = 10
 #: Benchmark text that one search holds at once; its tables take about twenty times as much.
 BLOCK_BYTES = 4 << 20
+#: Windows of one piece of a benchmark item.
+PIECE = 4096
 #: Window ends that one search pointer covers.
 STRIDE = 512
 
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: A word of a document, before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULT = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
@@ -122,13 +132,13 @@ def pieces(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 class Patterns:
     """The windows of one block of benchmark items, by number of words, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[list[str], bytes]], window: int):
         of: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
+        for names, text in items:
             words = Words([text], ALNUM)
             each = words.texts(np.arange(len(words.size)))
             for i in range(max(1, len(each) - window + 1) if each else 0):
-                of.setdefault(tuple(each[i : i + window]), set()).add(name)
+                of.setdefault(tuple(each[i : i + window]), set()).update(names)
         self.names = [sorted(x) for x in of.values()]
         by_length: dict[int, list[tuple[int, list[bytes]]]] = {}
         for k, p in enumerate(of):
@@ -163,25 +173,93 @@ class Patterns:
         return words.counts(), ranges, items
 
 
-def merged(a: list[int], b: list[int]) -> list[int]:
-    """The union of two lists of ranges."""
+def item_pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """piece (lower-case words, joined by blanks) and names (the items it is of) of all items: every window lies in a piece of its item."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = Words([text], ALNUM)
+                each = words.texts(np.arange(len(words.size)))
+                starts = range(0, max(1, len(each) - window + 1) if each else 0, PIECE)
+                out = [b" ".join(each[a : a + PIECE + window - 1]) for a in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(out, pa.binary())], names=["name", "piece"])
+
+    pieces = items.mapInArrow(run, "name string, piece binary")
+    return cut(pieces.groupBy("piece").agg(F.collect_set("name").alias("names")))
+
+
+def pattern_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Patterns, bool]]:
+    """Blocks of about block_bytes, dealt by hash, and whether there is only one; the driver holds one at a time."""
+    pieces = item_pieces(benchmark, window)
+    total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    for k in range(n):
+        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("piece"), F.lit(n)) == k)
+        yield Patterns([(r.names, bytes(r.piece)) for r in part.toLocalIterator()], window), n == 1
+
+
+def searched(docs: DataFrame, patterns: Patterns, only_hits: bool) -> tuple[DataFrame, Broadcast]:
+    """docs with n_words, hit_ranges and items in place of text, or with only_hits those that have a hit."""
+    fields = [f for f in docs.schema.fields if not (only_hits and f.name == "text")]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_texts(batch.column("text"))
+            counts, ranges, items = [], [], []
+            for a, b in slices(texts):
+                n, r, i = shared.value.hits(texts[a:b])
+                counts += n.tolist()
+                ranges += r
+                items += [sorted(x) for x in i]
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                names=[*names, "n_words", "hit_ranges", "items"],
+            )
+            yield out.filter(pa.array([bool(r) for r in ranges], pa.bool_())) if only_hits else out
+
+    return docs.mapInArrow(search, schema), shared
+
+
+def block_hits(docs: DataFrame, blocks: Iterator[Patterns]) -> DataFrame:
+    """tkey, ranges and items of every text with a hit in any block; each block is searched by itself."""
+    texts = docs.filter(F.col("text").isNotNull()).select(text_key().alias("tkey"), "text")
+    each = []
+    for patterns in blocks:
+        found, shared = searched(texts, patterns, True)
+        by = F.struct("hit_ranges", "items")  # equal texts have equal hits
+        each.append(written(found.groupBy("tkey").agg(F.first(by).alias("found"))))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, each)
+
+
+def merged(lists: list[list[int]]) -> list[int]:
+    """The union of lists of ranges (start, end, start, ...) as one such list."""
     out: list[int] = []
-    for s, e in sorted(zip(a[::2] + b[::2], a[1::2] + b[1::2], strict=True)):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
+    for a, b in sorted(x for one in lists for x in zip(one[::2], one[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
         else:
-            out += [s, e]
+            out += [a, b]
     return out
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Patterns]:
-    """Items dealt by hash into blocks of about block_bytes; the driver holds one block at a time."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield Patterns([(r.name, bytes(r.text)) for r in part.toLocalIterator()], window)
+def all_hits(docs: DataFrame, blocks: Iterator[Patterns]) -> DataFrame:
+    """tkey, hit_ranges and items of every text with a hit, over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("found").to_pylist()
+            ranges = [merged([x["hit_ranges"] for x in f]) for f in found]
+            items = [sorted({i for x in f for i in x["items"]}) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("tkey"), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["tkey", "hit_ranges", "items"])
+
+    found = block_hits(docs, blocks).groupBy("tkey").agg(F.collect_list("found").alias("found"))
+    return cut(found.mapInArrow(run, "tkey binary, hit_ranges array<int>, items array<string>"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -190,52 +268,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True,
 
     A null or empty text has no words and no hits. A benchmark row with a null text or no word is no
     pattern; a null item_id is called 'null'; repeated items count once. Repeated documents each get their
-    own row. Input columns named as a result column give way to it.
+    own row. A very long text is searched in one pass of its own. An empty table gives an empty result. Input
+    columns named as a result column give way to it.
     """
-    docs = without(docs, [*RESULT, "hit_ranges", "__items", "__ranges"])
-    out = docs
-    for patterns in pattern_blocks(benchmark, window, block_bytes):
-        schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("__ranges", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
-        shared = out.sparkSession.sparkContext.broadcast(patterns)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, again="__items" in out.columns) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = byte_texts(batch.column("text"))
-                counts, ranges, items = [], [], []
-                for a, b in slices(texts):
-                    n, r, i = shared.value.hits(texts[a:b])
-                    counts += n.tolist()
-                    ranges += r
-                    items += [sorted(x) for x in i]
-                if again:
-                    ranges = [merged(a, b) if a and b else a or b for a, b in zip(batch.column("__ranges").to_pylist(), ranges, strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(batch.column("__items").to_pylist(), items, strict=True)]
-                own = [n for n in batch.schema.names if n not in ("n_words", "__ranges", "__items")]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in own), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names=[*own, "n_words", "__ranges", "__items"],
-                )
-
-        out = out.mapInArrow(search, schema)
-    hit = F.aggregate(F.sequence(F.lit(1), F.size("__ranges"), F.lit(1)), F.lit(0).cast("long"), lambda s, i: s + F.when(i % 2 == 0, 1).otherwise(-1) * F.element_at("__ranges", i))
-    n_hit = F.when(F.size("__ranges") > 0, hit).otherwise(F.lit(0).cast("long"))
-    out = out.withColumns({"n_hit": n_hit, "n_items": F.size("__items").cast("long"), "items": F.col("__items"), "contaminated": F.size("__ranges") > 0, "hit_ranges": F.col("__ranges")}).drop("__items", "__ranges")
+    docs = without(docs, [*RESULT, "hit_ranges"])
+    blocks = pattern_blocks(benchmark, window, block_bytes)
+    first, alone = next(blocks)
+    if alone:
+        found = searched(docs, first, False)[0]
+    else:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        hits = all_hits(docs, chain([first], (b for b, _ in blocks)))
+        counted = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+        rows = with_bit(docs.select(row, text_key().alias("key"), counted), key_bits(hits), "key", "near")
+        near = rows.filter("near").join(hits, F.col("key") == F.col("tkey"), "left").select("row.*", "n_words", *(F.coalesce(c, F.array()).alias(c) for c in ("hit_ranges", "items")))
+        found = rows.filter("not near").select("row.*", "n_words", F.array().cast("array<int>").alias("hit_ranges"), F.array().cast("array<string>").alias("items")).unionByName(near)
+    ranges = F.col("hit_ranges")
+    hit = F.aggregate(F.sequence(F.lit(1), F.size(ranges), F.lit(1)), F.lit(0).cast("long"), lambda s, i: s + F.when(i % 2 == 0, 1).otherwise(-1) * F.element_at(ranges, i))
+    n_hit = F.when(F.size(ranges) > 0, hit).otherwise(F.lit(0).cast("long"))
+    out = found.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size(ranges) > 0).alias("contaminated"), "hit_ranges")
     return out if keep_text else out.drop("text")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    out = docs
-    for block in pattern_blocks(benchmark, WINDOW, BLOCK_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = byte_texts(batch.column("text"))
-                free: list[bool] = []
-                for a, b in slices(texts):
-                    free += [not r for r in shared.value.hits(texts[a:b])[1]]
-                yield batch.filter(pa.array(free, pa.bool_()))
-
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit, with their own columns. Null texts and texts without words stay, repeated rows each; an empty table gives an empty result."""
+    blocks = pattern_blocks(benchmark, WINDOW, block_bytes)
+    first, alone = next(blocks)
+    if not alone:
+        hits = cut(block_hits(docs, chain([first], (b for b, _ in blocks))).select("tkey").distinct())
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows = with_bit(docs.select(row, text_key().alias("key")), key_bits(hits), "key", "near")
+        near = rows.filter("near").join(hits, F.col("key") == F.col("tkey"), "left_anti")
+        return rows.filter("not near").select("row.*").unionByName(near.select("row.*"))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_texts(batch.column("text"))
+            free: list[bool] = []
+            for a, b in slices(texts):
+                free += [not r for r in shared.value.hits(texts[a:b])[1]]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -44,7 +44,8 @@ def planted():
 
 
 @pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 200])
-def test_hits_equal_brute_force(spark, block_bytes):
+def test_hits_equal_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontam, "PIECE", 6 if block_bytes == 200 else decontam.PIECE)
     docs, items = planted()
     frame = helpers.clashing(spark.createDataFrame(docs, helpers.SCHEMA), ["n_words", "Items", "hit_ranges", "__items"])
     got = decontam.decontaminate(frame, spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
@@ -58,10 +59,11 @@ def test_empty_tables(spark):
     assert got.filter("contaminated or n_items > 0 or n_hit > 0").count() == 0 and got.count() == len(docs)
 
 
-def test_clean_keeps_what_has_no_hit(spark):
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 200])
+def test_clean_keeps_what_has_no_hit(spark, block_bytes):
     docs, items = planted()
     want = sorted(b[0] for b in brute(docs, items) if not b[5] and b[0] is not None)
-    got = decontam.clean(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, ITEMS))
+    got = decontam.clean(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, ITEMS), block_bytes)
     assert got.columns == helpers.empty_docs(spark).columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == want
 
@@ -72,5 +74,25 @@ def test_adjacent_occurrences_in_neighbouring_documents(spark):
     assert {r.n_hit for r in got.collect()} == {10}
 
 
+def test_no_plan_holds_more_than_one_search(spark):
+    """A benchmark of many blocks: each is searched by itself, and the result reads what they wrote."""
+    docs, items = planted()
+    got = decontam.decontaminate(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, ITEMS), block_bytes=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 0
+    pieces = decontam.item_pieces(spark.createDataFrame([(i, "the same text under many ids " * 3) for i in range(50)], ITEMS), 10)
+    assert pieces.count() == 1 and len(pieces.first().names) == 50
+
+
+def test_very_long_texts(spark):
+    """A document and an item of over a megabyte; the item is cut into pieces, none of its windows is lost."""
+    long = [f"w{i * 7919 % 100_003}" for i in range(250_000)]
+    docs = [(1, " ".join(long), "en", "s", 1), (2, " ".join(["x", *long[4090:4106], "y"]), "en", "s", 1), (3, " ".join(reversed(long)), "en", "s", 1)]
+    items = [(7, " ".join(long[:200_000]))]
+    for block_bytes in (64 << 20, 1 << 20):
+        got = decontam.decontaminate(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
+        assert helpers.rows_of(got, "doc_id", "n_words", "n_hit", "n_items") == [(1, 250_000, 250_000, 1), (2, 18, 16, 1), (3, 250_000, 0, 0)]
+
+
 def test_query(spark, sf_dir):
     assert_same(queries.op10_decontaminate(spark, sf_dir), queries.OP10_SQL, sf_dir)
