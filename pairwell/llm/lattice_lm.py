@@ -3,7 +3,7 @@
 An existing tokenizer gives the pieces; a piece's score is the log of its smoothed relative frequency in
 the training documents (as the tokenizer splits them), plus all single bytes, so every text has a
 segmentation. A word's probability is the sum over all segmentations, by forward recursion in log space over
-its bytes. A piece that begins a word carries the blank before it, so segmentations never cross words and a
+its bytes: words of one length side by side, a long word by itself over the pieces that match in it. A piece that begins a word carries the blank before it, so segmentations never cross words and a
 text's probability is the product over its words and one end piece.
 
 Words are counted once per block of documents of bounded size. Blocks stay in a written table; only their
@@ -13,6 +13,7 @@ the blocks. No table of words is broadcast or collected; the piece counts are, b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ from pairwell.llm.common import SOLID, Words, byte_texts, id_fold, mix, powers,
 BLOCK_BYTES = 8 << 20
 #: Words that one lattice pass takes, by length; and cells of it at most.
 LATTICE_WORDS, LATTICE_CELLS = 20_000, 400_000
+#: Bytes of a word from which it is scored by itself, and start positions whose matches are looked up at once.
+LONG_WORD, SEGMENT = 64, 1 << 16
+#: Blocks that one task combines.
+TASK_BLOCKS = 4
 #: Rows of an outgoing batch of words.
 WORD_ROWS = 20_000
 SMOOTHING = 0.5
@@ -74,7 +79,10 @@ class Lattice:
         """The log of the summed probability of all segmentations of each word, with its blank before it."""
         out = np.zeros(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = self.scan(np.frombuffer(BLANK + words[i], np.uint8))
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= LONG_WORD]
         at = 0
         while at < len(order):
             n = int(size[order[at]])
@@ -85,6 +93,43 @@ class Lattice:
             at += len(part)
         return out
 
+    def matches(self, data: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Start, length and score of every piece that matches from a start in [a, b), by start."""
+        h = np.zeros(b - a, np.uint64)
+        found = []
+        for k in range(1, max(self.by_length) + 1):
+            m = min(b, len(data) - k + 1) - a
+            if m <= 0:
+                break
+            h = h[:m] * powers(2)[1] + data[a + k - 1 : a + k - 1 + m] + np.uint64(1)
+            if k in self.by_length:
+                keys, scores = self.by_length[k]
+                mixed = mix(h)
+                at = np.minimum(np.searchsorted(keys, mixed), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == mixed)
+                found.append((hit + a, np.full(len(hit), k), scores[at[hit]]))
+        start, length, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], length[order], score[order]
+
+    def scan(self, data: np.ndarray) -> float:
+        """As forward(), for one long word: its matches are looked up at once, then summed from left to right."""
+        n, reach = len(data), max(self.by_length) + 1
+        sums = [-math.inf] * reach  # of the next positions, in a ring
+        sums[0], here, own = 0.0, 0, 0.0
+        for a in range(0, n, SEGMENT):
+            for start, length, score in zip(*(x.tolist() for x in self.matches(data, a, min(n, a + SEGMENT))), strict=True):
+                if start != here:  # single bytes are pieces, so every position is a start
+                    sums[here % reach] = -math.inf
+                    here = start
+                    own = sums[here % reach]
+                k = (start + length) % reach
+                one, two = sums[k], own + score
+                if one < two:
+                    one, two = two, one
+                sums[k] = one + math.log1p(math.exp(two - one)) if two > -math.inf else one
+        return sums[n % reach]
+
     def forward(self, data: np.ndarray) -> np.ndarray:
         rows, n = data.shape
         base = powers(2)[1]
@@ -195,8 +240,9 @@ def score(docs: DataFrame, held_out: Column | None = None, tokenizer: str = TOKE
 
     The model learns from the rows that are not held out. score is the log10 marginal probability of the
     lower-cased text under the piece model; base_score that of a smoothed word unigram. A null or empty text
-    is only the end token. Without any training row all counts are 0. Repeated rows count each. An
-    empty table gives an empty result. Further columns are not used.
+    is only the end token. Without any training row all counts are 0. Repeated rows count each. A very long
+    text is a block of its own, and a very long word takes time in proportion to its length. An empty table gives an
+    empty result. Further columns are not used.
     """
     held_out = (id_fold() == 1) if held_out is None else held_out
     with open(tokenizer, "rb") as f:
@@ -208,7 +254,8 @@ def score(docs: DataFrame, held_out: Column | None = None, tokenizer: str = TOKE
     rows = table.filter("places is not null").select(F.col("block").alias("own"), "doc_id", "held", "places", "times")
     words = written(each.groupBy("word").agg(F.sum("trained").alias("c")))
     learned = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends = rows.filter("not held").count()
+    ends, many = rows.agg(F.count_if(~F.col("held")), F.count_distinct("own")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // TASK_BLOCKS)  # a task's share does not grow with the corpus
     tokens, kinds = learned.n + ends, learned.v + (ends > 0)
     counts = np.concatenate([piece_counts(words, model, of, len(pieces)), [ends]]) + SMOOTHING
     scores = np.log(counts / counts.sum())
@@ -250,4 +297,5 @@ def score(docs: DataFrame, held_out: Column | None = None, tokenizer: str = TOKE
         )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rows, joined = rows.repartition(tasks, "own"), joined.repartition(tasks, "block")
     return rows.groupBy("own").cogroup(joined.groupBy("block")).applyInArrow(combine, schema)

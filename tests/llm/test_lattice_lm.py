@@ -84,3 +84,30 @@ def test_a_word_sums_over_its_segmentations():
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     compare(queries.op6_lattice_score(spark, sf_dir), docs)
+
+
+@pytest.mark.parametrize("segment", [1, 7, lattice_lm.SEGMENT])
+def test_long_words_equal_brute_force(monkeypatch, segment):
+    monkeypatch.setattr(lattice_lm, "SEGMENT", segment)
+    rng = np.random.default_rng(8)
+    pieces = [bytes([b]) for b in range(256)] + sorted({rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (2, 3, 5, 9) for _ in range(40)})
+    scores = np.log(rng.dirichlet(np.ones(len(pieces))))
+    of = dict(zip(pieces, scores, strict=True))
+
+    def word(w):
+        data = b" " + w
+        p = [0.0] + [-math.inf] * len(data)
+        for i in range(1, len(data) + 1):
+            p[i] = float(np.logaddexp.reduce([p[j] + of[data[j:i]] for j in range(max(0, i - 9), i) if data[j:i] in of]))
+        return p[-1]
+
+    words = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (1, 62, 63, 64, 65, 70, 333, 1000)]
+    np.testing.assert_allclose(lattice_lm.Lattice(pieces, scores).scores(words), [word(w) for w in words], rtol=1e-10)
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, one of them without a blank: the score of a word said n times over is that of its parts."""
+    docs = [(1, "word " * 300_000, "en", "s", 1), (2, "中文字符" * 100_000, "en", "s", 1), (3, "a b c word", "en", "s", 1), (6, "word", "en", "s", 1), (7, "word word", "en", "s", 1)]
+    got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(docs, helpers.SCHEMA)).collect()}
+    assert got[1].n_tokens == 300_001 and got[2].n_tokens == 2 and math.isfinite(got[2].score) and got[2].score < got[6].score
+    assert got[1].score - got[6].score == pytest.approx(299_999 * (got[7].score - got[6].score), rel=1e-9)
