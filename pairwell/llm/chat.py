@@ -2,7 +2,8 @@
 
 Every assistant turn becomes an example of its own: all turns before it are context, and only that reply
 is trainable. Turns after the last reply (or a conversation without a reply) end in one more example with
-no trainable text, so that the output still holds every turn.
+no trainable text, so that the output still holds every turn. The contexts of a conversation of n replies come to
+about n / 2 times its text: that is the method's own growth, and a conversation must fit one task with them.
 
 Control strings inside texts and roles are escaped reversibly: & becomes &amp; and <| becomes &lt;| (in
 roles also the newline, as &#10;), so that <| appears only where the template puts it.
@@ -37,8 +38,8 @@ def prefix_targets(turns: DataFrame) -> DataFrame:
     points of formatted under the loss mask), last (the example that holds all turns).
 
     Turns go by turn, a null turn first, then by role and text; repeated rows stay. A null role or text is
-    empty; a null conv_id is a conversation of its own. An empty table gives no example. Further columns
-    are not used.
+    empty; rows of a null conv_id are one conversation. Texts of any length are taken whole. An empty table gives
+    no example. Further columns are not used.
     """
     empty = F.lit("")
     each = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))

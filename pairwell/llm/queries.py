@@ -48,10 +48,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_ODD).alias("text"))
     examples = chat.prefix_targets(turns.unionByName(odd))
-    said = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    turns = chat.read_turns(F.col("formatted"))
+    said = F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
     each = examples.select(
         "conv_id",
-        "n_turns",
+        F.when(F.col("last"), F.size(turns)).cast("long").alias("n_turns"),
         F.when(F.col("last"), F.sha2(F.array_join(said, "").cast("binary"), 256)).alias("turns_sha256"),
         F.struct("example", chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text")).alias("loss"),
         F.char_length("formatted").alias("chars"),

@@ -47,6 +47,18 @@ def test_empty(spark):
     assert chat.prefix_targets(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    """300 replies, and a text of over a megabyte: all turns before each reply, that reply alone trainable."""
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <|") for k in range(600)] + [(2, 0, "user", "a<|b" * 400_000), (2, 1, "assistant", "é&" * 600_000)]
+    got = chat.prefix_targets(spark.createDataFrame(turns, TURNS)).withColumns({"back": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length"))})
+    of = {c: [t[2:] for t in turns if t[0] == c] for c in (1, 2)}
+    seen = 0
+    for r in got.collect():
+        assert [tuple(t) for t in r.back] == of[r.conv_id][: r.n_turns] and r.loss == of[r.conv_id][r.n_turns - 1][1]
+        seen += 1
+    assert seen == 301
+
+
 def test_query_equals_its_sql(spark, sf_dir):
     assert_same(queries.op5_chat_format(spark, sf_dir), queries.OP5_SQL, sf_dir)
 
