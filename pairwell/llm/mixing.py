@@ -2,7 +2,9 @@
 
 Each source has a weight schedule over training time 0..1, linear between knots. Its integral is the
 source's cumulative token demand; inverting it turns the place of a document's words in the source's token
-line into a training position, and documents are range-sorted by position. Targets are the schedules' total
+line into a time, and the share of all words that all sources have demanded by then is the training position: so
+positions are spread evenly over the words trained, and at each the sources stand in the ratio of their weights
+then. Documents are range-sorted by position. Targets are the schedules' total
 integrals, stopped at max_repeats times the source's size with the excess reshared.
 
 A source's token line runs over its documents in hash order, epoch after epoch. Its running sum is taken in
@@ -59,6 +61,16 @@ def targeted(sources: DataFrame, repeats: float) -> DataFrame:
         before, level = row.n, (row.total - row.held) / row.weight
 
 
+def integral(t: Column, knots: tuple[tuple[float, float], ...]) -> Column:
+    """The share of a schedule's whole integral that lies before a time of 0 to 1."""
+    whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
+    out = F.lit(0.0)
+    for a, b in zip(knots, knots[1:], strict=False):
+        x = F.greatest(F.least(t, F.lit(b[0])) - a[0], F.lit(0.0))
+        out = out + x * (a[1] + x * ((b[1] - a[1]) / (b[0] - a[0]) / 2))
+    return out / whole
+
+
 def inverse(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     """The time at which the integral of a schedule (linear between knots) reaches the share u of its whole.
 
@@ -83,13 +95,15 @@ def inverse(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
 
 def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None, schedules: tuple = SCHEDULES, repeats: int = MAX_REPEATS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, source, size (words), source_size, target, taken (words the mix takes), copies (whole
-    documents it takes), position (training time of the first copy, above 1 if none) and positions (of all copies).
+    documents it takes), position (share of all words trained before the first copy, above 1 if none) and positions
+    (of all copies).
 
     Every document is a row; taken is at most repeats times its size, and each source's taken words add up
     to its target, rounded: the last document of a source is taken in part (copies counts it if half of it
     or more is taken). Null and empty texts have size 0 and nothing taken. A null source is a source of its
-    own, the last one. Repeated rows count each; ties go by hash, id and size, so reruns agree. An empty
-    table gives an empty result. Further columns are not used.
+    own, the last one. Repeated rows count each; ties go by hash, id and size, so reruns agree. A text of any
+    length is counted whole. An empty table gives an empty result. Further columns are not used. The table of
+    sources (a row each) is ranked in one task.
     """
     sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
     cells = max(64, -(-sized.count() // cell_rows))
@@ -103,6 +117,9 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
         weight = lambda rank: F.element_at(F.array(*map(F.lit, CYCLE)), (rank % len(CYCLE) + 1).cast("int"))
     sources = cut(ranked(sources).withColumn("weight", weight(F.col("rank"))))
     sources = targeted(sources, repeats)
+    kind = (F.col("rank") % len(schedules)).cast("int")
+    shares = {r.kind: r.n or 0.0 for r in sources.groupBy(kind.alias("kind")).agg(F.sum("target").alias("n")).collect()}
+    total = sum(shares.values())
     own = F.struct("rank", "source_size", "target")
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
@@ -118,13 +135,14 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
     missed = (F.col("epochs") == 0) & (F.col("part") == 0)
 
     def place(k: Column) -> Column:
-        """The training time of the k-th copy: where the middle of its words lies in its source's demand."""
+        """The training position of the k-th copy: where the middle of its words lies in its source's demand."""
         u = (k * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
         u = F.when(missed, F.greatest(u, F.lit(1.0)) + 1e-9).otherwise(F.least(u, F.lit(1.0)))
         out = u
         for i, knots in enumerate(schedules):
             out = F.when(F.col("rank") % len(schedules) == i, inverse(u, knots)).otherwise(out)
-        return out
+        trained = sum((integral(out, knots) * (shares.get(i, 0.0) / total) for i, knots in enumerate(schedules)), F.lit(0.0)) if total else out
+        return F.when(missed, out).otherwise(F.least(trained, F.lit(1.0)))
 
     line = line.withColumn("copies", copies)
     return line.select(
@@ -143,12 +161,13 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as it has copies, sorted by training position.
 
-    Rows of equal id, source and size share one decision, the largest of theirs.
+    Rows of equal id, source and size share one decision, the largest of theirs. Null and empty texts are taken
+    not at all. An empty table gives an empty result.
     """
     plan = curriculum(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"), F.max("positions").alias("positions"))
-    plan = plan.filter("copies > 0").select(F.struct("doc_id", "source", "size").alias("__plan"), F.slice("positions", 1, F.col("copies").cast("int")).alias("__at"))
-    columns = docs.columns
-    sized = docs.withColumn("__size", word_count())
-    match = F.col("doc_id").eqNullSafe(F.col("__plan.doc_id")) & F.col("source").eqNullSafe(F.col("__plan.source")) & (F.col("__size") == F.col("__plan.size"))
-    rows = sized.join(plan, match).withColumn("__place", F.explode("__at"))
-    return rows.orderBy("__place", "doc_id").select(*[F.col(f"`{c}`") for c in columns])
+    plan = plan.filter("copies > 0").select("doc_id", "source", "size", F.slice("positions", 1, F.col("copies").cast("int")).alias("places"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("site"), word_count().alias("n"))
+    match = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("site").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    taken = rows.join(plan, match).select("row", "id", F.explode("places").alias("place"))
+    return taken.orderBy("place", "id").select("row.*")

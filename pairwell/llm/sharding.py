@@ -1,7 +1,7 @@
 """Sharding by sampled splitters.
 
-Documents are ordered by a 64-bit hash of the text, so equal texts lie together. A bounded, size-weighted
-sample of keys gives quantile boundaries of many more ranges than shards; each document goes to its range.
+Documents are ordered by the first bytes of the text, then by a hash of all of it, so equal texts lie together and
+texts that begin alike side by side. How texts begin is far from even; a bounded, size-weighted sample of keys gives quantile boundaries of many more ranges than shards; each document goes to its range.
 Ranges that come out overfull are subdivided by samples of their own, and a single text that outweighs a
 whole shard is subdivided by id. What reaches the driver is bounded: the sample and one sum a range.
 
@@ -12,7 +12,7 @@ near equal in bytes and equal texts stay together unless they outweigh a shard.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.llm.common import cut, without
+from pairwell.llm.common import cut, without, written
 
 SHARDS = 8
 RANGES_PER_SHARD = 64
@@ -31,8 +31,10 @@ SAMPLE_PER_RANGE = 48
 OVERFULL = 2.0
 #: Rounds of subdividing before what is left is split by id.
 ROUNDS = 3
-#: Rows of one slot-numbering window.
-CELL_ROWS = 512
+#: Rows of one slot-numbering window, and those of one where an order is given.
+CELL_ROWS, ORDER_ROWS = 512, 4096
+#: Bytes of the text and hexadecimal digits of its hash that make a key of less than 64 bits.
+PREFIX, KEY_DIGITS = 4, 7
 
 
 def sampled(keys: DataFrame, total: float, count: int, seed: int) -> np.ndarray:
@@ -104,36 +106,47 @@ class Plan:
         total = keys.agg(F.sum("size")).first()[0] or 0
         self.bounds, ranges = balanced_bounds(keys, total, shards * RANGES_PER_SHARD)
         most = max(ranges, default=0) + 1
-        self.pieces, self.first, self.cells = np.ones(most, np.int64), np.zeros(most, np.int64), np.ones(most, np.int64)
-        for k, (size, n, _, _) in ranges.items():
+        self.pieces, self.first = np.ones(most, np.int64), np.zeros(most, np.int64)
+        self.single = np.zeros(most, bool)  # ranges of one key, which may be one row many times over
+        for k, (size, n, low, high) in ranges.items():
+            self.single[k] = low == high
             if size > total / shards:
                 self.pieces[k] = min(n, int(np.ceil(size * shards / total * RANGES_PER_SHARD / 4)))
-            self.cells[k] = max(1, -(-n // (self.pieces[k] * CELL_ROWS)))
         self.first = np.cumsum(self.pieces) - self.pieces
-        self.shards = np.zeros(int(self.pieces.sum()), np.int64)
+        self.shards, self.cells = np.zeros(int(self.pieces.sum()), np.int64), np.ones(int(self.pieces.sum()), np.int64)
+        rows = {(k, 0): r[1] for k, r in ranges.items() if self.pieces[k] == 1}
         sizes = {(k, 0): r[0] for k, r in ranges.items() if self.pieces[k] == 1}
         split = [F.col("key").between(ranges[k][2], ranges[k][3]) for k in ranges if self.pieces[k] > 1]
         if split:  # the pieces as they come out, not as they should
             heavy = reduce(Column.__or__, split)
-            found = with_places(keys.filter(heavy).select("key", "tie", "size"), self).groupBy("range", "piece").agg(F.sum("size").alias("n")).collect()
+            found = with_places(keys.filter(heavy).select("key", "tie", "size"), self).groupBy("range", "piece").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
             sizes |= {(r.range, r.piece): r.n for r in found}
+            rows |= {(r.range, r.piece): r["rows"] for r in found}
         for (k, piece), s in dealt(sizes, shards).items():
             self.shards[self.first[k] + piece] = s
+            self.cells[self.first[k] + piece] = -(-rows[k, piece] // CELL_ROWS)
 
-    def place(self, key: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Shard, range, piece and cell of each key; tie splits pieces and cells."""
+    def place(self, key: np.ndarray, tie: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shard, range, piece and cell of each key; tie splits pieces and cells, and the row's number the cells of one key."""
         at = np.minimum(np.searchsorted(self.bounds, key, "right"), len(self.pieces) - 1)
         tie = tie.view(np.uint64)
         piece = (tie % self.pieces[at].astype(np.uint64)).astype(np.int64)
-        cell = ((tie >> np.uint64(32)) % self.cells[at].astype(np.uint64)).astype(np.int64)
-        return self.shards[self.first[at] + piece], at, piece, cell
+        slot = self.first[at] + piece
+        cell = (((tie >> np.uint64(32)) + np.where(self.single[at], number, 0).astype(np.uint64)) % self.cells[slot].astype(np.uint64)).astype(np.int64)
+        return self.shards[slot], at, piece, cell
 
 
-def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """row (a struct of the columns), size, text_crc32, key and tie of each document."""
+def keyed(docs: DataFrame, columns: list[str], order: Sequence[Column] = ()) -> DataFrame:
+    """row (a struct of the columns), size, text_crc32, key, tie and order of each document.
+
+    The key is the first PREFIX bytes of the text, then KEY_DIGITS hexadecimal digits of its hash.
+    """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    return docs.select(row, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("key"), F.xxhash64(F.lit("tie"), "doc_id").alias("tie"))
+    begin = F.rpad(F.hex(F.substring(data, 1, PREFIX)), 2 * PREFIX, "0")
+    key = F.conv(F.concat(begin, F.substring(F.lpad(F.hex(F.xxhash64(data)), 16, "0"), 1, KEY_DIGITS)), 16, 10).cast("long").alias("key")
+    place = [F.struct(*order).alias("order")] if order else []
+    return docs.select(row, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key, F.xxhash64(F.lit("tie"), "doc_id").alias("tie"), *place)
 
 
 PLACES = ["shard", "range", "piece", "cell"]
@@ -144,23 +157,35 @@ def with_places(rows: DataFrame, plan: Plan) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
-            got = plan.place(batch.column("key").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False))
+            number = np.arange(seen, seen + batch.num_rows)
+            seen += batch.num_rows
+            got = plan.place(batch.column("key").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False), number)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, pa.int64()) for x in got)], names=[*names, *PLACES])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in PLACES)]))
 
 
 def numbered(rows: DataFrame, plan: Plan) -> DataFrame:
-    """rows (as of keyed) with shard and slot. Slots are counted over cells, so no task holds a shard."""
-    names = rows.columns
-    rows = with_places(rows, plan)
-    sums = rows.groupBy(*PLACES).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("range", "piece", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*PLACES, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy(*PLACES).orderBy("key", "tie")) - 1
-    rows = rows.withColumn("inner", inner).join(sums, PLACES)
-    return rows.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("inner")).cast("long").alias("slot"))
+    """rows (as of keyed) with shard and slot, in the given order of rows, or else by key.
+
+    Slots are counted over cells, so no task holds a shard. An order is a value and a number; cells are stretches
+    of the number. Without one, the rows must be read from a written table, as their numbers there split hot keys.
+    """
+    names = [c for c in rows.columns if c != "order"]
+    if "order" in rows.columns:
+        first, second = (F.col("order")[f.name] for f in rows.schema["order"].dataType.fields)
+        cell, inner = F.struct(first.alias("a"), F.floor(second / ORDER_ROWS).alias("b")), [second]
+    else:
+        cell, inner = F.struct("range", "piece", "cell"), [F.col("key"), F.col("tie")]
+    rows = with_places(rows, plan).select(*rows.columns, F.col("shard").alias("s"), cell.alias("c"))
+    sums = rows.groupBy(F.col("s").alias("shard"), F.col("c").alias("cell")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("s", "c").orderBy(*inner)) - 1
+    rows = rows.withColumn("at", at).join(sums, (F.col("s") == F.col("shard")) & F.col("c").eqNullSafe(F.col("cell")))
+    return rows.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -168,14 +193,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     (gapless from 0 in each shard), for every row.
 
     Null and empty texts count as equal. Repeated rows each get a slot; rows that agree in id and text share
-    a shard. An empty table gives an empty result. Reruns agree. Further columns are not used.
+    a shard. An empty table gives an empty result. Reruns agree but for which of equal texts has which of their
+    slots. Further columns are not used.
     """
     keys = cut(keyed(docs, ["doc_id"]))
     return numbered(keys, Plan(keys, shards)).select("row.doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def sharded_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All columns of docs with shard and slot, which take the place of columns so named."""
-    docs = without(docs, ["shard", "slot"])
+def sharded_rows(docs: DataFrame, shards: int = SHARDS, order: Sequence[Column] = ()) -> DataFrame:
+    """All columns of docs with shard and slot, which take the place of columns so named.
+
+    order may give the order of slots in a shard: two columns, a value and a number from 0, that are unique
+    together; such as the file and the row in it that a table was read from. Else slots go by key. As to nulls,
+    repeated rows and empty tables as shard().
+    """
     plan = Plan(cut(keyed(docs, ["doc_id"])), shards)
-    return numbered(keyed(docs, docs.columns), plan).select("row.*", "shard", "slot")
+    rows = keyed(docs, without(docs, ["shard", "slot"]).columns, order)
+    return numbered(rows if order else written(rows), plan).select("row.*", "shard", "slot")

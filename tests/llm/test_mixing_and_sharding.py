@@ -1,7 +1,9 @@
+import bisect
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pairwell.llm import mixing, queries, sharding
@@ -53,6 +55,34 @@ def test_mix_on_odd_rows(spark):
     assert all(r.taken == 0 for r in mixing.curriculum(frame.withColumn("text", F.lit(None).cast("string"))).collect())
 
 
+def test_positions_are_spread_evenly_over_the_words_trained(spark):
+    """Sorted by position, the words of all copies add up in proportion to it; at any of them the sources stand in the ratio of their weights then."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("id") % 7 % 4 + 1).cast("int")).alias("source"))
+    rows = mixing.curriculum(docs).collect()
+    copies = sorted((p, r.size, r.source) for r in rows if r.copies for p in r.positions)
+    words = np.cumsum([n for _, n, _ in copies])
+    assert np.abs(words / words[-1] - [p for p, *_ in copies]).max() < 0.01
+    knots = [mixing.SCHEDULES[i % 3] for i in range(4)]
+    target = {r.source: r.target for r in rows}
+    grid = np.linspace(0, 1, 2001)
+    rate = np.array([np.interp(grid, *zip(*k, strict=True)) for k in knots])
+    rate *= (np.array([target[x] for x in "abcd"]) / rate.mean(1))[:, None]
+    trained = np.cumsum(rate.sum(0)) / rate.sum()
+    for low, high in ((0, 0.2), (0.4, 0.6), (0.8, 1)):
+        part = rate[:, (trained >= low) & (trained <= high)].sum(1)
+        got = np.array([sum(n for p, n, x in copies if x == s and low <= p <= high) for s in "abcd"])
+        np.testing.assert_allclose(got / got.sum(), part / part.sum(), atol=0.01)
+    assert all(r.position > 1 for r in rows if not r.taken)
+
+
+def test_very_long_texts(spark):
+    docs = [(1, "w " * 700_000, "en", "a", 1), (2, "x" * 1_500_000, "en", "b", 1), (3, "y z", "en", "b", 1), (4, "x" * 1_500_000, "en", "a", 1)]
+    frame = spark.createDataFrame(docs, helpers.SCHEMA)
+    assert helpers.rows_of(mixing.curriculum(frame), "doc_id", "size") == [(1, 700_000), (2, 1), (3, 2), (4, 1)]
+    rows = {r.doc_id: r for r in sharding.shard(frame).collect()}
+    assert [rows[i]["size"] for i in (1, 2, 3, 4)] == [1_400_001, 1_500_001, 4, 1_500_001] and len({(r.shard, r.slot) for r in rows.values()}) == 4
+
+
 def test_schedules_shape_the_order(spark):
     """The share of a source among positions follows its schedule."""
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("source"))
@@ -75,9 +105,9 @@ def test_inverse_inverts_the_integral(spark):
 
 def test_mixed_rows(spark):
     docs = [(i, " ".join(helpers.prose(i, 10)), "en", "abc"[i % 3], 1) for i in range(90)] + helpers.odd_rows()
-    frame = helpers.clashing(spark.createDataFrame(docs, helpers.SCHEMA), ["size", "__size", "copies"])
+    frame = helpers.clashing(spark.createDataFrame(docs, helpers.SCHEMA), ["size", "__size", "copies", "place", "places", "row", "id"])
     got = mixing.mixed(frame)
-    assert got.columns == frame.columns
+    assert got.columns == frame.columns and got.filter("size <> 'mine' or __size <> 'mine' or place <> 'mine' or row <> 'mine'").count() == 0
     plan = {r.doc_id: r.copies for r in mixing.curriculum(frame).collect() if r.doc_id is not None and r.doc_id >= 10}
     seen = {}
     for r in got.collect():
@@ -112,6 +142,53 @@ def test_shards_of_odd_rows(spark):
     assert wide.columns == [*[c for c in frame.columns if c not in ("shard", "slot")], "shard", "slot"] and wide.count() == len(docs)
 
 
+def test_shards_equal_brute_force(spark):
+    """Keys, ranges and the dealing of ranges, read anew from the texts and the sampled boundaries."""
+    docs = [(i, ["the cat ", "The dog ", "the ", "", "é"][i % 5] + "x" * (i % 50) + str(i % 900), "en", "s", 1) for i in range(4000)] + helpers.odd_rows()
+    frame = spark.createDataFrame(docs, helpers.SCHEMA)
+    keys = sharding.cut(sharding.keyed(frame, ["doc_id"]))
+    plan = sharding.Plan(keys, 8)
+
+    def key(text):
+        data = (text or "").encode()
+        return int(data[:4].hex().ljust(8, "0") + xxhash.xxh64_hexdigest(data, 42)[:7], 16)
+
+    loads, of = {}, {}
+    for d in docs:
+        of[d[1] or ""] = bisect.bisect_right(plan.bounds.tolist(), key(d[1]))
+        loads[of[d[1] or ""]] = loads.get(of[d[1] or ""], 0) + len((d[1] or "").encode()) + 1
+    assert len(loads) > 100 and (plan.pieces == 1).all()
+    held, want = [0] * 8, {}
+    for k in sorted(loads, key=lambda k: (-loads[k], k)):
+        s = min(range(8), key=lambda s: (held[s], s))
+        want[k], held[s] = s, held[s] + loads[k]
+    rows = sharding.shard(frame).collect()
+    shard_of = {}
+    for r in rows:
+        shard_of.setdefault((r.doc_id, r.text_crc32), set()).add(r.shard)
+    assert shard_of == {(d[0], zlib.crc32((d[1] or "").encode())): {want[of[d[1] or ""]]} for d in docs}
+
+
+def test_one_row_many_times_over_is_numbered_in_many_cells(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("again and again").alias("text"))
+    keys = sharding.cut(sharding.keyed(rows, ["doc_id"]))
+    plan = sharding.Plan(keys, 8)
+    cells = sharding.with_places(keys, plan).groupBy(*sharding.PLACES).count().agg(F.max("count")).first()[0]
+    assert cells <= 4 * sharding.CELL_ROWS
+    check_shards(sharding.shard(rows).collect(), 9)
+
+
+def test_slots_follow_a_given_order(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 977).cast("string")).alias("text"), F.concat(F.lit("f"), F.floor(F.col("id") / 10_000).cast("string")).alias("file"), (F.col("id") % 10_000).alias("nth"))
+    got = sharding.sharded_rows(docs, order=(F.col("file"), F.col("nth")))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.shard, []).append((r.slot, r.file, r.nth))
+    for rows in by.values():
+        rows.sort()
+        assert [s for s, *_ in rows] == list(range(len(rows))) and [x[1:] for x in rows] == sorted(x[1:] for x in rows)
+
+
 def test_a_text_that_outweighs_a_shard_is_split_and_others_are_not(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("hot text " * 20).alias("text"))
     rest = spark.range(3000, 9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text " * 12), (F.col("id") % 2000).cast("string")).alias("text"))
