@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairwell.llm import decontam, langid, mixing, ngram_join, sharding
 from pairwell.llm.common import table, written
@@ -29,8 +30,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
-    return sharding.sharded_rows(docs)
+    """All documents with their shard and their slot in it, slots in the order of the files read: the training order."""
+    return sharding.sharded_rows(docs, order=(F.col("_metadata.file_name"), F.col("_metadata.row_index")) if docs.inputFiles() else ())
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix), ("sharding", shards)]
