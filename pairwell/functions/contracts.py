@@ -1,7 +1,7 @@
 """Contracts on leaves: which paths an object may and must have, and what each may hold.
 
 A contract is a list of fields; checks compile to one native boolean expression, once per query. Array
-positions are written * in a field's path.
+positions are written * in a field's path, keys as jsontext.pointer() does.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwell.functions.numbers import CANONICAL_INTEGER
+from pairwell.functions.numbers import CANONICAL_INTEGER, STRICT_NUMBER
 
 # Fixed value: how a canonical integer is spelled as a string; searched for, so a final newline passes.
 CANONICAL_SEARCH = r"^-?(?:0|[1-9][0-9]*)$"
@@ -51,7 +51,7 @@ def kind_at(leaves: Column, path: str) -> Column:
 
 
 def key_order(leaves: Column, scope: str = "") -> Column:
-    """The keys of the object at a path, in their order."""
+    """The keys of the object at a path, in their order, as they stand in paths."""
     inside = F.filter(leaves, lambda x: x["path"].startswith(scope + "/") & ~F.substr(x["path"], F.lit(len(scope) + 2)).contains("/"))
     return F.transform(inside, lambda x: F.substr(x["path"], F.lit(len(scope) + 2)))
 
@@ -100,6 +100,12 @@ def answer_contract(representation: str, order: tuple[str, str] = ("reasoning",
     return [fields[name] for name in order]
 
 
+def baseline_contract(order: tuple[str, str] = ("reasoning", "answer")) -> list[Field]:
+    """The historic two-field object: any reasoning, and an answer that is a number in a string."""
+    fields = {"reasoning": Field("/reasoning", "string"), "answer": Field("/answer", "string", pattern=STRICT_NUMBER)}
+    return [fields[name] for name in order]
+
+
 def integers_as_strings(contract: list[Field]) -> list[Field]:
     """The contract with every integer as a canonical string; refuses limits that a string cannot carry."""
     for f in contract:

@@ -3,11 +3,13 @@
 One small Arrow helper reads a response into leaves (path, shape, kind, text); every contract check, transform
 and score is a native expression over that array. A leaf's path joins keys and positions with /, its shape has
 * for positions; the root is the empty path. Kinds: null, boolean, integer, integral (a float without fraction), number, string, object,
-array. Objects keep the order of keys; of a repeated key the last value counts.
+array. Objects keep the order of keys; of a repeated key the last value counts. Inside a path a key's ~ is written
+~0, its / is ~1, and a key that is just * is ~2.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from typing import Any
 
@@ -25,7 +27,44 @@ def _utf8(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def _kind(value: Any) -> tuple[str, str | None]:
+def pointer(key: str) -> str:
+    """A key as it stands in a path."""
+    return "~2" if key == "*" else key.replace("~", "~0").replace("/", "~1") if "~" in key or "/" in key else key
+
+
+def key_of(part: str) -> str:
+    """The key that a part of a path stands for."""
+    return "*" if part == "~2" else part.replace("~1", "/").replace("~0", "~")
+
+
+def value_of(leaves: list[dict]) -> Any:
+    """The value that leaves spell, a parent before its children."""
+    plain = {"null": lambda t: None, "boolean": lambda t: t == "true", "integer": int, "integral": float, "number": float, "string": str, "object": lambda t: {}, "array": lambda t: []}
+    held: dict[str, Any] = {}
+    for leaf in leaves:
+        value = plain[leaf["kind"]](leaf["text"])
+        held[leaf["path"]] = value
+        if leaf["path"]:
+            above, part = leaf["path"].rsplit("/", 1)
+            owner = held[above]
+            if isinstance(owner, list):
+                owner.append(value)
+            else:
+                owner[key_of(part)] = value
+    return held[""]
+
+
+@F.arrow_udf(T.StringType())
+def state_digest(leaves: pa.Array) -> pa.Array:
+    """The digest of the state after one call: its canonical JSON (sorted keys, no blanks), counted as the first."""
+    out = []
+    for call in leaves.to_pylist():
+        text = None if call is None else json.dumps({"call_count": 1, "last_call": value_of(call)}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        out.append(None if text is None else hashlib.sha256(text.encode()).hexdigest())
+    return pa.array(out, pa.string())
+
+
+def kind_and_text(value: Any) -> tuple[str, str | None]:
     if value is None:
         return "null", None
     if isinstance(value, bool):
@@ -70,13 +109,13 @@ class _Batch:
         todo: list[tuple[str, str, Any]] = [("", "", root)]
         while todo:
             path, shape, value = todo.pop()
-            kind, text = _kind(value)
+            kind, text = kind_and_text(value)
             self.path.append(path)
             self.shape.append(shape)
             self.kind.append(kind)
             self.text.append(text)
             if kind == "object":
-                todo += [(f"{path}/{k}", f"{shape}/{k}", v) for k, v in ((_utf8(k), v) for k, v in reversed(value.items()))]
+                todo += [(f"{path}/{k}", f"{shape}/{k}", v) for k, v in ((pointer(_utf8(k)), v) for k, v in reversed(value.items()))]
             elif kind == "array":
                 todo += [(f"{path}/{i}", f"{shape}/*", value[i]) for i in range(len(value) - 1, -1, -1)]
 

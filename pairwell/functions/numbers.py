@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
 
@@ -13,11 +14,20 @@ from pyspark.sql import types as T
 # The patterns that decide what counts as a number and as an answer marker.
 NUMBER = r"(?U)-?\$?\d[\d,]*(?:\.\d+)?(?:/\d[\d,]*)?"
 SIMPLE_NUMBER = r"-?\d+(?:\.\d+)?"
-STRICT_NUMBER = r"\A[-+]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?(?:/\d+)?\z"
+# The last is the answer pattern of the baseline contract; the flags give \d and $ the meaning that it was written for.
+STRICT_NUMBER = r"(?Ud)^-?(?:(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?|(?:\d+|\d{1,3}(?:,\d{3})+)/(?:\d+|\d{1,3}(?:,\d{3})+))$"
 CANONICAL_INTEGER = r"\A-?(?:0|[1-9][0-9]*)\z"
 MARKER = r"(?i)Final answer\s*:\s*"
 
 
+_WHITE = r"[\s\x1C-\x1F]"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, rf"(?U)\A{_WHITE}+", ""), rf"(?U)(?<!{_WHITE}){_WHITE}+\z", "")
+
+
 def numbers(text: Column, pattern: str = NUMBER) -> Column:
     """All number mentions of a text, in order."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -28,18 +38,24 @@ def last_number(text: Column, pattern: str = NUMBER) -> Column:
     return F.try_element_at(numbers(text, pattern), F.lit(-1))
 
 
-def _exact(value: str | None) -> str | None:
-    if value is None:
-        return None
+def _value(text: str) -> Fraction | None:
+    """The exact value that a text spells as a decimal or as a fraction of two plain integers, if it does."""
     try:
-        if "/" in value:
-            return str(Fraction(value))
-        number = Decimal(value)
-        if not number.is_finite():
-            return None
-        return str(int(number)) if number == number.to_integral_value() and number else f"{number.normalize():f}"
-    except (InvalidOperation, ValueError, ZeroDivisionError):
-        return value.casefold()
+        whole = re.fullmatch(r"(-?\d+)/(\d+)", text)
+        return Fraction(int(whole[1]), int(whole[2])) if whole else Fraction(Decimal(text))
+    except (InvalidOperation, ValueError, ZeroDivisionError, OverflowError):
+        return None
+
+
+def _exact(text: str | None) -> str | None:
+    if text is None:
+        return None
+    value = _value(text)
+    if value is None:
+        return None if re.fullmatch(r"[-+]?(?:inf(?:inity)?|s?nan\d*)", text, re.IGNORECASE) else text.casefold()
+    if value.denominator == 1:
+        return "-0" if not value and text.startswith("-") and "/" not in text else str(value.numerator)
+    return str(value) if "/" in text else f"{Decimal(text).normalize():f}"
 
 
 @F.pandas_udf(T.StringType())
@@ -53,7 +69,7 @@ def canonical_number(value: Column) -> Column:
     Plain integers take the native way; only the rest is handed to the exact decimal and fraction helper.
     Infinite values give null.
     """
-    bare = F.regexp_replace(F.trim(value), r"[,$]", "")
+    bare = F.regexp_replace(stripped(value), r"[,$]", "")
     bare = F.regexp_replace(bare, r"[. ]+$", "")
     plain = bare.rlike(r"\A-?(?:0|[1-9][0-9]*)\z")
     other = _exact_form(F.when(~plain & (bare != ""), bare))
@@ -70,7 +86,7 @@ def free_answer(text: Column) -> Column:
     tail = F.try_element_at(F.split(text, MARKER, -1), F.lit(-1))
     first = F.nullif(F.regexp_extract(tail, f"({NUMBER})", 1), F.lit(""))
     answer = F.when(present, first).otherwise(last_number(text))
-    rest = F.trim(F.regexp_extract(tail, rf"(?s)\A.*?{NUMBER}(.*)\z", 1))
+    rest = stripped(F.regexp_extract(tail, rf"(?s)\A.*?{NUMBER}(.*)\z", 1))
     return F.struct(
         answer.alias("answer"),
         F.when(answer.isNull(), "not_found").when(present, "final_answer_marker").otherwise("last_number_fallback").alias("method"),
@@ -80,8 +96,8 @@ def free_answer(text: Column) -> Column:
 
 
 def strict_number(text: Column) -> Column:
-    """The trimmed text if it is nothing but a number, else null."""
-    return F.when(F.trim(text).rlike(STRICT_NUMBER), F.trim(text))
+    """The stripped text if it is nothing but a number, else null."""
+    return F.when(stripped(text).rlike(STRICT_NUMBER), stripped(text))
 
 
 def consistency(reasoning: Column, answer: Column) -> Column:
@@ -95,9 +111,9 @@ def sign_inverse(left: Column, right: Column) -> Column:
 
 
 def gold_answer(solution: Column) -> Column:
-    """What follows the last ####, trimmed; null without the mark or without a digit after it."""
-    tail = F.trim(F.substring_index(solution, "####", -1))
-    return F.when(solution.contains("####") & tail.rlike(r"\d"), tail)
+    """What follows the last ####, stripped; null without the mark or without a digit after it."""
+    tail = stripped(F.substring_index(solution, "####", -1))
+    return F.when(solution.contains("####") & tail.rlike(r"(?U)\d"), tail)
 
 
 def id_index(value: Column, prefix: str) -> Column:
@@ -106,8 +122,8 @@ def id_index(value: Column, prefix: str) -> Column:
 
 
 def tail_of(text: Column, length: int = 240) -> Column:
-    """The last characters of the trimmed text, null for null."""
-    return F.right(F.trim(text), F.lit(length))
+    """The last characters of the text, null for null."""
+    return F.right(text, F.lit(length))
 
 
 def percent(value: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.functions import contracts, numbers
+from pairwell.functions import contracts, jsontext, numbers
 from pairwell.plans.transforms import IntegerString, Plan
 
 
@@ -24,7 +28,7 @@ def baseline_score(read: Column, order: tuple[str, str]) -> Column:
     return F.struct(
         read["whole"].alias("whole"),
         read["recovered"].alias("recovered"),
-        contracts.conforms(leaves, contracts.answer_contract("string", order)).alias("schema_valid"),
+        contracts.conforms(leaves, contracts.baseline_contract(order)).alias("schema_valid"),
         F.coalesce(contracts.key_order(leaves) == F.array(*map(F.lit, order)), F.lit(False)).alias("order_matches"),
         answer.alias("predicted"),
         numbers.strict_number(text).isNotNull().alias("strict_numeric"),
@@ -70,31 +74,73 @@ def equal_values(kind: Column, text: Column, other_kind: Column, other_text: Col
     return F.coalesce(F.when(both, numbers.canonical_number(text) == numbers.canonical_number(other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
 
 
-def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field], accepted: dict[str, Column]) -> DataFrame:
-    """rows with s: whether a call selects the tool, satisfies the internal and external contracts, gives accepted
-    values, and succeeds.
+#: Arguments and the values that count as right for each: texts of scalars as columns, or JSON values.
+Accepted = dict[str, list[Column | Any]]
 
-    accepted holds one wanted text per argument path. receipt is the digest of the state after the one call,
-    null if it cannot be executed.
-    """
+
+def _plain(kind: Column, text: Column) -> tuple[Column, Column]:
+    """Kind and text under which equal values agree: numbers by value."""
+    return F.when(kind.isin("integer", "integral", "number"), "number").otherwise(kind), F.when(kind == "integral", F.regexp_replace(text, r"\.0+\z", "")).otherwise(text)
+
+
+def _parts(value: Any, path: str = "") -> list[tuple[str, str, str | None]]:
+    """Paths, kinds and texts of a JSON value, as _plain() has them."""
+    kind, text = jsontext.kind_and_text(value)
+    kind, text = ("number", text.removesuffix(".0")) if kind in ("integer", "integral", "number") else (kind, text)
+    inner = [(jsontext.pointer(k), v) for k, v in value.items()] if kind == "object" else list(enumerate(value)) if kind == "array" else []
+    return [(path, kind, text), *(x for k, v in inner for x in _parts(v, f"{path}/{k}"))]
+
+
+def matches(leaves: Column, path: str, option: Column | Any) -> Column:
+    """Whether the value at a path equals an option: lists and objects in all their parts, objects in any order."""
+    inside = F.filter(leaves, lambda x: (x["path"] == path) | x["path"].startswith(path + "/"))
+    if isinstance(option, Column):
+        return F.coalesce((F.size(inside) == 1) & (F.get(F.transform(inside, lambda x: _plain(x["kind"], x["text"])[1]), F.lit(0)) == option), F.lit(False))
+    shown = lambda p, k, t: F.to_json(F.array(p, k, F.coalesce(t, F.lit("null"))))
+    have = F.transform(inside, lambda x: shown(F.substr(x["path"], F.lit(len(path) + 1)), *_plain(x["kind"], x["text"])))
+    want = [json.dumps([p, k, "null" if t is None else t], ensure_ascii=False, separators=(",", ":")) for p, k, t in _parts(option)]
+    return F.array_sort(have) == F.array_sort(F.array(*map(F.lit, want)))
+
+
+def arguments_right(leaves: Column, accepted: Accepted) -> Column:
+    """Whether every argument given is one with options, and its value one of them."""
+    known = [jsontext.pointer(k) for k in accepted]
+    right = F.size(F.array_except(contracts.key_order(leaves, "/arguments"), F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))) == 0
+    for key, options in accepted.items():
+        path = f"/arguments/{jsontext.pointer(key)}"
+        right = right & (contracts.kind_at(leaves, path).isNull() | reduce(Column.__or__, [matches(leaves, path, o) for o in options], F.lit(False)))
+    return F.coalesce(right, F.lit(False))
+
+
+def executed(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field]) -> DataFrame:
+    """rows with internal and valid (the call satisfies the internal contract; and the external one, once turned back)
+    and call, the leaves of a valid call with its integers decoded."""
     whole = F.when(F.col(read)["whole"], F.col(read)["leaves"])
     external = tool_contract(name, contracts.integers_as_strings(arguments))
-    steps = tuple(IntegerString(f.path) for f in arguments if f.type == "integer")
+    whole_numbers = [f.path for f in arguments if f.type == "integer"]
+    out = Plan(tuple(external), tuple(IntegerString(p) for p in whole_numbers)).run(rows, whole).withColumn("internal", contracts.conforms(whole, tool_contract(name, arguments)))
+    decoded = F.transform("external", lambda x: F.when(x["shape"].isin(*whole_numbers) & (x["kind"] == "string"), x.withField("kind", F.lit("integer"))).otherwise(x)) if whole_numbers else F.col("external")
+    return out.withColumn("valid", F.col("internal") & F.col("code").isNull()).withColumn("call", F.when(F.col("valid"), decoded))
+
+
+def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field], accepted: Accepted) -> DataFrame:
+    """rows with s: whether a call selects the tool, satisfies the internal and external contracts, gives accepted
+    values and no argument without any, and succeeds."""
     keep = rows.columns
-    out = Plan(tuple(external), steps).run(rows, whole).withColumn("__internal", contracts.conforms(whole, tool_contract(name, arguments)))
-    valid = F.col("__internal") & F.col("code").isNull()
-    right = F.lit(True)
-    for path, wanted in accepted.items():
-        right = right & F.coalesce(contracts.text_at(F.col("external"), path) == wanted, F.lit(False))
-    state = F.array_join(F.array_sort(F.transform("external", lambda x: F.concat_ws("=", x["path"], x["text"]))), "\n")
-    out = out.withColumns({"__valid": valid, "__right": valid & right, "__selected": F.coalesce(contracts.text_at(whole, "/name") == name, F.lit(False))})
+    whole = F.when(F.col(read)["whole"], F.col(read)["leaves"])
+    out = executed(rows, read, name, arguments)
+    out = out.withColumns({"right": F.col("valid") & arguments_right(F.col("call"), accepted), "selected": F.coalesce(contracts.text_at(whole, "/name") == name, F.lit(False))})
     score = F.struct(
         F.col(read)["whole"].alias("whole"),
-        F.col("__selected").alias("selected"),
-        F.col("__internal").alias("internal_valid"),
-        F.col("__valid").alias("external_valid"),
-        F.col("__right").alias("arguments_correct"),
-        (F.col("__selected") & F.col("__right")).alias("success"),
-        F.when(F.col("__valid"), F.sha2(state.cast("binary"), 256)).alias("receipt"),
+        F.col("selected"),
+        F.col("internal").alias("internal_valid"),
+        F.col("valid").alias("external_valid"),
+        F.coalesce("right", F.lit(False)).alias("arguments_correct"),
+        (F.col("selected") & F.coalesce("right", F.lit(False))).alias("success"),
     )
     return out.select(*keep, score.alias("s"))
+
+
+def receipts(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field]) -> DataFrame:
+    """The rows whose call can be executed, with receipt: the digest of the state after it."""
+    return executed(rows, read, name, arguments).filter("valid").select(*rows.columns, jsontext.state_digest("call").alias("receipt"))

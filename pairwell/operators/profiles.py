@@ -30,9 +30,9 @@ def per_token(latency: Column, tokens: Column) -> Column:
     return F.avg(F.when(tokens > 0, latency / tokens))
 
 
-def exact_total(value: Column, scale: int = 3) -> Column:
-    """A sum that does not depend on order: values have so many decimals at most."""
-    return F.sum(value.cast(f"decimal(28,{scale})")).cast("double")
+def exact_total(value: Column, scale: int = 20) -> Column:
+    """The sum of the values as written, rounded once, whatever their order; values have so many decimals at most."""
+    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double")
 
 
 def profile(rows: DataFrame, by: list[str], flags: dict[str, Column], policy: str) -> DataFrame:

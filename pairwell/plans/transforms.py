@@ -2,7 +2,7 @@
 
 forward() gives the contract that a model sees; inverse() turns the leaves of its output back. Output that
 does not satisfy the internal contract, cannot be reversed, or fails the external contract yields a typed
-error code and no value: a partial result never comes out.
+error code and no value: a partial result never comes out. Steps name keys as they stand in paths (jsontext.pointer).
 """
 
 from __future__ import annotations
@@ -56,11 +56,11 @@ class KeyAlias:
         return [replace(f, path=f"/{self.alias}" + f.path[len(self.key) + 1 :]) if f.path == f"/{self.key}" or f.path.startswith(f"/{self.key}/") else f for f in contract]
 
     def inverse(self, leaves: Column) -> Column:
-        back = lambda path: F.regexp_replace(path, rf"\A/{self.alias}(?=/|\z)", f"/{self.key}")
+        back = lambda path: F.when(_within(path, self.alias), F.concat(F.lit(f"/{self.key}"), F.substr(path, F.lit(len(self.alias) + 2)))).otherwise(path)
         return F.transform(leaves, lambda x: x.withField("path", back(x["path"])).withField("shape", back(x["shape"])))
 
     def reversible(self, leaves: Column) -> Column:
-        return F.forall(leaves, lambda x: ~x["path"].rlike(rf"\A/{self.key}(?:/|\z)"))
+        return F.forall(leaves, lambda x: ~_within(x["path"], self.key))
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,12 @@ class FieldOrder:
 
 
 def _under(leaves: Column, key: str) -> Column:
-    return F.filter(leaves, lambda x: x["path"].rlike(rf"\A/{key}(?:/|\z)"))
+    return F.filter(leaves, lambda x: _within(x["path"], key))
+
+
+def _within(path: Column, key: str) -> Column:
+    """Whether a path is that of a root key or lies below it."""
+    return (path == f"/{key}") | path.startswith(f"/{key}/")
 
 
 @dataclass(frozen=True)

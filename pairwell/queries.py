@@ -450,8 +450,16 @@ def scl_02_canonical_number(spark, sf_dir):
 
 def _free_text() -> Column:
     k = F.col("k").cast("string")
-    shape = F.col("pos") % 4
-    return F.when(shape == 0, F.concat(F.lit("I add 3 and get it. Final answer: "), k, F.lit("."))).when(shape == 1, F.concat(F.lit("final ANSWER : "), k, F.lit(" because 5 is less"))).when(shape == 2, F.concat(F.lit("First 4 then "), k)).otherwise(F.lit("7 tries. Final answer: none"))
+    shape = F.col("pos") % 6
+    texts = [
+        F.concat(F.lit("I add 3 and get it. Final answer: "), k, F.lit(".")),
+        F.concat(F.lit("final ANSWER : "), k, F.lit(" because 5 is less")),
+        F.concat(F.lit("First 4 then "), k),
+        F.lit("7 tries. Final answer: none"),
+        F.concat(F.lit("Final answer: 9\nFinal answer:\n"), k, F.lit(" .\n\t")),
+        F.concat(F.lit("Final answer: "), k, F.lit("\n")),
+    ]
+    return F.element_at(F.array(*texts), (shape + 1).cast("int"))
 
 
 @query
@@ -462,16 +470,19 @@ def scl_03_free_answer(spark, sf_dir):
 
 @query
 def scl_07_strict_number(spark, sf_dir):
-    """Whether a written price is nothing but a number; every third has a unit."""
-    shown = F.concat(F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 3 == 0, " USD").otherwise(" "))
+    """Whether a written price is nothing but a number: with units, signs, fractions and white space of all kinds."""
+    price = F.format_number("o_totalprice", 2)
+    around = [("", " USD"), ("", "\n"), ("+", ""), ("\t-", " "), ("", "/2"), ("7/", ""), ("", "\u2003"), ("$", "")]
+    shown = F.element_at(F.array(*[F.concat(F.lit(a), price, F.lit(b)) for a, b in around]), (F.col("o_orderkey") % len(around) + 1).cast("int"))
+    shown = F.when(F.col("o_orderkey") % 16 == 5, F.lit("1/1,000")).otherwise(shown)
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.strict_number(shown).alias("strict"))
 
 
 @query
 def scl_12_gold_answer(spark, sf_dir):
-    """Gold answers after the last mark; every fifth text has no number there."""
+    """Gold answers after the last mark, up to a newline; every fifth text has no number there."""
     k = F.col("k").cast("string")
-    solution = F.concat(F.lit("so #### 1 then ####"), F.when(F.col("pos") % 5 == 0, " none").otherwise(F.concat(F.lit(" "), k, F.lit(" "))))
+    solution = F.concat(F.lit("so #### 1 then ####"), F.when(F.col("pos") % 5 == 0, " none").otherwise(F.concat(F.lit("\t"), k, F.lit(" \n"))))
     return runs(spark, sf_dir).select("pos", numbers.gold_answer(solution).alias("gold"))
 
 
@@ -499,7 +510,11 @@ def scl_16_prompts(spark, sf_dir):
 
 @query
 def sco_01_baseline_score(spark, sf_dir):
-    read = responses(spark, sf_dir).select("pos", jsontext.read_response("raw_output").alias("r"))
+    shape, variant, k = F.col("pos") % 8, F.floor(F.col("pos") / 8) % 4, F.col("k").cast("string")
+    said = lambda reasoning, answer: F.concat(F.lit('{"reasoning": "'), reasoning, F.lit('", "answer": "'), answer, F.lit('"}'))
+    odd = F.when(variant == 1, said(F.repeat(F.lit("x"), F.lit(300)), k)).when(variant == 2, said(F.lit("so"), F.concat(k, F.lit(" kg")))).when(variant == 3, said(F.lit("so"), F.concat(F.lit("+"), k)))
+    raw = F.when((shape == 3) & (variant > 0), odd).otherwise(F.col("raw_output"))
+    read = responses(spark, sf_dir).select("pos", jsontext.read_response(raw).alias("r"))
     return read.select("pos", scoring.baseline_score(F.col("r"), ORDER).alias("s")).select("pos", "s.*")
 
 
@@ -525,9 +540,8 @@ _ARGUMENTS = [contracts.Field("/arguments/sku", "string"), contracts.Field("/arg
 @query
 def sco_03_tool_score(spark, sf_dir):
     read = tool_calls(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "wanted_quantity", jsontext.read_call("raw_output").alias("r"))
-    accepted = {"/arguments/quantity_delta": F.col("wanted_quantity"), "/arguments/sku": F.concat(F.lit("P"), F.col("l_partkey").cast("string"))}
-    found = scoring.tool_score(read, "r", "adjust_stock", _ARGUMENTS, accepted).select("l_orderkey", "l_linenumber", "s.*")
-    return found.withColumn("receipt", F.col("receipt").isNotNull())
+    accepted = {"quantity_delta": [F.col("wanted_quantity")], "sku": [F.lit("none"), F.concat(F.lit("P"), F.col("l_partkey").cast("string"))], "bins": [[3], [1, 2]]}
+    return scoring.tool_score(read, "r", "adjust_stock", _ARGUMENTS, accepted).select("l_orderkey", "l_linenumber", "s.*")
 
 
 def answer_plan() -> Plan:
@@ -563,9 +577,10 @@ def val_07_gate(spark, sf_dir):
 
 @query
 def hsh_05_one_environment(spark, sf_dir):
-    """How many configurations each supplier nation has: one is consistent."""
-    rows = table(spark, sf_dir, "supplier")
-    return rows.groupBy("s_nationkey").agg(F.countDistinct(F.sha2(F.to_json(F.struct("s_nationkey")), 256)).alias("environments"), F.count("*").alias("rows"))
+    """How many environments (status and priority mode, by digest) the lines of each return flag and mode ran under: one is consistent."""
+    digest = F.sha2(F.to_json(F.struct("l_linestatus", F.year("l_shipdate").alias("year"))), 256)
+    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.countDistinct(digest).alias("environments"), F.count("*").alias("rows"))
+    return found.withColumn("holds", F.col("environments") == 1)
 
 
 @query

@@ -42,8 +42,9 @@ def src_04_inventory(spark, sf_dir):
 
 @query
 def fil_03_single_condition(spark, sf_dir):
-    """Per item of one condition's rows, how many conditions they name: one."""
-    return runs(spark, sf_dir).filter("condition = 'click'").groupBy("item_id").agg(F.countDistinct("condition").alias("conditions"), F.count("*").alias("rows"))
+    """Whether the rows of each item and answer all name one condition."""
+    found = runs(spark, sf_dir).groupBy("item_id", "answer").agg(F.countDistinct("condition").alias("conditions"), F.count("*").alias("rows"))
+    return found.withColumn("holds", F.col("conditions") == 1)
 
 
 @query
@@ -58,8 +59,8 @@ def fil_06_negative_answers(spark, sf_dir):
 
 @query
 def fil_07_no_negative_gold(spark, sf_dir):
-    """Whether a condition's gold answers are all free of signs."""
-    return responses(spark, sf_dir).groupBy("condition").agg((~F.bool_or(F.startswith("gold_answer", F.lit("-")))).alias("holds"))
+    """Whether the answers that stand for an item's gold are all free of signs."""
+    return runs(spark, sf_dir).groupBy("item_id", "condition").agg((~F.bool_or(F.startswith("answer", F.lit("-")))).alias("holds"))
 
 
 @query
@@ -93,11 +94,10 @@ def jon_04_zip(spark, sf_dir):
 
 @query
 def jon_11_lookup(spark, sf_dir):
-    """Order lines looked up in orders: found and missing."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.count_if(F.col("o_orderkey").isNull()).alias("missing"))
+    """Documents looked up in labels, which cover some of them: found and missing, by source."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "quality")
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, F.col("doc_id") == F.col("key"), "left")
+    return joined.groupBy("source").agg(F.count("*").alias("looked_up"), F.count_if(F.col("key").isNull()).alias("missing"), F.sum("quality").alias("quality"))
 
 
 @query
@@ -122,7 +122,8 @@ _ARGUMENTS = [contracts.Field("/arguments/sku", "string"), contracts.Field("/arg
 
 def _tool_scores(spark, sf_dir):
     read = tool_calls(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "wanted_quantity", jsontext.read_call("raw_output").alias("r"))
-    return scoring.tool_score(read, "r", "adjust_stock", _ARGUMENTS, {"/arguments/quantity_delta": F.col("wanted_quantity")})
+    sku = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    return scoring.tool_score(read, "r", "adjust_stock", _ARGUMENTS, {"quantity_delta": [F.col("wanted_quantity")], "sku": [sku], "bins": [[1, 2]]})
 
 
 @query
@@ -136,7 +137,8 @@ def agg_04_tool_profile(spark, sf_dir):
 @query
 def sco_05_receipts(spark, sf_dir):
     """The digest of the state after every executable call."""
-    return _tool_scores(spark, sf_dir).filter("s.receipt is not null").select("l_orderkey", "l_linenumber", F.col("s.receipt").alias("receipt"))
+    read = tool_calls(spark, sf_dir).select("l_orderkey", "l_linenumber", jsontext.read_call("raw_output").alias("r"))
+    return scoring.receipts(read, "r", "adjust_stock", _ARGUMENTS).select("l_orderkey", "l_linenumber", "receipt")
 
 
 @query
@@ -219,10 +221,10 @@ def set_02_intersection(spark, sf_dir):
 
 @query
 def set_05_overlap(spark, sf_dir):
-    """How many ids two sets share: a holdout allows none."""
-    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    pending = selection.pending(table(spark, sf_dir, "documents").select("doc_id"), labelled, "doc_id")
-    return pending.join(labelled, "doc_id", "left_semi").agg(F.count("*").alias("overlap"))
+    """How many ids a set of training documents, by source, shares with a holdout of labelled ones of quality; a holdout allows none."""
+    held = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    shared = table(spark, sf_dir, "documents").select("doc_id", "source").join(held, "doc_id", "left_semi")
+    return shared.groupBy("source").agg(F.count("*").alias("overlap"), F.min("doc_id").alias("first"))
 
 
 @query

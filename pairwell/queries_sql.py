@@ -176,7 +176,7 @@ SELECT condition, count(*) AS examples, count(*) FILTER (strict) AS strict, roun
 FROM runs GROUP BY condition""",
     "agg_05_null_policies": "SELECT lang, count(*) AS n, round(avg(CAST(quality = 1 AS INT)), 9) AS known, round(avg(CAST(coalesce(quality = 1, false) AS INT)), 9) AS of_all FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "agg_06_wilson": f"WITH s AS (SELECT l_suppkey, count(*) FILTER (l_discount > 0.05) AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, k, n, {_LINE_LOW} AS low, {_LINE_HIGH} AS high FROM s",
-    "agg_09_exact_total": _RUNS + " SELECT condition, CAST(sum(CAST(latency_ms AS DECIMAL(28, 3))) AS DOUBLE) AS latency_total, median(latency_ms) AS latency_median FROM runs GROUP BY condition",
+    "agg_09_exact_total": _RUNS + " SELECT condition, CAST(CAST(sum(CAST(CAST(latency_ms AS VARCHAR) AS DECIMAL(38, 20))) AS VARCHAR) AS DOUBLE) AS latency_total, median(latency_ms) AS latency_median FROM runs GROUP BY condition",
     "agg_15_assessed_ratio": _SHAPES
     + """, v AS (
   SELECT condition, CASE WHEN shape IN (5, 6) THEN 'not_assessable' WHEN shape = 4 THEN 'not_assessable' WHEN shape = 7 THEN CASE WHEN k = 7 THEN 'consistent' ELSE 'inconsistent' END ELSE 'consistent' END AS v FROM s
@@ -224,20 +224,26 @@ SELECT doc_id, a[-1] AS last_number, CAST(len(a) AS BIGINT) AS mentions FROM n""
     "scl_02_canonical_number": r"SELECT o_orderkey, regexp_replace(regexp_replace(format('{:.2f}', o_totalprice), '(\.\d*?)0+$', '\1'), '\.$', '') AS price FROM orders",
     "scl_03_free_answer": _RUNS
     + """
-SELECT pos, CASE WHEN pos % 4 = 3 THEN NULL ELSE CAST(k AS VARCHAR) END AS answer, CASE pos % 4 WHEN 2 THEN 'last_number_fallback' WHEN 3 THEN 'not_found' ELSE 'final_answer_marker' END AS method,
-       pos % 4 <> 2 AS marker_present, pos % 4 = 0 AS marker_at_end
+SELECT pos, CASE WHEN pos % 6 = 3 THEN NULL ELSE CAST(k AS VARCHAR) END AS answer, CASE pos % 6 WHEN 2 THEN 'last_number_fallback' WHEN 3 THEN 'not_found' ELSE 'final_answer_marker' END AS method,
+       pos % 6 <> 2 AS marker_present, pos % 6 IN (0, 5) OR pos % 6 = 4 AS marker_at_end
 FROM runs""",
-    "scl_07_strict_number": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN format('{:,.2f}', o_totalprice) END AS strict FROM orders",
+    "scl_07_strict_number": r"""
+WITH p AS (SELECT o_orderkey, o_orderkey % 8 AS v, format('{:,.2f}', o_totalprice) AS p FROM orders),
+t AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 16 = 5 THEN '1/1,000' ELSE CASE v WHEN 2 THEN '+' WHEN 3 THEN chr(9) || '-' WHEN 5 THEN '7/' WHEN 7 THEN '$' ELSE '' END || p
+         || CASE v WHEN 0 THEN ' USD' WHEN 1 THEN chr(10) WHEN 3 THEN ' ' WHEN 4 THEN '/2' WHEN 6 THEN chr(8195) ELSE '' END END AS t FROM p
+), b AS (SELECT o_orderkey, trim(t, ' ' || chr(9) || chr(10) || chr(8195)) AS t FROM t)
+SELECT o_orderkey, CASE WHEN regexp_full_match(t, '-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?') OR regexp_full_match(t, '-?(\d+|\d{1,3}(,\d{3})+)/(\d+|\d{1,3}(,\d{3})+)') THEN t END AS strict FROM b""",
     "scl_12_gold_answer": _RUNS + " SELECT pos, CASE WHEN pos % 5 <> 0 THEN CAST(k AS VARCHAR) END AS gold FROM runs",
     "scl_13_id_index": 'SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS "index" FROM customer',
-    "scl_11_tail_and_cell": "SELECT doc_id, sha256(replace(replace(right(trim(text, ' '), 240), '|', '\\|'), chr(10), ' ')) AS cell_sha256 FROM documents",
+    "scl_11_tail_and_cell": "SELECT doc_id, sha256(replace(replace(right(text, 240), '|', '\\|'), chr(10), ' ')) AS cell_sha256 FROM documents",
     "scl_16_prompts": """
 WITH p AS (SELECT conv_id, turn, 'Solve the problem. Return only one JSON object with the keys "reasoning" and "answer".' || chr(10) || chr(10) || 'Problem:' || chr(10) || coalesce(text, '') AS p FROM conversations)
 SELECT conv_id, turn, length(p) AS chars, sha256(p) AS prompt_sha256 FROM p""",
     "sco_01_baseline_score": _SHAPES
     + """
-SELECT pos, shape NOT IN (1, 2, 6) AS whole, shape <> 6 AS recovered, shape = 3 AS schema_valid, shape NOT IN (6, 7) AS order_matches,
-       CASE WHEN shape IN (5, 6) THEN NULL WHEN shape = 4 THEN CAST(k AS VARCHAR) || '.0' ELSE CAST(k AS VARCHAR) END AS predicted, shape = 3 AS strict_numeric
+SELECT pos, shape NOT IN (1, 2, 6) AS whole, shape <> 6 AS recovered, shape = 3 AND (pos // 8) % 4 < 2 AS schema_valid, shape NOT IN (6, 7) AS order_matches,
+       CASE WHEN shape IN (5, 6) THEN NULL WHEN shape = 4 THEN CAST(k AS VARCHAR) || '.0' ELSE CAST(k AS VARCHAR) END AS predicted, shape = 3 AND (pos // 8) % 4 < 2 AS strict_numeric
 FROM s""",
     "sco_02_layered_score": _SHAPES
     + """
@@ -256,7 +262,7 @@ SELECT * FROM f WHERE before <> after""",
     "sco_03_tool_score": _CALLS
     + """
 SELECT l_orderkey, l_linenumber, l_linenumber < 7 AS whole, l_linenumber IN (1, 3, 4, 5, 6) AS selected, l_linenumber IN (1, 5) AS internal_valid,
-       l_linenumber = 1 AS external_valid, l_linenumber = 1 AND wanted = given AS arguments_correct, l_linenumber = 1 AND wanted = given AS success, l_linenumber = 1 AS receipt
+       l_linenumber = 1 AS external_valid, l_linenumber = 1 AND wanted = given AS arguments_correct, l_linenumber = 1 AND wanted = given AS success
 FROM calls""",
     "trf_07_transduce": _RUNS
     + """
@@ -270,7 +276,7 @@ UNION ALL SELECT condition, 'below_cap', count(*) FROM runs WHERE hit_max_new_to
 UNION ALL SELECT condition, 'positive_latency', count(*) FROM runs WHERE NOT coalesce(latency_ms > 0, false) GROUP BY 1
 UNION ALL SELECT condition, 'strict_known', count(*) FROM runs WHERE strict IS NULL GROUP BY 1
 UNION ALL SELECT condition, 'unique_items', 1 FROM runs GROUP BY 1 HAVING count(*) <> count(DISTINCT item_id)""",
-    "hsh_05_one_environment": 'SELECT s_nationkey, count(DISTINCT s_nationkey) AS environments, count(*) AS "rows" FROM supplier GROUP BY 1',
+    "hsh_05_one_environment": 'SELECT l_returnflag, l_suppkey, count(DISTINCT (l_linestatus, year(l_shipdate))) AS environments, count(*) AS "rows", count(DISTINCT (l_linestatus, year(l_shipdate))) = 1 AS holds FROM lineitem GROUP BY ALL',
     "snk_05_item_matrix": _ARMS
     + f""",
 c AS (SELECT item_id, condition, {_CELL} AS cell FROM arms)
@@ -284,10 +290,10 @@ SQL["val_07_gate"] = _GATE + ") SELECT c.scope, coalesce(string_agg(\"check\", '
 
 SQL |= {
     "src_04_inventory": 'SELECT source, count(*) AS "rows", count(DISTINCT doc_id) AS distinct_keys, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source',
-    "fil_03_single_condition": _RUNS + " SELECT item_id, count(DISTINCT condition) AS conditions, count(*) AS \"rows\" FROM runs WHERE condition = 'click' GROUP BY item_id",
+    "fil_03_single_condition": _RUNS + ' SELECT item_id, answer, count(DISTINCT condition) AS conditions, count(*) AS "rows", min(condition) = max(condition) AS holds FROM runs GROUP BY item_id, answer',
     "fil_05_losses": _ARMS + " SELECT item_id, comparison FROM pairs WHERE cc AND NOT tc",
     "fil_06_negative_answers": _RUNS + " SELECT condition AS comparison, count(*) AS n FROM runs WHERE answer LIKE '-%' GROUP BY 1",
-    "fil_07_no_negative_gold": _RUNS + " SELECT condition, true AS holds FROM runs GROUP BY condition",
+    "fil_07_no_negative_gold": _RUNS + " SELECT item_id, condition, count(*) FILTER (pos % 4 = 0) = 0 AS holds FROM runs GROUP BY item_id, condition",
     "prj_02_rest_of_config": _ARMS.replace("x.error AS te", "x.hit_max_new_tokens AS th, y.hit_max_new_tokens AS ch, x.error AS te")
     + " SELECT comparison, count(*) FILTER (th = ch AND te IS NOT DISTINCT FROM ce) AS same, count(*) FILTER (NOT (th = ch AND te IS NOT DISTINCT FROM ce)) AS other FROM pairs GROUP BY comparison",
     "prj_06_aliases": _RUNS + " SELECT pos, correct AS correct_exact, coalesce(strict, correct) AS correct_exact_strict FROM runs",
@@ -296,7 +302,7 @@ SQL |= {
     + """,
 n AS (SELECT condition, correct, row_number() OVER (PARTITION BY condition ORDER BY pos) AS i FROM runs WHERE condition IN ('click', 'view'))
 SELECT count(*) AS pairs, count(*) FILTER (c.correct AND v.correct) AS both_correct FROM n c JOIN n v ON c.i = v.i AND c.condition = 'click' AND v.condition = 'view'""",
-    "jon_11_lookup": "SELECT o_orderpriority, count(*) AS lines, count(*) FILTER (o_orderkey IS NULL) AS missing FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "jon_11_lookup": "SELECT source, count(*) AS looked_up, count(*) FILTER (l.doc_id IS NULL) AS missing, CAST(sum(quality) AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source",
     "agg_03_consistency_profile": _SHAPES
     + f""",
 v AS (
@@ -315,7 +321,7 @@ SELECT l_linenumber, count(*) AS calls, round(avg(CAST(w AS INT)), 9) AS whole,
 FROM f GROUP BY l_linenumber""",
     "sco_05_receipts": _CALLS
     + """
-SELECT l_orderkey, l_linenumber, sha256(array_to_string(list_sort(['=2', '/arguments=3', '/arguments/bins=2', '/arguments/bins/0=1', '/arguments/bins/1=2', '/arguments/quantity_delta=' || given, '/arguments/sku=P' || l_partkey, '/name=adjust_stock']), chr(10))) AS receipt
+SELECT l_orderkey, l_linenumber, sha256('{"call_count":1,"last_call":{"arguments":{"bins":[1,2],"quantity_delta":' || given || ',"sku":"P' || l_partkey || '"},"name":"adjust_stock"}}') AS receipt
 FROM calls WHERE l_linenumber = 1""",
     "agg_08_latency_per_token": _RUNS + " SELECT item_id, round(avg(CASE WHEN generated_tokens > 0 THEN latency_ms / generated_tokens END), 6) AS latency_per_token FROM runs GROUP BY item_id",
     "agg_10_conditional_counts": _RUNS + " SELECT condition, count(error) AS errors, count(*) FILTER (hit_max_new_tokens) AS cap_hits, count(*) FILTER (strict IS NULL) AS blank, count(*) FILTER (correct AND error IS NULL) AS clean FROM runs GROUP BY condition",
@@ -334,7 +340,7 @@ pairs AS (SELECT p_brand AS comparison, x.correct AS tc, y.correct AS cc FROM ar
     "smp_03_parity_selection": _ARMS + " SELECT comparison, item_id, tc <> cc AS discordant FROM pairs WHERE tc <> cc OR left(md5(item_id), 1) < '4'",
     "set_01_union_all": "SELECT c_custkey AS key, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, NULL FROM supplier",
     "set_02_intersection": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "set_05_overlap": "SELECT count(*) AS overlap FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "set_05_overlap": 'SELECT source, count(*) AS overlap, min(doc_id) AS "first" FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source',
     "scl_04_whole_object": _SHAPES + " SELECT pos, shape NOT IN (1, 2, 6) AS whole, CASE WHEN shape IN (1, 2, 6) THEN 'invalid_json' END AS error FROM s",
     "scl_05_recovered": _SHAPES + " SELECT pos, 'integer' AS kind, CAST(k AS VARCHAR) AS text FROM s WHERE shape IN (1, 2)",
     "scl_05b_sliced": _SHAPES + " SELECT pos, shape <> 6 AS whole FROM s",

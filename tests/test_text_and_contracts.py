@@ -1,9 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairwell.functions import contracts, jsontext, numbers, scoring
+from pairwell.operators import profiles
 from pairwell.plans.transforms import FieldOrder, IntegerString, KeyAlias, Plan, ScratchField, rendered
 
 ORDER = ("reasoning", "answer")
@@ -92,9 +94,51 @@ def test_plan_round_trip_and_refusals(spark):
 def test_tool_score(spark):
     args = [contracts.Field("/arguments/sku", "string"), contracts.Field("/arguments/n", "integer"), contracts.Field("/arguments/bins", "array"), contracts.Field("/arguments/bins/*", "integer", required=False)]
     given = ['{"name": "t", "arguments": {"sku": "a", "n": -5, "bins": [1]}}', '{"name": "u", "arguments": {"sku": "a", "n": -5, "bins": []}}', '{"name": "t", "arguments": {"sku": "a", "n": "-5", "bins": []}}', '{"name": "t", "arguments": {"sku": "a", "n": 5, "bins": []}}', '{"name": "t"}']
-    got = [r.s for r in scoring.tool_score(read_rows(spark, given, jsontext.read_call), "r", "t", args, {"/arguments/n": F.lit("-5")}).orderBy("i").collect()]
+    got = [r.s for r in scoring.tool_score(read_rows(spark, given, jsontext.read_call), "r", "t", args, {"n": [F.lit("-5")], "sku": [F.lit("z"), F.lit("a")], "bins": [[], [2], [1]]}).orderBy("i").collect()]
     assert [(g.selected, g.internal_valid, g.arguments_correct, g.success) for g in got] == [(True, True, True, True), (False, False, False, False), (True, False, False, False), (True, True, False, False), (True, False, False, False)]
-    assert got[0].receipt and got[4].receipt is None
+    unlisted = scoring.tool_score(read_rows(spark, given[:1], jsontext.read_call), "r", "t", args, {"n": [F.lit("-5")], "sku": [F.lit("a")]}).first().s
+    assert unlisted.external_valid and not unlisted.arguments_correct  # bins is given, but has no options
+    done = scoring.receipts(read_rows(spark, given, jsontext.read_call), "r", "t", args).orderBy("i").collect()
+    state = '{"call_count":1,"last_call":{"arguments":{"bins":[1],"n":-5,"sku":"a"},"name":"t"}}'
+    assert done[0].receipt == hashlib.sha256(state.encode()).hexdigest() and [r.i for r in done] == [0, 3]
+
+
+def test_options_are_equal_in_all_parts(spark):
+    args = [contracts.Field("/arguments/o", "object"), contracts.Field("/arguments/o/a", "array"), contracts.Field("/arguments/o/a/*", "number", required=False), contracts.Field("/arguments/o/b~1c", "null")]
+    call = '{"name": "t", "arguments": {"o": {"b/c": null, "a": [1, 2.0, 0.5]}}}'
+    for option, same in (({"a": [1, 2, 0.5], "b/c": None}, True), ({"a": [2, 1, 0.5], "b/c": None}, False), ({"a": [1, 2, 0.5]}, False), ({"a": [1, 2, 0.5], "b/c": "null"}, False)):
+        got = scoring.tool_score(read_rows(spark, [call], jsontext.read_call), "r", "t", args, {"o": [option]}).first().s
+        assert got.external_valid and got.arguments_correct == same
+
+
+def test_keys_with_slashes_do_not_pass_for_paths(spark):
+    args = [contracts.Field("/arguments/sku", "string")]
+    given = ['{"name": "t", "arguments": {}, "arguments/sku": "P1"}', '{"name": "t", "arguments": {"sku": "P1"}}', '{"name": "t", "arguments": {"*": "P1", "~": 1, "a/b": 2}}']
+    rows = read_rows(spark, given, jsontext.read_call).orderBy("i").collect()
+    assert [x.path for x in rows[2].r.leaves] == ["", "/name", "/arguments", "/arguments/~2", "/arguments/~0", "/arguments/a~1b"]
+    assert jsontext.value_of([x.asDict() for x in rows[2].r.leaves]) == {"name": "t", "arguments": {"*": "P1", "~": 1, "a/b": 2}}
+    got = [r.s.internal_valid for r in scoring.tool_score(read_rows(spark, given, jsontext.read_call), "r", "t", args, {"sku": [F.lit("P1")]}).orderBy("i").collect()]
+    assert got == [False, True, False]
+
+
+def test_white_space_of_all_kinds(spark):
+    assert column(spark, ["so #### 18\n", "#### \t18\u2003"], numbers.gold_answer) == ["18", "18"]
+    assert column(spark, [" 12\n", "\t12", "+5", "1.5/2", "1/1,000", "-1,234.50", "12 3", "\n"], numbers.strict_number) == ["12", "12", None, None, "1/1,000", "-1,234.50", None, None]
+    assert [r.marker_at_end for r in column(spark, ["Final answer: 12.\n", "Final answer: 12 \n\t.", "Final answer: 12 kg"], numbers.free_answer)] == [True, True, False]
+    assert column(spark, [" 1,200.50\n", "6/3", "1.5/2", "-0.0", "7.", "\t"], numbers.canonical_number) == ["1200.5", "2", "1.5/2", "-0", "7", None]
+
+
+def test_the_baseline_contract(spark):
+    given = ['{"reasoning": "%s", "answer": "7"}' % ("x" * 300), '{"reasoning": "so", "answer": "abc"}', '{"reasoning": "so", "answer": "1/1,000"}', '{"reasoning": "so", "answer": "+7"}', '{"reasoning": "so", "answer": 7}']
+    got = read_rows(spark, given, jsontext.read_response).select("i", scoring.baseline_score(F.col("r"), ("reasoning", "answer")).alias("s")).orderBy("i").collect()
+    assert [r.s.schema_valid for r in got] == [True, False, True, False, False]
+
+
+def test_totals_are_rounded_once(spark):
+    rows = spark.range(10_000).select(F.lit(0.0004).alias("x"))
+    assert rows.agg(profiles.exact_total(F.col("x"))).first()[0] == 4.0
+    tenths = spark.createDataFrame([(0.1,)] * 10 + [(1e15,), (-1e15,)], "x double")
+    assert tenths.agg(profiles.exact_total(F.col("x"))).first()[0] == 1.0
 
 
 def test_equal_values(spark):
