@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import ALNUM, Words, byte_texts, cut, mix, slices, text_key, written
+from pairwell.llm.common import ALNUM, Words, byte_texts, cut, key_bits, mix, slices, text_key, with_bit, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -90,13 +90,17 @@ def shingled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), starts
 
 
-def set_size(shingles: np.ndarray) -> int:
-    """How many different shingles there are, SIZES + 1 for more than SIZES."""
-    for part in (shingles[: 4 * SIZES], shingles):  # most long texts show it at once
-        n = len(np.unique(part))
-        if n > SIZES:
-            return SIZES + 1
-    return n
+def set_sizes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many different shingles each text has, SIZES + 1 for more than SIZES."""
+    n = np.diff(starts)
+    head = SIZES + SIZES // 4
+    long = np.flatnonzero(n >= head)
+    first = np.sort(shingles[starts[long][:, None] + np.arange(head)], axis=1)
+    out = np.zeros(len(n), np.int64)
+    out[long] = (first[:, 1:] != first[:, :-1]).sum(1) + 1  # most long texts show it at once
+    for i in np.flatnonzero((n > 0) & (out <= SIZES)).tolist():
+        out[i] = len(np.unique(shingles[starts[i] : starts[i + 1]]))
+    return np.minimum(out, SIZES + 1)
 
 
 def labels(texts: list[bytes]) -> tuple[list[np.ndarray | None], list[int]]:
@@ -104,7 +108,7 @@ def labels(texts: list[bytes]) -> tuple[list[np.ndarray | None], list[int]]:
     shingles, starts = shingled(texts)
     some = np.flatnonzero(np.diff(starts))
     out: list[np.ndarray | None] = [None] * len(texts)
-    sizes = [set_size(shingles[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    sizes = set_sizes(shingles, starts).tolist()
     if not len(some):
         return out, sizes
     got = np.zeros((len(some), TREES), np.uint64)
@@ -257,16 +261,16 @@ def blocked(texts: DataFrame, groups: DataFrame, block: int, block_bytes: int =
     kind = texts.schema["least"].dataType.simpleString()
     rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(deal, f"tkey binary, copies long, least {kind}, root binary, block long"))
     many = cut(rows.groupBy("root", "block").agg(F.lit(1).alias("one")).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.lit(True).alias("more")))
-    return written(rows.join(many, "root", "left").select("tkey", "copies", "least", "root", "block", F.coalesce("more", F.lit(False)).alias("shared")))
+    return cut(rows.join(many, "root", "left").select("tkey", "copies", "least", "root", "block", F.coalesce("more", F.lit(False)).alias("shared")))
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members with shingles: the sorted distinct hashes of the text as 8-byte little-endian numbers.
 
-    Of equal texts the row of the least doc_id is read. Only texts of members are shuffled where Spark finds the
-    table of members small enough to broadcast by its size on disk, all texts otherwise.
+    Of equal texts the row of the least doc_id is read. Texts whose bit no member sets are not shuffled.
     """
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), text_key().alias("tkey"), "text")
+    texts = with_bit(texts, key_bits(members), "tkey", "near").filter("near")
     names = ["tkey", "copies", "root", "block", "shared"]
     rows = texts.join(members, "tkey").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("tkey").agg(*(F.first(c).alias(c) for c in (*names[1:], "text")))
 
@@ -454,11 +458,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     mine = docs.select("doc_id", "text")
     texts = cut(distinct_texts(cut(signatures(mine))))
-    dense = written(classes(mine, texts).filter("copies > 1 or n > 0").select(F.col("tkey").alias("__t"), F.col("leads").alias("__leads")))
+    dense = cut(classes(mine, texts).filter("copies > 1 or n > 0").select("tkey", "leads"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    keyed = docs.select(text_key().alias("__tkey"), row)
-    match = F.col("__tkey") == F.col("__t")
-    alone = keyed.join(dense, match, "left_anti").select("__row.*")
+    keyed = with_bit(docs.select(text_key().alias("__tkey"), row), key_bits(dense), "__tkey", "__near")
+    match = F.col("__tkey") == F.col("tkey")
+    near = keyed.filter("__near")
+    alone = keyed.filter("not __near").select("__row.*").unionByName(near.join(dense, match, "left_anti").select("__row.*"))
     by = F.struct(F.col("__row.doc_id").isNull(), F.col("__row.doc_id"))
-    one = keyed.join(dense.filter("__leads"), match, "left_semi").groupBy("__tkey").agg(F.min_by("__row", by).alias("__row"))
+    one = near.join(dense.filter("leads"), match, "left_semi").groupBy("__tkey").agg(F.min_by("__row", by).alias("__row"))
     return alone.unionByName(one.select("__row.*"))
