@@ -24,7 +24,9 @@ RESULT = ["n_lines", "n_removed", "clean_text"]
 def lines(docs: DataFrame, site: str) -> DataFrame:
     """Every line that is not blank: text key, position, site and two hashes of the trimmed line."""
     trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
-    rows = docs.filter(F.col("text").isNotNull()).select(text_key().alias("tkey"), F.col(f"`{site}`").alias("site"), F.posexplode(trimmed).alias("pos", "line"))
+    # the key in a projection of its own: next to posexplode it would be computed again for every line
+    rows = docs.filter(F.col("text").isNotNull()).select(text_key().alias("tkey"), F.col(f"`{site}`").alias("site"), trimmed.alias("lines"))
+    rows = rows.select("tkey", "site", F.posexplode("lines").alias("pos", "line"))
     return rows.filter("line <> ''").select("tkey", "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
@@ -47,7 +49,8 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     Lines are compared without blanks and tabs at their ends; blank lines are kept and never counted. A null
     text has no lines and stays null; a document that loses all its lines has the empty text. Rows with a
     null site keep their lines, which add no site, but lose boilerplate too. Repeated rows and copies on
-    one site add one site. Input columns named as a result column give way to it.
+    one site add one site. A very long text is rebuilt in time that grows with its lines. An empty table gives an
+    empty result. Input columns named as a result column give way to it.
     """
     docs = without(docs, RESULT)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -57,11 +60,14 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     drops = cut(drops)  # as above, for a text with very many copies
     rows = docs.select(row, "text", text_key().alias("key")).join(drops, F.col("key") == F.col("tkey"), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
+    # positions to keep by one hashed difference, then each line by its position; the lines are bound to a variable,
+    # as an expression would be split anew for each of them
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone")
+    clean = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     full = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
     return rows.select(
         "row.*",
         F.when(F.col("text").isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
     )

@@ -34,6 +34,15 @@ def test_lines_equal_brute_force(spark, least):
     assert helpers.rows_of(got, "doc_id", "n_lines", "n_removed", "clean_text") == brute(docs, least)
 
 
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, half of whose 300 000 lines go."""
+    text = "\n".join(f"boiler {i % 1000}" if i % 2 else f"own {i}" for i in range(300_000))
+    docs = [(1, text, "en", "a", 1)] + [(10 + k, "\n".join(f"boiler {i}" for i in range(1000)), "en", f"s{k}", 1) for k in range(5)] + [(3, "y" * 1_500_000, "en", "b", 1)]
+    got = helpers.rows_of(line_spread.remove_spread_lines(spark.createDataFrame(docs, helpers.SCHEMA)), "doc_id", "n_lines", "n_removed", "clean_text")
+    same = got == brute(docs, 5)
+    assert same, [r[:3] for r in got]
+
+
 def test_empty(spark):
     assert line_spread.remove_spread_lines(helpers.empty_docs(spark)).count() == 0
 
