@@ -184,7 +184,7 @@ def numbered(rows: DataFrame, plan: Plan) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     at = F.row_number().over(Window.partitionBy("s", "c").orderBy(*inner)) - 1
-    rows = rows.withColumn("at", at).join(sums, (F.col("s") == F.col("shard")) & F.col("c").eqNullSafe(F.col("cell")))
+    rows = rows.withColumn("at", at).join(sums, (F.col("s") == F.col("shard")) & (F.col("c") == F.col("cell")))
     return rows.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
