@@ -35,6 +35,24 @@ def baseline_score(read: Column, order: tuple[str, str]) -> Column:
     )
 
 
+def scored_row(text: Column, read: Column, gold: Column, free: Column, order: tuple[str, str]) -> dict[str, Column]:
+    """The flags of a run row: free text by its marker and last number, JSON by the historic score.
+
+    Flags that do not apply are null: the JSON layers and the strict answer of free text, the marker of JSON.
+    """
+    said, score = numbers.free_answer(text), baseline_score(read, order)
+    right = numbers.canonical_number(gold)
+    predicted = F.when(free, said["answer"]).otherwise(score["predicted"])
+    strict = F.when(score["strict_numeric"], contracts.text_at(read["leaves"], "/answer"))
+    layers = {name: F.when(~free, score[name]) for name in ("strict_numeric", "whole", "recovered", "schema_valid", "order_matches")}
+    return {
+        "correct": F.coalesce(numbers.canonical_number(predicted) == right, F.lit(False)),
+        "strict": F.when(~free, F.coalesce(numbers.canonical_number(strict) == right, F.lit(False))),
+        **layers,
+        "marker_at_end": F.when(free, F.coalesce(said["marker_at_end"], F.lit(False))),
+    }
+
+
 def layered_score(rows: DataFrame, read: str, gold: str, order: tuple[str, str], representation: str) -> DataFrame:
     """rows with s, the layers of a response: whole object, internal contract, semantics, external contract, and both.
 

@@ -50,6 +50,30 @@ def profile(rows: DataFrame, by: list[str], flags: dict[str, Column], policy: st
     )
 
 
+def scored_profile(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group every metric of scored rows: counts, rates over known flags, two Wilson intervals, telemetry, files.
+
+    Flags that a condition does not have (JSON layers of free text, the marker of JSON) are null there and so are
+    their rates and intervals. Medians are exact; each group's files are a sorted list of distinct names.
+    """
+    flags = ["strict_numeric", "whole", "recovered", "schema_valid", "order_matches", "marker_at_end", "hit_max_new_tokens"]
+    known = lambda name: stats.wilson(F.count_if(F.col(name)), F.count(name))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("examples"),
+        stats.successes(F.col("correct")).alias("correct_exact"),
+        *rates({"accuracy": F.col("correct"), "strict_accuracy": F.col("strict")}, "known"),
+        known("correct").alias("accuracy_ci"),
+        known("strict").alias("strict_accuracy_ci"),
+        *rates({name: F.col(name) for name in flags}, "known"),
+        F.avg("latency_ms").alias("avg_latency_ms"),
+        F.median("latency_ms").alias("median_latency_ms"),
+        F.avg("generated_tokens").alias("avg_generated_tokens"),
+        per_token(F.col("latency_ms"), F.col("generated_tokens")).alias("avg_latency_per_token_ms"),
+        F.count("error").alias("errors"),
+        F.array_sort(F.collect_set("source_file")).alias("source_files"),
+    )
+
+
 def invariants(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Per group and column the sorted distinct values, null shown as such, and whether there is just one."""
     values = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("<null>")).alias("value")) for c in columns]

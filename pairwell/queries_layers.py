@@ -100,6 +100,34 @@ def jon_11_lookup(spark, sf_dir):
     return joined.groupBy("source").agg(F.count("*").alias("looked_up"), F.count_if(F.col("key").isNull()).alias("missing"), F.sum("quality").alias("quality"))
 
 
+def _scored(spark, sf_dir):
+    """Scored rows of three models: one condition answers in free text, the others in JSON; telemetry as in the runs."""
+    pos, k, free = F.col("pos"), F.col("k").cast("string"), F.col("condition") == "signup"
+    said = F.when(pos % 4 == 0, F.concat(F.lit("So 5 and 3.\nFinal answer: "), k, F.lit(".\n"))).when(pos % 4 == 1, F.concat(F.lit("Final answer: "), k, F.lit(" apples"))).when(pos % 4 == 2, F.concat(F.lit("We get "), k)).otherwise("None.")
+    text = F.when(free, said).otherwise(F.col("raw_output"))
+    rows = responses(spark, sf_dir).select("*", F.concat(F.lit("m"), (pos % 3).cast("string")).alias("model"), F.concat(F.lit("run_"), (pos % 5).cast("string")).alias("source_file"), text.alias("said"), jsontext.read_response(text).alias("r"))
+    return rows.withColumns(scoring.scored_row(F.col("said"), F.col("r"), F.col("gold_answer"), free, ORDER)).drop("r", "said", "raw_output")
+
+
+@query
+def agg_01_model_profile(spark, sf_dir):
+    """Every metric of scored rows by model and condition."""
+    found = profiles.scored_profile(_scored(spark, sf_dir), ["model", "condition"])
+    ends = {f"{name}_{end}": F.col(f"{name}_ci.{end}") for name in ("accuracy", "strict_accuracy") for end in ("low", "high")}
+    rounded = {n: F.round(F.col(n), 6) for n, t in found.dtypes if t == "double"}
+    return found.withColumns({**rounded, **{n: F.round(c, 9) for n, c in ends.items()}, "source_files": F.array_join("source_files", ",")}).drop("accuracy_ci", "strict_accuracy_ci")
+
+
+@query
+def agg_11_model_contingency(spark, sf_dir):
+    """Two-by-two counts of every comparison within each model; an item's last row in a model and condition counts."""
+    rows = _scored(spark, sf_dir).select("model", "condition", "item_id", "pos", "correct", "strict")
+    pairs = pairing.paired(pairing.last_wins(rows, ["model", "item_id", "condition"]), COMPARISONS, ["model"])
+    flag = lambda side: profiles.first_known(F.col(f"{side}.strict"), F.col(f"{side}.correct"))
+    counts = pairing.contingency(pairs, flag("t"), flag("c"), ["model", "comparison"])
+    return counts.withColumns({"delta": F.round("delta", 9), "mcnemar_p": F.round("mcnemar_p", 9)})
+
+
 @query
 def agg_03_consistency_profile(spark, sf_dir):
     """Scores of responses by condition: rates over all rows, intervals, and the reasoning's consistency."""

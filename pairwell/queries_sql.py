@@ -91,6 +91,26 @@ def _wilson(k: str, n: str) -> tuple[str, str]:
 _LINE_LOW, _LINE_HIGH = _wilson("k", "n")
 _STRICT_LOW, _STRICT_HIGH = _wilson("count(*) FILTER (strict)", "count(*)")
 
+_SCORED = (
+    _RUNS
+    + """,
+s AS (SELECT *, pos % 8 AS shape, pos % 4 AS said, CASE WHEN pos % 3 = 0 THEN k + 1 ELSE k END AS gold, condition = 'signup' AS free,
+             'm' || CAST(pos % 3 AS VARCHAR) AS model, 'run_' || CAST(pos % 5 AS VARCHAR) AS source_file FROM (SELECT * EXCLUDE (correct, strict) FROM runs)),
+scored AS (
+  SELECT *, k = gold AND CASE WHEN free THEN said <> 3 ELSE shape NOT IN (5, 6) END AS correct, CASE WHEN NOT free THEN shape = 3 AND k = gold END AS strict,
+         CASE WHEN NOT free THEN shape = 3 END AS strict_numeric, CASE WHEN NOT free THEN shape NOT IN (1, 2, 6) END AS whole, CASE WHEN NOT free THEN shape <> 6 END AS recovered,
+         CASE WHEN NOT free THEN shape = 3 END AS schema_valid, CASE WHEN NOT free THEN shape NOT IN (6, 7) END AS order_matches, CASE WHEN free THEN said = 0 END AS marker_at_end
+  FROM s
+)"""
+)
+
+_SCORED_ENDS = ", ".join(
+    f"CASE WHEN count({flag}) > 0 THEN {bound} END AS {name}_{end}"
+    for name, flag in (("accuracy", "correct"), ("strict_accuracy", "strict"))
+    for end, bound in zip(("low", "high"), _wilson(f"count(*) FILTER ({flag})", f"nullif(count({flag}), 0)"), strict=True)
+)
+_SCORED_RATES = ", ".join(f"round(avg(CAST({f} AS INT)), 6) AS {f}" for f in ("strict_numeric", "whole", "recovered", "schema_valid", "order_matches", "marker_at_end", "hit_max_new_tokens"))
+
 SQL = {
     "src_02_collecting_scan": "SELECT event_type AS scope, count(*) FILTER (event_id % 101 <> 0 AND event_id % 97 <> 0) AS good, count(*) FILTER (event_id % 101 <> 0 AND event_id % 97 = 0) AS bad FROM events GROUP BY event_type",
     "snk_01_json_lines": """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS line_sha256 FROM orders""",
@@ -303,6 +323,26 @@ SQL |= {
 n AS (SELECT condition, correct, row_number() OVER (PARTITION BY condition ORDER BY pos) AS i FROM runs WHERE condition IN ('click', 'view'))
 SELECT count(*) AS pairs, count(*) FILTER (c.correct AND v.correct) AS both_correct FROM n c JOIN n v ON c.i = v.i AND c.condition = 'click' AND v.condition = 'view'""",
     "jon_11_lookup": "SELECT source, count(*) AS looked_up, count(*) FILTER (l.doc_id IS NULL) AS missing, CAST(sum(quality) AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source",
+    "agg_01_model_profile": _SCORED
+    + f"""
+SELECT model, condition, count(*) AS examples, count(*) FILTER (correct) AS correct_exact, round(avg(CAST(correct AS INT)), 6) AS accuracy, round(avg(CAST(strict AS INT)), 6) AS strict_accuracy,
+       {_SCORED_ENDS}, {_SCORED_RATES}, round(avg(latency_ms), 6) AS avg_latency_ms, round(median(latency_ms), 6) AS median_latency_ms,
+       round(avg(generated_tokens), 6) AS avg_generated_tokens, round(avg(CASE WHEN generated_tokens > 0 THEN latency_ms / generated_tokens END), 6) AS avg_latency_per_token_ms,
+       count(error) AS errors, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files
+FROM scored GROUP BY model, condition""",
+    "agg_11_model_contingency": _SCORED
+    + """,
+arms AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY model, item_id, condition ORDER BY pos DESC) = 1),
+names(name, t, c) AS (VALUES ('purchase_vs_signup', 'purchase', 'signup'), ('view_vs_click', 'view', 'click'), ('error_vs_signup', 'error', 'signup')),
+pairs AS (
+  SELECT x.model || '/' || name AS comparison, coalesce(x.strict, x.correct) AS ts, coalesce(y.strict, y.correct) AS cs
+  FROM names JOIN arms x ON x.condition = names.t JOIN arms y ON y.condition = names.c AND y.item_id = x.item_id AND y.model = x.model
+)"""
+    + _counts("pairs", "ts", "cs")
+    + """
+SELECT split_part(comparison, '/', 1) AS model, split_part(comparison, '/', 2) AS comparison, pairs, treatment_only, control_only, both_correct, both_wrong,
+       round(delta, 9) AS delta, round(mcnemar_p, 9) AS mcnemar_p
+FROM tested""",
     "agg_03_consistency_profile": _SHAPES
     + f""",
 v AS (

@@ -46,7 +46,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw responses in eight shapes by event: whole, with prose behind or before, answers of other types, cut, reordered."""
-    rows = runs(spark, sf_dir).select("pos", "condition", "k")
+    rows = runs(spark, sf_dir)
     k = F.col("k").cast("string")
     body = F.concat(F.lit('{"reasoning": "so it is '), k, F.lit('", "answer": '))
     shape = F.col("pos") % 8
@@ -61,7 +61,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"answer": '), k, F.lit(', "reasoning": "it was 7"}')))
     )
     gold = F.when(F.col("pos") % 3 == 0, F.col("k") + 1).otherwise(F.col("k")).cast("string")
-    return dealt(rows.select("pos", "condition", "k", raw.alias("raw_output"), gold.alias("gold_answer")))
+    return dealt(rows.select("item_id", "pos", "condition", "k", "latency_ms", "generated_tokens", "error", "hit_max_new_tokens", raw.alias("raw_output"), gold.alias("gold_answer")))
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
