@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +56,7 @@ def value_of(leaves: list[dict]) -> Any:
 
 
 @F.arrow_udf(T.StringType())
-def state_digest(leaves: pa.Array) -> pa.Array:
-    """The digest of the state after one call: its canonical JSON (sorted keys, no blanks), counted as the first."""
+def _state_digest(leaves: pa.Array) -> pa.Array:
     out = []
     for call in leaves.to_pylist():
         text = None if call is None else json.dumps({"call_count": 1, "last_call": value_of(call)}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -64,6 +64,15 @@ def state_digest(leaves: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+# Declared non-deterministic, as the readers below: a filter on the digest must not compute it and the call again.
+_STATE_DIGEST = _state_digest.asNondeterministic()
+
+
+def state_digest(leaves: Column | str) -> Column:
+    """The digest of the state after one call: its canonical JSON (sorted keys, no blanks), counted as the first; null for null."""
+    return _STATE_DIGEST(leaves)
+
+
 def kind_and_text(value: Any) -> tuple[str, str | None]:
     if value is None:
         return "null", None
@@ -148,12 +157,24 @@ def _read(texts: pa.Array, strip: bool) -> pa.Array:
 
 
 @F.arrow_udf(READ)
-def read_response(texts: pa.Array) -> pa.Array:
-    """Reads a response: whole (all of it is one object), recovered (some object decodes), error, leaves."""
+def _read_stripped(texts: pa.Array) -> pa.Array:
     return _read(texts, True)
 
 
 @F.arrow_udf(READ)
-def read_call(texts: pa.Array) -> pa.Array:
-    """As read_response, for tool calls."""
+def _read_exact(texts: pa.Array) -> pa.Array:
     return _read(texts, False)
+
+
+# Declared non-deterministic: a filter on a score would otherwise be pushed below the reading and read every text again.
+_READ_STRIPPED, _READ_EXACT = _read_stripped.asNondeterministic(), _read_exact.asNondeterministic()
+
+
+def read_response(text: Column | str) -> Column:
+    """Reads a response, once a row: whole (all of it is one object), recovered (some object decodes), error, leaves."""
+    return _READ_STRIPPED(text)
+
+
+def read_call(text: Column | str) -> Column:
+    """As read_response, for tool calls."""
+    return _READ_EXACT(text)

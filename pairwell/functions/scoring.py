@@ -161,4 +161,4 @@ def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.
 
 def receipts(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field]) -> DataFrame:
     """The rows whose call can be executed, with receipt: the digest of the state after it."""
-    return executed(rows, read, name, arguments).filter("valid").select(*rows.columns, jsontext.state_digest("call").alias("receipt"))
+    return executed(rows, read, name, arguments).select(*rows.columns, jsontext.state_digest("call").alias("receipt")).filter("receipt is not null")
