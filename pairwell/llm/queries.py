@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm import chat, decontam, langid, lattice_lm, line_spread, media, mixing, ngram_join, secret_scan, sharding
+from pairwell.llm import chat, decontam, langid, lattice_lm, line_spread, media, mixing, ngram_join, secret_scan, sharding, token_align, toxicity, turn_repair
 from pairwell.llm.common import id_fold, table
 
 
@@ -86,8 +86,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.default_learn())
+    found = toxicity.tagged(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", (id_fold(folds=3) == 1).alias("held_out"), "score", "predicted", spans.alias("spans"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of turns as damaged by the hash of conversation and turn, and how often each row stands there."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), times.alias("times"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(damaged(table(spark, sf_dir, "conversations")), F.col("times"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_secret_scan, op4_media_columns, op5_chat_format, op6_lattice_score, op7_curriculum_mix, op8_sampled_shards, op9_line_spread, op10_decontaminate)}
+    ops = (op1_language_id, op2_ngram_join, op3_secret_scan, op4_media_columns, op5_chat_format, op6_lattice_score, op7_curriculum_mix, op8_sampled_shards, op9_line_spread, op10_decontaminate, op11_toxic_spans, op12_turn_repair, op13_token_align)
+    return {f.__name__: f for f in ops}
 
 
 OP5_SQL = """
@@ -167,5 +195,82 @@ FROM d LEFT JOIN t USING (text) LEFT JOIN classes USING (t) LEFT JOIN links USIN
 """
 
 
+def _crc_table() -> list[int]:
+    """The 256 entries of CRC-32, which DuckDB does not have."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def _op12_steps() -> str:
+    """The next row's states (s0 to s3: six digits of cost, then the audit) from the last row's, over all edits with up to two insertions before each."""
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    terms: dict[int, list[str]] = {j: [] for j in range(4)}
+    for i in range(4):
+        at = i
+        for inserted in range(3):
+            ways = [(at, "D", "true", 3), (after[at], "R", "NOT gone", 2), (after[at], "K", f"NOT gone AND initial = '{'ua'[after[at] - 2]}'", 0)]
+            for j, letter, when, cost in [*ways, *([(1, "K", "NOT gone AND initial = 's'", 0)] if at == 0 else [])]:
+                extra = 2 * inserted + cost
+                more = "" if letter == "D" else " + cut"
+                terms[j].append(f"CASE WHEN s{i} IS NOT NULL AND {when} THEN printf('%06d', CAST(left(s{i}, 6) AS INT) + {extra}{more}) || substr(s{i}, 7) || '{'I' * inserted}{letter}' END")
+            at = after[at]
+    return ", ".join(f"least({', '.join(terms[j])}) AS s{j}" for j in range(4))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::UBIGINT)),
+           lambda c, b: xor(c >> 8, {_crc_table()}[CAST(xor(c, b) & 255 AS INT) + 1]::UBIGINT)), 4294967295::UBIGINT) % 20 AS kind
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k FROM d
+), e AS (
+  SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) AS former
+  FROM o
+), f AS (
+  SELECT *, last = '' AS is_blank, last <> '' AND again AS is_again, last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS is_cut FROM e
+), g AS (SELECT *, is_blank OR is_again AS gone, CAST(is_cut AS INT) AS cut FROM f),
+p AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, '000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT p.conv_id, g.k, {_op12_steps()} FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.k = p.k + 1
+), w AS (
+  SELECT conv_id, least(s0, printf('%06d', CAST(left(s1, 6) AS INT) + 4) || substr(s1, 7) || 'II', printf('%06d', CAST(left(s2, 6) AS INT) + 2) || substr(s2, 7) || 'I', s3) AS best
+  FROM p WHERE k = (SELECT max(k) FROM g WHERE g.conv_id IS NOT DISTINCT FROM p.conv_id)
+), a AS (SELECT conv_id, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit FROM w),
+l AS (
+  SELECT conv_id, i, audit[i] AS edit, length(regexp_replace(audit[1 : i], 'I', '', 'g')) AS k, length(regexp_replace(audit[1 : i], 'D', '', 'g')) AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM a)
+), r AS (
+  SELECT l.conv_id, l.i, l.edit, l.place, CASE WHEN l.edit <> 'I' THEN g.role END AS role, CASE WHEN l.edit = 'I' THEN '' ELSE g.text END AS text, g.initial
+  FROM l LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id AND g.k = l.k WHERE l.edit <> 'D'
+), t AS (SELECT *, coalesce(bool_or(place = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY conv_id), false) AS led FROM r),
+u AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place + CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS said FROM t GROUP BY conv_id
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+         count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN u ON u.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_line_spread": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_line_spread": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_turn_repair": OP12_SQL}
