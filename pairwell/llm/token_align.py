@@ -29,11 +29,11 @@ from pairwell.llm.common import ramp, written
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Bytes of text that one pass of the search handles.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 #: Pairs of the broadcast table, of 17 bytes each.
 HEAVY = 1 << 20
-#: Stretches whose tokens a worker remembers; then it begins anew.
-MEMO = 400_000
+#: Stretches whose tokens a worker remembers; then it begins anew. And those tokenized at once.
+MEMO, ENCODE = 200_000, 4096
 #: Ends of one block of the search, which begins where the block before it ended.
 BLOCK = 4096
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -93,12 +93,12 @@ class Tokenizers:
         if len(self.memo) + len(new) > MEMO:
             self.forget()
             new = list(set(stretches))
-        if new:
-            for side, (ids, n) in enumerate(self.encode(new)):
-                self.ids[side] = np.concatenate([self.ids[side], ids])
-                self.size[side] = np.concatenate([self.size[side], n])
-                self.begin[side] = np.cumsum(self.size[side]) - self.size[side]
-            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        made = [self.encode(new[at : at + ENCODE]) for at in range(0, len(new), ENCODE)]
+        for side in (0, 1) if new else ():
+            self.ids[side] = np.concatenate([self.ids[side], *(m[side][0] for m in made)])
+            self.size[side] = np.concatenate([self.size[side], *(m[side][1] for m in made)])
+            self.begin[side] = np.cumsum(self.size[side]) - self.size[side]
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         return np.fromiter(map(self.memo.__getitem__, stretches), np.int64, len(stretches))
 
     def forget(self) -> None:
