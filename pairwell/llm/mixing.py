@@ -7,9 +7,9 @@ positions are spread evenly over the words trained, and at each the sources stan
 then. Documents are range-sorted by position. Targets are the schedules' total
 integrals, stopped at max_repeats times the source's size with the excess reshared.
 
-A source's token line runs over its documents in hash order, epoch after epoch. Its running sum is taken in
-two steps, over cells of about CELL_ROWS documents and within each, so no task holds a source. Only sums of
-all sources reach the driver.
+A source's token line runs over its documents in hash order, epoch after epoch, equal rows one after another. Its
+running sum is taken in three steps, over spans of cells, over cells of about CELL_ROWS keys and within each, so no
+task holds a source. Only sums of all sources reach the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import cut
+from pairwell.llm.common import cut, written
 
 MAX_REPEATS = 3
 #: Rows of a cell; every cell is one window of a task.
@@ -93,6 +93,43 @@ def inverse(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
+#: Cells whose sums one window adds up.
+CELL_SPAN = 4096
+
+
+def _before(sums: DataFrame) -> DataFrame:
+    """sums (source, cell, cell_size) with before: the sizes of the source's cells before each, added up in two levels."""
+    span = F.floor(F.col("cell") / CELL_SPAN).alias("span")
+    spans = sums.groupBy("source", span).agg(F.sum("cell_size").alias("n"))
+    first = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("source", "span").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sums.select("source", "cell", span, "cell_size").withColumn("inner", F.coalesce(F.sum("cell_size").over(inner), F.lit(0)))
+    both = cells.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p")))
+    return both.select("source", "cell", (F.col("base") + F.col("inner")).alias("before"))
+
+
+KEY = ["doc_id", "source", "size"]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (KEY, n, tag) with nth: the number from 0 of a row among the n rows of its key.
+
+    Rows of one key are counted in each partition that tags were made in, so no window holds more of them than such a partition.
+    """
+    part = F.shiftrightunsigned("tag", 33)
+    many = cut(rows.filter("n > 1").withColumn("part", part))
+    per = many.groupBy(*KEY, "part").agg(F.count("*").alias("here"))
+    earlier = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*(F.col(c).alias(f"k_{c}") for c in KEY), F.col("part").alias("k_part"), F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("skip"))
+    local = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("tag")) - 1
+    match = F.col("part") == F.col("k_part")
+    for c in KEY:
+        match = match & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    nth = many.withColumn("local", local).join(per, match).select(*rows.columns, (F.col("skip") + F.col("local")).alias("nth"))
+    return rows.filter("n = 1").withColumn("nth", F.lit(0).cast("long")).unionByName(nth)
+
+
 def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None, schedules: tuple = SCHEDULES, repeats: int = MAX_REPEATS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, source, size (words), source_size, target, taken (words the mix takes), copies (whole
     documents it takes), position (share of all words trained before the first copy, above 1 if none) and positions
@@ -101,17 +138,27 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
     Every document is a row; taken is at most repeats times its size, and each source's taken words add up
     to its target, rounded: the last document of a source is taken in part (copies counts it if half of it
     or more is taken). Null and empty texts have size 0 and nothing taken. A null source is a source of its
-    own, the last one. Repeated rows count each; ties go by hash, id and size, so reruns agree. A text of any
+    own, the last one. Repeated rows count each, one after another; ties go by hash, id and size, so reruns agree. A text of any
     length is counted whole. An empty table gives an empty result. Further columns are not used. The table of
     sources (a row each) is ranked in one task.
     """
-    sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
-    cells = max(64, -(-sized.count() // cell_rows))
-    order = F.xxhash64("doc_id", "size")
-    sized = sized.select("doc_id", "source", "size", order.alias("h"))
+    return planned(docs.select("doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("tag")), weight, schedules, repeats, cell_rows).drop("tag")
+
+
+def planned(sized: DataFrame, weight: Callable[[Column], Column] | None = None, schedules: tuple = SCHEDULES, repeats: int = MAX_REPEATS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The columns of curriculum() with tag, of rows (doc_id, source, size and a tag of their own, partition << 33 | number).
+
+    Rows of equal id, source and size are placed as one key, counted before they move; each then has its own place
+    within the key. So cells hold keys, and no cell grows with a row's repetitions.
+    """
+    sized = cut(sized.select(*KEY, "tag"))
+    keys = cut(sized.groupBy(*KEY).agg(F.count("*").alias("n")))
+    cells = max(64, -(-keys.count() // cell_rows))
+    keys = keys.select(*KEY, "n", F.xxhash64("doc_id", "size").alias("h"))
     cell = F.floor((F.shiftrightunsigned("h", 1) / float(1 << 63)) * cells).cast("long")
-    sized = sized.withColumn("cell", F.least(cell, F.lit(cells - 1)))
-    sums = cut(sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
+    keys = keys.withColumn("cell", F.least(cell, F.lit(cells - 1)))
+    whole = F.col("size") * F.col("n")
+    sums = cut(keys.groupBy("source", "cell").agg(F.sum(whole).alias("cell_size")))
     sources = sums.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     if weight is None:
         weight = lambda rank: F.element_at(F.array(*map(F.lit, CYCLE)), (rank % len(CYCLE) + 1).cast("int"))
@@ -121,13 +168,18 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
     shares = {r.kind: r.n or 0.0 for r in sources.groupBy(kind.alias("kind")).agg(F.sum("target").alias("n")).collect()}
     total = sum(shares.values())
     own = F.struct("rank", "source_size", "target")
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
-    offsets = offsets.join(sources.select(F.col("source").alias("s"), own.alias("own")), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "own")
+    offsets = _before(sums).join(sources.select(F.col("source").alias("s"), own.alias("own")), F.col("source").eqNullSafe(F.col("s")))
+    offsets = offsets.select(F.col("source").alias("s"), F.col("cell").alias("c"), "before", "own")
     within = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    line = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    line = keys.withColumn("inner", F.coalesce(F.sum(whole).over(within), F.lit(0)))
     line = line.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-    line = line.select("doc_id", "source", "size", "h", "own.*", (F.col("before") + F.col("inner")).alias("start"))
+    line = cut(line.select(*(F.col(c).alias(f"k_{c}") for c in KEY), "n", "own", (F.col("before") + F.col("inner")).alias("start")))
+    match = F.col("size") == F.col("k_size")
+    for c in KEY[:2]:
+        match = match & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    # two plain shuffles, so that Spark can split the one of a key with many rows
+    rows = _numbered(cut(sized.join(line, match).select(*KEY, "tag", "n", "own", "start")))
+    line = rows.select(*KEY, "tag", "own.*", (F.col("start") + F.col("nth") * F.col("size")).alias("start"))
     goal = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     line = line.withColumns({"epochs": epochs, "part": F.greatest(F.lit(0), F.least(F.col("size"), goal - epochs * F.col("source_size") - F.col("start")))})
@@ -149,6 +201,7 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
         "doc_id",
         "source",
         "size",
+        "tag",
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
@@ -161,13 +214,12 @@ def curriculum(docs: DataFrame, weight: Callable[[Column], Column] | None = None
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as it has copies, sorted by training position.
 
-    Rows of equal id, source and size share one decision, the largest of theirs. Null and empty texts are taken
+    Every row has a decision of its own, rows of equal id, source and size too. Null and empty texts are taken
     not at all. An empty table gives an empty result.
     """
-    plan = curriculum(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"), F.max("positions").alias("positions"))
-    plan = plan.filter("copies > 0").select("doc_id", "source", "size", F.slice("positions", 1, F.col("copies").cast("int")).alias("places"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("site"), word_count().alias("n"))
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("site").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
-    taken = rows.join(plan, match).select("row", "id", F.explode("places").alias("place"))
-    return taken.orderBy("place", "id").select("row.*")
+    rows = written(docs.select(whole.alias("row"), "doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("tag")))
+    plan = planned(rows.select(*KEY, "tag")).filter("copies > 0")
+    plan = cut(plan.select(F.col("tag").alias("t"), F.slice("positions", 1, F.col("copies").cast("int")).alias("places")))
+    taken = rows.join(plan, F.col("tag") == F.col("t")).select("row", "doc_id", F.explode("places").alias("place"))
+    return taken.orderBy("place", "doc_id").select("row.*")

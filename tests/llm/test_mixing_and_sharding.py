@@ -116,6 +116,36 @@ def test_mixed_rows(spark):
     assert mixing.mixed(helpers.empty_docs(spark)).count() == 0
 
 
+def test_mixed_rows_equal_what_is_taken_where_ids_and_sizes_repeat(spark):
+    """Words by source equal taken, up to half a document, though rows share id, source and size; every row has its own text."""
+    rows = [(None, f"a{i} b c", "en", "s0", 1) for i in range(2000)] + [(7, f"x{i} y", "en", "s1", 1) for i in range(900)]
+    rows += [(i, f"one{i} two three four", "en", [None, "s2"][i % 2], 1) for i in range(100)] + [(3, "same same", "en", "s1", 1)] * 50
+    docs = spark.createDataFrame(rows, helpers.SCHEMA).repartition(6)
+    plan = mixing.curriculum(docs, cell_rows=16).collect()
+    assert len(plan) == len(rows)
+    check_mix(plan)
+    want, words = {}, {}
+    for r in plan:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    out = mixing.mixed(docs).collect()
+    for r in out:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert all(abs(words[s] - want[s]) <= 4 for s in want)
+    copies = {}
+    for r in out:
+        copies.setdefault(r.source, {}).setdefault(r.text, 0)
+        copies[r.source][r.text] += 1
+    for s, n in copies.items():  # an epoch more or less a row; the repeated row has 50
+        each = [c for t, c in n.items() if t != "same same"]
+        assert max(each) - min(each) <= 1 or len({r[1] for r in rows if r[3] == s}) > len(each)
+
+
+def test_repetitions_of_a_key_are_numbered_in_parts(spark):
+    rows = spark.range(0, 4000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), F.lit(4000).cast("long").alias("n"), F.monotonically_increasing_id().alias("tag"))
+    got = mixing._numbered(rows)
+    assert sorted(r.nth for r in got.collect()) == list(range(4000))
+
+
 def check_shards(rows, near):
     loads = np.zeros(sharding.SHARDS)
     slots = {}
