@@ -58,6 +58,31 @@ def _exact(text: str | None) -> str | None:
     return str(value) if "/" in text else f"{Decimal(text).normalize():f}"
 
 
+_JSON_NUMBER = r"\A(-?)(\d+)(?:\.(\d*))?(?:[eE]([-+]?\d+))?\z"
+
+
+def number_key(text: Column) -> Column:
+    """One spelling for JSON numbers of equal exact value: significant digits, e, power of ten; 0 for zero of either sign.
+
+    Null for what is not a finite number. Native, so that it can stand inside functions over arrays.
+    """
+    part = lambda k: F.regexp_extract(text, _JSON_NUMBER, k)
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    bare = F.rtrim(digits, F.lit("0"))
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.char_length(part(3)) + F.char_length(digits) - F.char_length(bare)
+    return F.when(text.rlike(_JSON_NUMBER), F.when(bare == "", "0").otherwise(F.concat(part(1), bare, F.lit("e"), power.cast("string"))))
+
+
+def number_key_of(text: str) -> str | None:
+    """number_key() of a text."""
+    if not re.fullmatch(r"-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?", text, re.ASCII):
+        return None
+    sign, digits, power = Decimal(text).as_tuple()
+    shown = "".join(map(str, digits)).lstrip("0")
+    bare = shown.rstrip("0")
+    return f"{'-' * sign}{bare}e{int(power) + len(shown) - len(bare)}" if bare else "0"
+
+
 @F.pandas_udf(T.StringType())
 def _exact_form(values: pd.Series) -> pd.Series:
     return values.map(_exact)

@@ -89,7 +89,7 @@ def equal_values(kind: Column, text: Column, other_kind: Column, other_text: Col
     """Equality of two scalars: numbers by exact value whatever their spelling, all else by kind and text."""
     number = ["integer", "integral", "number"]
     both = kind.isin(*number) & other_kind.isin(*number)
-    return F.coalesce(F.when(both, numbers.canonical_number(text) == numbers.canonical_number(other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
+    return F.coalesce(F.when(both, numbers.number_key(text) == numbers.number_key(other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
 
 
 #: Arguments and the values that count as right for each: texts of scalars as columns, or JSON values.
@@ -97,14 +97,16 @@ Accepted = dict[str, list[Column | Any]]
 
 
 def _plain(kind: Column, text: Column) -> tuple[Column, Column]:
-    """Kind and text under which equal values agree: numbers by value."""
-    return F.when(kind.isin("integer", "integral", "number"), "number").otherwise(kind), F.when(kind == "integral", F.regexp_replace(text, r"\.0+\z", "")).otherwise(text)
+    """Kind and text under which equal values agree: numbers by exact value, NaN and infinity equal to nothing."""
+    number = kind.isin("integer", "integral", "number")
+    return F.when(number, "number").otherwise(kind), F.when(number, F.coalesce(numbers.number_key(text), F.lit("not finite"))).otherwise(text)
 
 
 def _parts(value: Any, path: str = "") -> list[tuple[str, str, str | None]]:
     """Paths, kinds and texts of a JSON value, as _plain() has them."""
     kind, text = jsontext.kind_and_text(value)
-    kind, text = ("number", text.removesuffix(".0")) if kind in ("integer", "integral", "number") else (kind, text)
+    if kind in ("integer", "integral", "number"):
+        kind, text = "number", numbers.number_key_of(text) or "not finite, and so equal to nothing"
     inner = [(jsontext.pointer(k), v) for k, v in value.items()] if kind == "object" else list(enumerate(value)) if kind == "array" else []
     return [(path, kind, text), *(x for k, v in inner for x in _parts(v, f"{path}/{k}"))]
 
@@ -113,7 +115,9 @@ def matches(leaves: Column, path: str, option: Column | Any) -> Column:
     """Whether the value at a path equals an option: lists and objects in all their parts, objects in any order."""
     inside = F.filter(leaves, lambda x: (x["path"] == path) | x["path"].startswith(path + "/"))
     if isinstance(option, Column):
-        return F.coalesce((F.size(inside) == 1) & (F.get(F.transform(inside, lambda x: _plain(x["kind"], x["text"])[1]), F.lit(0)) == option), F.lit(False))
+        only = F.when(F.size(inside) == 1, F.get(inside, F.lit(0)))
+        number = only["kind"].isin("integer", "integral", "number")
+        return F.coalesce(F.when(number, numbers.number_key(only["text"]) == numbers.number_key(option)).otherwise(only["text"] == option), F.lit(False))
     shown = lambda p, k, t: F.to_json(F.array(p, k, F.coalesce(t, F.lit("null"))))
     have = F.transform(inside, lambda x: shown(F.substr(x["path"], F.lit(len(path) + 1)), *_plain(x["kind"], x["text"])))
     want = [json.dumps([p, k, "null" if t is None else t], ensure_ascii=False, separators=(",", ":")) for p, k, t in _parts(option)]

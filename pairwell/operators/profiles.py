@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwell.functions import stats
 
@@ -30,9 +34,44 @@ def per_token(latency: Column, tokens: Column) -> Column:
     return F.avg(F.when(tokens > 0, latency / tokens))
 
 
-def exact_total(value: Column, scale: int = 20) -> Column:
-    """The sum of the values as written, rounded once, whatever their order; values have so many decimals at most."""
-    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double")
+#: Digits of binary fraction that a double can have, and those that exact_totals() keeps beside its leading one.
+_DEEPEST, _KEPT = 1074 + 54, 54
+
+
+@F.arrow_udf(T.DoubleType())
+def _rounded_once(parts: pa.Array) -> pa.Array:
+    out = []
+    for row in parts.to_pylist():
+        if row is None:
+            out.append(None)
+            continue
+        total = sum(int(p["total"]) << (p["power"] - _KEPT + _DEEPEST) for p in row)
+        try:
+            out.append(total / (1 << _DEEPEST))  # a quotient of integers is rounded once
+        except OverflowError:
+            out.append(math.inf if total > 0 else -math.inf)
+    return pa.array(out, pa.float64())
+
+
+def exact_totals(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by and name: the sum of a double column by group, computed without error and rounded once, whatever the order.
+
+    Every value is an integer of at most 56 binary digits times a power of two, so sums by power are exact; they are
+    plain aggregates, and a group has some 2,100 powers at most. Nulls are left out, and a group of nulls only gives null. With infinite values
+    or NaN the sum is theirs.
+    """
+    x = F.col(value).cast("double")
+    odd = x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)
+    power = F.when(odd | (x == 0), 0).otherwise(F.floor(F.log2(F.abs(x)))).cast("int")
+    shift = F.lit(_KEPT) - power
+    half = F.floor(shift / 2)
+    # two exact steps: 2 to the whole shift may be out of range
+    whole = (x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half)).cast("long")
+    parts = rows.select(*by, power.alias("power"), F.when(~odd, whole).cast("decimal(38,0)").alias("m"), F.when(odd, x).alias("odd"))
+    sums = parts.groupBy(*by, "power").agg(F.sum("m").alias("total"), F.sum("odd").alias("odd"))
+    some = F.struct("power", F.col("total").cast("string").alias("total"))
+    all_ = sums.groupBy(*by).agg(F.collect_list(F.when(F.col("total").isNotNull(), some)).alias("parts"), F.sum("odd").alias("odd"))
+    return all_.select(*by, F.coalesce("odd", F.when(F.size("parts") > 0, _rounded_once("parts"))).alias(name))
 
 
 def profile(rows: DataFrame, by: list[str], flags: dict[str, Column], policy: str) -> DataFrame:

@@ -34,12 +34,6 @@ def _read(spark, sf_dir):
     return responses(spark, sf_dir).select("pos", "condition", "k", "gold_answer", "raw_output", jsontext.read_response("raw_output").alias("r"))
 
 
-@query
-def src_04_inventory(spark, sf_dir):
-    """Rows, distinct keys and bytes of every source of documents, as of the files of a scan."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("distinct_keys"), F.sum(F.octet_length("text")).alias("bytes"))
-
-
 @query
 def fil_03_single_condition(spark, sf_dir):
     """Whether the rows of each item and answer all name one condition."""
@@ -305,9 +299,10 @@ def scl_15_percent(spark, sf_dir):
 
 @query
 def scl_17_equal_values(spark, sf_dir):
-    """Whether a quantity equals its spelling as a float, and as a string."""
-    q = F.col("l_quantity").cast("long").cast("string")
-    other = F.when(F.col("l_linenumber") % 2 == 0, F.concat(q, F.lit(".0"))).otherwise(F.concat(q, F.lit(".5")))
+    """Whether a quantity equals its spelling as a float, with an exponent or with a sign on zero, and as a string."""
+    n = F.col("l_linenumber")
+    q = F.when(n == 5, "0").otherwise(F.concat(F.col("l_quantity").cast("long").cast("string"), F.when(n == 6, "0" * 15).otherwise("")))
+    other = F.when(n == 5, "-0.0").when(n == 6, F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("e+15"))).when(n == 7, F.concat(q, F.lit("e1"))).when(n % 2 == 0, F.concat(q, F.lit(".0"))).otherwise(F.concat(q, F.lit(".5")))
     same = scoring.equal_values(F.lit("integer"), q, F.lit("number"), other)
     kind = scoring.equal_values(F.lit("integer"), q, F.lit("string"), q)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", same.alias("as_number"), kind.alias("as_text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pairwell.queries_strict_sql import SQL as STRICT
+
 _RUNS = r"""
 WITH e AS (SELECT *, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k FROM events),
 runs AS (
@@ -112,9 +114,7 @@ _SCORED_ENDS = ", ".join(
 _SCORED_RATES = ", ".join(f"round(avg(CAST({f} AS INT)), 6) AS {f}" for f in ("strict_numeric", "whole", "recovered", "schema_valid", "order_matches", "marker_at_end", "hit_max_new_tokens"))
 
 SQL = {
-    "src_02_collecting_scan": "SELECT event_type AS scope, count(*) FILTER (event_id % 101 <> 0 AND event_id % 97 <> 0) AS good, count(*) FILTER (event_id % 101 <> 0 AND event_id % 97 = 0) AS bad FROM events GROUP BY event_type",
     "snk_01_json_lines": """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS line_sha256 FROM orders""",
-    "hsh_02_signature": """SELECT DISTINCT c_mktsegment, c_nationkey, left(sha256('{"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}'), 12) AS run_signature FROM customer""",
     "fil_01_exclude": 'SELECT source, count(*) AS "all", count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS excluded FROM documents GROUP BY source',
     "fil_02_exclude_then_slice": "SELECT * FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE index >= 100 AND index < 600",
     "fil_04_cap_or_error": _RUNS + " SELECT condition AS comparison, CASE WHEN hit_max_new_tokens THEN 'token_cap_hit' ELSE 'generation_error' END AS failure_class, count(*) AS n FROM runs WHERE hit_max_new_tokens OR error IS NOT NULL GROUP BY ALL",
@@ -196,7 +196,6 @@ SELECT condition, count(*) AS examples, count(*) FILTER (strict) AS strict, roun
 FROM runs GROUP BY condition""",
     "agg_05_null_policies": "SELECT lang, count(*) AS n, round(avg(CAST(quality = 1 AS INT)), 9) AS known, round(avg(CAST(coalesce(quality = 1, false) AS INT)), 9) AS of_all FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "agg_06_wilson": f"WITH s AS (SELECT l_suppkey, count(*) FILTER (l_discount > 0.05) AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, k, n, {_LINE_LOW} AS low, {_LINE_HIGH} AS high FROM s",
-    "agg_09_exact_total": _RUNS + " SELECT condition, CAST(CAST(sum(CAST(CAST(latency_ms AS VARCHAR) AS DECIMAL(38, 20))) AS VARCHAR) AS DOUBLE) AS latency_total, median(latency_ms) AS latency_median FROM runs GROUP BY condition",
     "agg_15_assessed_ratio": _SHAPES
     + """, v AS (
   SELECT condition, CASE WHEN shape IN (5, 6) THEN 'not_assessable' WHEN shape = 4 THEN 'not_assessable' WHEN shape = 7 THEN CASE WHEN k = 7 THEN 'consistent' ELSE 'inconsistent' END ELSE 'consistent' END AS v FROM s
@@ -309,7 +308,6 @@ _GATE = SQL["val_01_violations"].replace("\nSELECT condition AS scope", ",\nv AS
 SQL["val_07_gate"] = _GATE + ") SELECT c.scope, coalesce(string_agg(\"check\", ',' ORDER BY \"check\"), '') AS failed, count(\"check\") = 0 AS passes FROM (SELECT DISTINCT condition AS scope FROM runs) c LEFT JOIN v USING (scope) GROUP BY c.scope"
 
 SQL |= {
-    "src_04_inventory": 'SELECT source, count(*) AS "rows", count(DISTINCT doc_id) AS distinct_keys, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source',
     "fil_03_single_condition": _RUNS + ' SELECT item_id, answer, count(DISTINCT condition) AS conditions, count(*) AS "rows", min(condition) = max(condition) AS holds FROM runs GROUP BY item_id, answer',
     "fil_05_losses": _ARMS + " SELECT item_id, comparison FROM pairs WHERE cc AND NOT tc",
     "fil_06_negative_answers": _RUNS + " SELECT condition AS comparison, count(*) AS n FROM runs WHERE answer LIKE '-%' GROUP BY 1",
@@ -389,7 +387,6 @@ pairs AS (SELECT p_brand AS comparison, x.correct AS tc, y.correct AS cc FROM ar
     "scl_09_consistency": _SHAPES + " SELECT pos, CASE WHEN shape IN (4, 5, 6) THEN 'not_assessable' WHEN shape = 7 AND k <> 7 THEN 'inconsistent' ELSE 'consistent' END AS verdict FROM s",
     "scl_10_sign_inverse": _ARMS + f" SELECT comparison, item_id, {_SIGN} AS flipped FROM pairs",
     "scl_15_percent": _RUNS + " SELECT item_id, printf('%.1f%%', 100 * (count(*) FILTER (correct) / 8.0)) AS shown FROM runs GROUP BY item_id",
-    "scl_17_equal_values": "SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS as_number, false AS as_text FROM lineitem",
     "scl_18_accepted_options": "SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AS accepted FROM orders",
     "scl_19_cap_hits": _RUNS + " SELECT pos, k >= 90 AS cap FROM runs",
     "scl_20_prompt_parity": "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS conversations FROM conversations WHERE turn = 0 GROUP BY 1 HAVING count(*) > 1",
@@ -421,4 +418,7 @@ GROUP BY c.condition""",
     "val_09_unlabelled": 'SELECT source, count(*) FILTER (quality IS NULL) AS open, count(*) AS "all" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source',
     "val_10_contains_facts": "SELECT lang, count(*) FILTER (contains(coalesce(text, ''), 'the')) AS required, count(*) FILTER (contains(coalesce(text, ''), 'password')) AS forbidden FROM documents GROUP BY lang",
     "val_11_cross_check": _ARMS + _counts("pairs", "tc", "cc") + " SELECT comparison, treatment_only, control_only, true AS agrees FROM tested",
+    "agg_09_exact_total": _RUNS + " SELECT condition, round(CAST(sum(CAST(latency_ms / 3 AS DECIMAL(38, 18))) AS DOUBLE), 8) AS third_total, median(latency_ms) AS latency_median FROM runs GROUP BY condition",
+    "scl_17_equal_values": "SELECT l_orderkey, l_linenumber, l_linenumber IN (2, 4, 5, 6) AS as_number, false AS as_text FROM lineitem",
 }
+SQL |= STRICT

@@ -6,38 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
+from pairwell.functions.canonical import canonical_json
+from pairwell.sources.lines import read_lines, split_lines
 
 
 def parsed(lines: DataFrame, schema: T.StructType | str, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Good rows and bad lines of a column of JSON lines; blank lines are neither. Other columns stay.
+    """Good rows and bad lines of a column of JSON lines; lines of white space are neither. Other columns stay.
 
-    A line that is no JSON object of the schema is bad.
+    A line that is not one JSON object of the schema, with nothing behind it, is bad.
     """
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rest = [c for c in lines.columns if c != line]
-    rows = lines.filter(F.trim(line) != "").withColumn("__row", F.from_json(line, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}))
-    bad = F.col(f"__row.{CORRUPT}").isNotNull() | ~F.startswith(F.trim(line), F.lit("{"))
-    good = rows.filter(~bad).select(*rest, *[F.col(f"__row.{f.name}") for f in schema.fields])
-    return good, rows.filter(bad).select(*rest, F.col(line).alias("line"))
+    good, bad = split_lines(lines, schema, line)
+    return good, bad.drop("problem", "message").withColumnRenamed("line_text", "line")
 
 
 def read_runs(spark: SparkSession, paths: list[str], schema: T.StructType | str, strict: bool = True, recursive: bool = False) -> DataFrame:
-    """Rows of JSON-lines files with source_file. strict fails on the first bad line, else bad lines are left out."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.jsonl" if recursive else "*")
-    lines = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
-    good, bad = parsed(lines, schema)
-    if strict:
-        first = bad.limit(1).collect()
-        if first:
-            raise ValueError(f"{first[0].source_file}: no JSON object of the schema: {first[0].line[:120]}")
-    return good
-
-
-def file_inventory(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
-    """Rows, distinct keys and total length of every file under the paths."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(paths)
+    """Rows of JSON-lines files with source_file. strict raises an error that names the first bad line's path and number, else bad lines are left out."""
+    return read_lines(spark, paths, schema, strict, recursive).drop("line")
+
+
+def file_inventory(spark: SparkSession, paths: list[str], key: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Rows, distinct keys and total length of the lines of every file under the paths."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths)
     rows = lines.select(F.col("_metadata.file_path").alias("source_file"), F.get_json_object("value", f"$.{key}").alias("key"), F.octet_length("value").alias("bytes"))
     return rows.groupBy("source_file").agg(F.count("*").alias("rows"), F.countDistinct("key").alias("distinct_keys"), F.sum("bytes").alias("bytes"))
 
@@ -58,5 +47,5 @@ def write_runs(rows: DataFrame, path: str, sort_keys: bool = False, mode: str =
 
 
 def signature(config: DataFrame, columns: list[str], length: int = 12) -> DataFrame:
-    """config with run_signature: leading digits of the digest of the sorted columns as JSON."""
-    return config.withColumn("run_signature", F.left(F.sha2(json_line(columns, sort_keys=True), 256), F.lit(length)))
+    """config with run_signature: leading digits of the digest of the columns as canonical JSON, keys sorted at all depths, beyond ASCII escaped."""
+    return config.withColumn("run_signature", F.left(F.sha2(canonical_json(json_line(columns)), 256), F.lit(length)))

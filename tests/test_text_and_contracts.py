@@ -1,5 +1,7 @@
 import hashlib
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,13 +137,35 @@ def test_the_baseline_contract(spark):
 
 
 def test_totals_are_rounded_once(spark):
-    rows = spark.range(10_000).select(F.lit(0.0004).alias("x"))
-    assert rows.agg(profiles.exact_total(F.col("x"))).first()[0] == 4.0
-    tenths = spark.createDataFrame([(0.1,)] * 10 + [(1e15,), (-1e15,)], "x double")
-    assert tenths.agg(profiles.exact_total(F.col("x"))).first()[0] == 1.0
+    rng = random.Random(3)
+    wild = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(400)]
+    groups = {
+        "tenths": [0.1] * 3, "cancel": [1e16, 1.0, -1e16], "wild": wild, "tiny": [5e-324, 5e-324, -1e-320, 0.0, -0.0], "large": [2e18, 2e18, 1.5], "two": [2.0**52 + 0.5, 2.0**53 - 1, 1023.999999999999],
+        "powers": [2.0**k for k in range(-1074, 1020)] + [-(2.0**k) for k in range(-1000, 1000, 3)], "near": [math.nextafter(2.0**k, 0) for k in range(-60, 60)],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("nulls", None), ("some", None), ("some", 2.5), ("inf", math.inf), ("inf", 1.0), ("nan", math.nan), ("nan", 1.0), ("over", 1.7e308), ("over", 1.7e308)]
+    got = {r.g: r.total for r in profiles.exact_totals(spark.createDataFrame(rows, "g string, x double").repartition(3), ["g"], "x", "total").collect()}
+    assert {g: got[g] for g in groups} == {g: math.fsum(xs) for g, xs in groups.items()}
+    assert got["nulls"] is None and got["some"] == 2.5 and got["inf"] == math.inf == got["over"] and math.isnan(got["nan"])
 
 
 def test_equal_values(spark):
     same = lambda a, b, c, d: spark.range(1).select(scoring.equal_values(*map(F.lit, (a, b, c, d))).alias("x")).first().x
     assert same("integer", "2", "integral", "2.0") and not same("boolean", "true", "string", "true")
     assert not same("integer", str(2**80 + 1), "integral", repr(float(2**80 + 1)))
+    assert same("integral", repr(1e16), "integer", "10000000000000000") and same("integral", "-0.0", "integer", "0")
+    assert same("number", "0.125", "number", repr(1.25e-1)) and same("number", "1.5e-07", "number", "0.00000015") and not same("integer", "2", "integer", "20")
+    assert not same("number", "nan", "number", "nan") and not same("number", "inf", "number", "inf")
+
+
+def test_number_keys(spark):
+    texts = ["0", "-0", "0.0", "7", "-7", "700", "7e2", "0.07", "70e-3", "1e16", "1E+16", "12.50", "nan", "Infinity", "x", "", "1.", "-1200.0"]
+    assert column(spark, texts, numbers.number_key) == [numbers.number_key_of(t) for t in texts]
+    assert numbers.number_key_of("700") == numbers.number_key_of("7e2") != numbers.number_key_of("70")
+
+
+def test_arguments_compare_by_value(spark):
+    args = [contracts.Field("/arguments/n", "number")]
+    for given, option, right in (("1e16", 10**16, True), ("-0.0", 0, True), ("0", F.lit("-0.0"), True), ("10000000000000000", F.lit("1e16"), True), ("NaN", float("nan"), False), ("0.1", [0.1], False), ("2.50", 2.5, True)):
+        call = '{"name": "t", "arguments": {"n": %s}}' % given
+        assert scoring.tool_score(read_rows(spark, [call], jsontext.read_call), "r", "t", args, {"n": [option]}).first().s.arguments_correct == right, given
