@@ -147,7 +147,11 @@ def executed(rows: DataFrame, read: str, name: str, arguments: list[contracts.Fi
 
 def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.Field], accepted: Accepted) -> DataFrame:
     """rows with s: whether a call selects the tool, satisfies the internal and external contracts, gives accepted
-    values and no argument without any, and succeeds."""
+    values and no argument without any, is executed, leaves the right state, and succeeds.
+
+    error is the first layer that fails, as a code; null for a success. A call that satisfies the external contract is executed; its
+    state is right if its arguments are, as the state holds the call itself.
+    """
     keep = rows.columns
     whole = F.when(F.col(read)["whole"], F.col(read)["leaves"])
     out = executed(rows, read, name, arguments)
@@ -158,7 +162,10 @@ def tool_score(rows: DataFrame, read: str, name: str, arguments: list[contracts.
         F.col("internal").alias("internal_valid"),
         F.col("valid").alias("external_valid"),
         F.coalesce("right", F.lit(False)).alias("arguments_correct"),
+        F.col("valid").alias("executed"),
+        F.coalesce("right", F.lit(False)).alias("post_state_correct"),
         (F.col("selected") & F.coalesce("right", F.lit(False))).alias("success"),
+        F.when(~F.col(read)["whole"], F.coalesce(F.col(read)["error"], F.lit("no_object"))).when(~F.col("selected"), "other_tool").when(~F.col("valid"), F.coalesce("code", F.lit("internal_invalid"))).when(~F.coalesce("right", F.lit(False)), "wrong_arguments").alias("error"),
     )
     return out.select(*keep, score.alias("s"))
 

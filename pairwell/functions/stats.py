@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,5 +113,13 @@ def seeded_bootstrap(differences: list[int], seed_text: str, replicates: int = 2
     at once; use exact_bootstrap where it may be long.
     """
     values = np.array(differences, np.int64)
+    # the percentile positions are fixed values
     means = np.sort(values[seeded_draws(seed_text, len(values), len(values) * replicates)].reshape(replicates, -1).sum(1)) / len(values)
     return float(means[int(0.025 * (replicates - 1))]), float(means[int(0.975 * (replicates - 1))])
+
+
+@F.arrow_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def seeded_interval(differences: pa.Array, seed_text: pa.Array) -> pa.Array:
+    """seeded_bootstrap() of a column of lists of differences, in item order, each with the text that seeds its draws; null for an empty list."""
+    got = [seeded_bootstrap(d, t) if d else (None, None) for d, t in zip(differences.to_pylist(), seed_text.to_pylist(), strict=True)]
+    return pa.array([{"low": a, "high": b} for a, b in got], pa.struct([("low", pa.float64()), ("high", pa.float64())]))

@@ -28,6 +28,36 @@ def checked_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, checked.alias("row")).select(*keys, "row.*")
 
 
+def strict_pairs(treatment: DataFrame, control: DataFrame, key: str, name: str = "comparison") -> DataFrame:
+    """key, t and c (structs) of the keys that both arms have. A repeated key fails the job and is named; without any
+    common key the pairing is refused at once."""
+    sides = []
+    for side, rows in (("t", treatment), ("c", control)):
+        rest = [c for c in rows.columns if c != key]
+        sides.append(checked_unique(rows, [key]).select(key, F.struct(*rest).alias(side)))
+    out = sides[0].join(sides[1], key)
+    if out.isEmpty():
+        raise ValueError(f"{name}: no shared keys")
+    return out
+
+
+def looked_up(rows: DataFrame, dimension: DataFrame, key: str, as_name: str = "found") -> DataFrame:
+    """rows with the dimension's row of their key. A key that the dimension lacks or repeats fails the job and is named; null keys count as lacking."""
+    rest = [c for c in dimension.columns if c != key]
+    table = checked_unique(dimension, [key]).select(F.col(key).alias("__key"), F.struct(*rest).alias("__found"))
+    both = rows.join(table, F.col(key) == F.col("__key"), "left")
+    missing = F.raise_error(F.concat(F.lit("no row for key: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return both.select(*rows.columns, F.when(F.col("__found").isNull(), missing).otherwise(F.col("__found")).alias(as_name))
+
+
+def with_answers(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """questions with answer (a struct) or a reason: missing_ground_truth. An answer that is repeated fails the job and is named."""
+    rest = [c for c in answers.columns if c != key]
+    known = checked_unique(answers, [key]).select(F.col(key).alias("__key"), F.struct(*rest).alias("answer"))
+    both = questions.join(known, F.col(key) == F.col("__key"), "left")
+    return both.select(*questions.columns, "answer", F.when(F.col("answer").isNull(), "missing_ground_truth").alias("reason"))
+
+
 def paired(rows: DataFrame, comparisons: list[tuple[str, str, str]], by: list[str], item: str = "item_id", condition: str = "condition") -> DataFrame:
     """Inner pairs of every declared comparison (name, treatment, control): by, item, comparison, t and c (structs).
 

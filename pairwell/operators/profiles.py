@@ -89,6 +89,33 @@ def profile(rows: DataFrame, by: list[str], flags: dict[str, Column], policy: st
     )
 
 
+def layer_profile(rows: DataFrame, by: list[str], flags: dict[str, Column], more: dict[str, Column] | None = None) -> DataFrame:
+    """Per group: examples; of each flag its count, rate and Wilson interval over all rows (unknown counts as false); errors and cap hits;
+    totals, means and medians of tokens and latency, the latency's total without rounding in between; and further aggregates.
+
+    rows has latency_ms, generated_tokens, error and hit_max_new_tokens. by may not hold nulls.
+    """
+    n = F.count("*")
+    layers = []
+    for name, flag in flags.items():
+        k = stats.successes(flag)
+        ci = stats.wilson(k, n)
+        layers += [k.alias(f"{name}_count"), (k / n).alias(f"{name}_rate"), ci["low"].alias(f"{name}_low"), ci["high"].alias(f"{name}_high")]
+    found = rows.groupBy(*by).agg(
+        n.alias("examples"),
+        *layers,
+        F.count("error").alias("errors"),
+        F.count_if(F.coalesce("hit_max_new_tokens", F.lit(False))).alias("cap_hits"),
+        F.sum("generated_tokens").alias("tokens_total"),
+        F.avg("generated_tokens").alias("tokens_mean"),
+        F.median("generated_tokens").alias("tokens_median"),
+        F.avg("latency_ms").alias("latency_mean"),
+        F.median("latency_ms").alias("latency_median"),
+        *[c.alias(name) for name, c in (more or {}).items()],
+    )
+    return found.join(exact_totals(rows, by, "latency_ms", "latency_total"), by)
+
+
 def scored_profile(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group every metric of scored rows: counts, rates over known flags, two Wilson intervals, telemetry, files.
 

@@ -281,7 +281,8 @@ SELECT * FROM f WHERE before <> after""",
     "sco_03_tool_score": _CALLS
     + """
 SELECT l_orderkey, l_linenumber, l_linenumber < 7 AS whole, l_linenumber IN (1, 3, 4, 5, 6) AS selected, l_linenumber IN (1, 5) AS internal_valid,
-       l_linenumber = 1 AS external_valid, l_linenumber = 1 AND wanted = given AS arguments_correct, l_linenumber = 1 AND wanted = given AS success
+       l_linenumber = 1 AS external_valid, l_linenumber = 1 AND wanted = given AS arguments_correct, l_linenumber = 1 AND wanted = given AS success, l_linenumber = 1 AS executed,
+       l_linenumber = 1 AND wanted = given AS post_state_correct, CASE l_linenumber WHEN 1 THEN CASE WHEN wanted <> given THEN 'wrong_arguments' END WHEN 2 THEN 'other_tool' WHEN 5 THEN 'not_reversible' WHEN 7 THEN 'invalid_json' ELSE 'internal_invalid' END AS error
 FROM calls""",
     "trf_07_transduce": _RUNS
     + """
@@ -421,4 +422,70 @@ GROUP BY c.condition""",
     "agg_09_exact_total": _RUNS + " SELECT condition, round(CAST(sum(CAST(latency_ms / 3 AS DECIMAL(38, 18))) AS DOUBLE), 8) AS third_total, median(latency_ms) AS latency_median FROM runs GROUP BY condition",
     "scl_17_equal_values": "SELECT l_orderkey, l_linenumber, l_linenumber IN (2, 4, 5, 6) AS as_number, false AS as_text FROM lineitem",
 }
+
+
+def _layers(flags: dict[str, str]) -> str:
+    """Count, rate and interval of each flag."""
+    out = []
+    for name, flag in flags.items():
+        k = f"count(*) FILTER ({flag})"
+        low, high = (x.removesuffix(", 9)") + ", 6)" for x in _wilson(k, "count(*)"))
+        out.append(f"{k} AS {name}_count, round({k} / CAST(count(*) AS DOUBLE), 6) AS {name}_rate, {low} AS {name}_low, {high} AS {name}_high")
+    return ", ".join(out)
+
+
+_TELEMETRY = """count(error) AS errors, count(*) FILTER (cap) AS cap_hits, CAST(sum(tokens) AS BIGINT) AS tokens_total, round(avg(tokens), 6) AS tokens_mean, round(median(tokens), 6) AS tokens_median,
+       round(avg(latency), 6) AS latency_mean, round(median(latency), 6) AS latency_median, round(sum(CAST(latency AS DECIMAL(38, 15))), 6)::DOUBLE AS latency_total"""
+
+_PARTS = """
+WITH parts AS (SELECT p_partkey AS pos, 'part_' || p_partkey AS item, sha256(p_name) AS prompt, sha256(sha256(p_name) || 'x') AS other FROM part),
+held AS (
+  SELECT condition, pos, CASE WHEN condition = 'swapped' AND pos % 97 = 3 THEN 'part_' || (pos + 1) WHEN condition = 'swapped' AND pos % 97 = 4 THEN 'part_' || (pos - 1) ELSE item END AS held_item,
+         CASE WHEN condition = 'prompts' AND pos % 89 = 5 THEN other ELSE prompt END AS held_prompt, condition = 'prompts' AND pos % 50 = 1 AS rerun, condition = 'as_planned' AND pos % 60 = 2 AS failed
+  FROM parts, (SELECT unnest(['as_planned', 'missing', 'swapped', 'prompts']) AS condition) WHERE condition <> 'missing' OR pos % 101 <> 7
+),
+planned AS (SELECT condition, pos, item, prompt FROM parts, (SELECT unnest(['as_planned', 'missing', 'swapped', 'prompts']) AS condition)),
+off AS (
+  SELECT condition AS scope, 'item' AS "check", pos, item AS expected, held_item AS found FROM planned LEFT JOIN held USING (condition, pos) WHERE held_item IS DISTINCT FROM item
+  UNION ALL SELECT condition, 'prompt', pos, prompt, held_prompt FROM planned LEFT JOIN held USING (condition, pos) WHERE held_prompt IS DISTINCT FROM prompt
+)"""
+
+SQL |= {
+    "agg_03_full_profile": _SHAPES
+    + f""",
+v AS (
+  SELECT s.condition, s.k AS tokens, r.latency_ms AS latency, r.error, r.hit_max_new_tokens AS cap, s.shape IN (0, 7) AND s.k = gold AS valid, shape NOT IN (4, 5, 6) AND s.k = gold AS semantic,
+         shape IN (0, 7) AS ext, shape IN (0, 4, 7) AS int, CASE WHEN shape IN (4, 5, 6) THEN 'not_assessable' WHEN shape = 7 AND s.k <> 7 THEN 'inconsistent' ELSE 'consistent' END AS v
+  FROM s JOIN runs r USING (pos)
+)
+SELECT condition, count(*) AS examples, {_layers({"contract_valid_correct": "valid", "semantic_correct": "semantic", "external_valid": "ext", "internal_valid": "int"})}, {_TELEMETRY},
+       0 AS gold_negative, 0 AS predicted_negative, count(*) FILTER (v <> 'not_assessable') AS assessed, count(*) FILTER (v = 'consistent') AS consistent, count(*) FILTER (v = 'inconsistent') AS inconsistent,
+       count(*) FILTER (v = 'not_assessable') AS not_assessable, round(count(*) FILTER (v = 'consistent') / CAST(count(*) FILTER (v <> 'not_assessable') AS DOUBLE), 6) AS consistent_share
+FROM v GROUP BY condition""",
+    "agg_04_full_profile": _CALLS
+    + f""",
+f AS (SELECT l_linenumber AS n, abs(wanted) AS tokens, abs(wanted) / 7 AS latency, CASE WHEN l_orderkey % 11 = 0 THEN 'timeout' END AS error, abs(wanted) >= 48 AS cap, wanted = given AS same FROM calls)
+SELECT n AS l_linenumber, count(*) AS examples, {_layers({"success": "n = 1 AND same", "selected": "n IN (1, 3, 4, 5, 6)", "whole": "n < 7", "internal_valid": "n IN (1, 5)", "external_valid": "n = 1", "arguments_correct": "n = 1 AND same", "executed": "n = 1", "post_state_correct": "n = 1 AND same"})}, {_TELEMETRY},
+       count(*) FILTER (n = 5) AS transduction_failures, 0 AS repairs
+FROM f GROUP BY n""",
+    "sco_03_first_failures": _CALLS
+    + """
+SELECT l_linenumber, CASE l_linenumber WHEN 1 THEN CASE WHEN wanted = given THEN 'none' ELSE 'wrong_arguments' END WHEN 2 THEN 'other_tool' WHEN 5 THEN 'not_reversible' WHEN 7 THEN 'invalid_json' ELSE 'internal_invalid' END AS error, count(*) AS calls
+FROM calls GROUP BY ALL""",
+    "jon_02_strict_pairs": _ARMS + " SELECT x.item_id, x.pos AS treatment_pos, y.pos AS control_pos, x.correct AND y.correct AS both FROM arms x JOIN arms y USING (item_id) WHERE x.condition = 'view' AND y.condition = 'click'",
+    "jon_10_strict_answers": "SELECT doc_id, quality, CASE WHEN l.doc_id IS NULL THEN 'missing_ground_truth' END AS reason FROM documents LEFT JOIN labels l USING (doc_id)",
+    "jon_11_strict_lookup": "SELECT p_brand AS brand, count(*) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand",
+    "val_03_differences": _PARTS + ' SELECT scope, "check", pos, expected, found FROM off',
+    "val_03_matrix": _PARTS
+    + """
+SELECT scope, 'same_' || "check" AS "check", count(*) AS n, min(pos) AS first FROM off GROUP BY ALL
+UNION ALL SELECT 'prompts', 'one_run', 1, NULL FROM held WHERE rerun HAVING count(*) > 0
+UNION ALL SELECT 'as_planned', 'no_error', count(*), min(pos) FROM held WHERE failed HAVING count(*) > 0""",
+    "val_06_tool_rows": _CALLS
+    + """
+SELECT 'shape_' || l_linenumber AS scope, "check", n FROM (
+  SELECT l_linenumber, count(*) FILTER (l_linenumber = 7) AS whole, count(*) FILTER (l_linenumber NOT IN (1, 3, 4, 5, 6)) AS selected, count(*) FILTER (l_orderkey % 11 = 0) AS no_error, count(*) FILTER (abs(wanted) >= 48) AS no_cap
+  FROM calls GROUP BY l_linenumber
+) UNPIVOT (n FOR "check" IN (whole, selected, no_error, no_cap)) WHERE n > 0""",
+}
 SQL |= STRICT

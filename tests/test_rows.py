@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators import catalogue, pairing, report, selection, validation
+from pairwell.operators import catalogue, matrix, pairing, report, selection, validation
 from pairwell.sources import runs as io
 from pairwell.streaming import resume
 
@@ -142,3 +142,35 @@ def test_windowed_progress(spark):
     rows = frame(spark, [("c", "2024-01-01 00:01:00", None), ("c", "2024-01-01 00:09:00", "x"), ("c", "2024-01-01 00:11:00", None)], "condition string, timestamp string, error string")
     got = resume.windowed_progress(rows.withColumn("timestamp", F.to_timestamp("timestamp"))).orderBy("window").collect()
     assert [(r["rows"], r.errors) for r in got] == [(2, 1), (1, 0)]
+
+
+def test_joins_that_refuse(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, 5), (3, 6)], "k int, y int")
+    twice = right.unionAll(right.limit(1))
+    assert [(r.k, r.t.x, r.c.y) for r in pairing.strict_pairs(left, right, "k").collect()] == [(1, "a", 5)]
+    with pytest.raises(ValueError, match="m: no shared keys"):
+        pairing.strict_pairs(left.filter("k = 2"), right, "k", "m")
+    for refused, what in ((lambda: pairing.strict_pairs(left, twice, "k"), "repeated keys"), (lambda: pairing.looked_up(left, right, "k"), "no row for key: 2"), (lambda: pairing.looked_up(left, twice, "k"), "repeated keys"), (lambda: pairing.with_answers(left, twice, "k"), "repeated keys")):
+        with pytest.raises(Exception, match=what):
+            refused().collect()
+    assert [(r.k, r.reason) for r in pairing.with_answers(left, right, "k").orderBy("k").collect()] == [(1, None), (2, "missing_ground_truth")]
+    assert pairing.looked_up(left.filter("k = 1"), right, "k").first().found.y == 5
+
+
+def test_matrix_names_what_differs_and_where(spark):
+    expected = spark.range(50).select(F.col("id").alias("pos"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("item"), F.lit("p").alias("prompt"))
+    good = expected.withColumn("c", F.lit("good"))
+    lacking = expected.filter("pos <> 31").withColumn("c", F.lit("lacking"))
+    double = expected.unionAll(expected.filter("pos = 4")).withColumn("c", F.lit("double"))
+    more = expected.unionAll(spark.createDataFrame([(50, "i50", None)], "pos long, item string, prompt string")).withColumn("c", F.lit("more"))
+    turned = expected.withColumn("item", F.concat(F.lit("i"), (49 - F.col("pos")).cast("string"))).withColumn("c", F.lit("turned"))
+    rows = good.unionAll(lacking).unionAll(double).unionAll(more).unionAll(turned).repartition(5)
+    got = {(r.scope, r.check, r.pos): (r.expected, r.found) for r in matrix.differences(expected, rows, "c", ["item", "prompt"]).collect()}
+    assert got.pop(("lacking", "item", 31)) == ("i31", None) and got.pop(("lacking", "prompt", 31)) == ("p", None)
+    assert got.pop(("double", "item", 4)) == ("i4", "i4") and got.pop(("double", "prompt", 4)) == ("p", "p")
+    assert got.pop(("more", "item", 50)) == (None, "i50") and got.pop(("more", "prompt", 50)) == (None, None)
+    assert len(got) == 50 and set(k[:2] for k in got) == {("turned", "item")}
+    found = {(r.scope, r.check): (r.n, r.first) for r in matrix.violations(expected, rows, "c", ["item", "prompt"], ["prompt"], {"early": F.col("pos") < 50}).collect()}
+    assert found == {("lacking", "same_item"): (1, 31), ("lacking", "same_prompt"): (1, 31), ("double", "same_item"): (1, 4), ("double", "same_prompt"): (1, 4), ("more", "same_item"): (1, 50), ("more", "same_prompt"): (1, 50), ("turned", "same_item"): (50, 0), ("more", "one_prompt"): (1, None), ("more", "early"): (1, 50)}
+    assert matrix.differences(expected, good, "c", ["item"]).count() == 0
