@@ -44,43 +44,53 @@ class IntegerString:
 
 @dataclass(frozen=True)
 class KeyAlias:
-    """The external key is called alias inside."""
+    """The external key is called alias inside, in the objects at scope (a shape: keys and * for positions; the root without one)."""
 
     key: str
     alias: str
+    scope: str = ""
     rank = 30
 
     def forward(self, contract: list[Field]) -> list[Field]:
-        if any(f.path == f"/{self.alias}" for f in contract) or not any(f.path == f"/{self.key}" for f in contract):
-            raise ValueError(f"{self.key}: alias collides or key is missing")
-        return [replace(f, path=f"/{self.alias}" + f.path[len(self.key) + 1 :]) if f.path == f"/{self.key}" or f.path.startswith(f"/{self.key}/") else f for f in contract]
+        old, new = f"{self.scope}/{self.key}", f"{self.scope}/{self.alias}"
+        if any(f.path == new for f in contract) or not any(f.path == old for f in contract):
+            raise ValueError(f"{old}: alias collides or key is missing")
+        return [replace(f, path=new + f.path[len(old) :]) if f.path == old or f.path.startswith(old + "/") else f for f in contract]
 
     def inverse(self, leaves: Column) -> Column:
-        back = lambda path: F.when(_within(path, self.alias), F.concat(F.lit(f"/{self.key}"), F.substr(path, F.lit(len(self.alias) + 2)))).otherwise(path)
-        return F.transform(leaves, lambda x: x.withField("path", back(x["path"])).withField("shape", back(x["shape"])))
+        at = self.scope.count("/") + 1
+        named = lambda path: F.array_join(F.transform(F.split(path, "/"), lambda part, i: F.when(i == at, self.key).otherwise(part)), "/")
+        back = lambda x: x.withField("path", named(x["path"])).withField("shape", named(x["shape"]))
+        return F.transform(leaves, lambda x: F.when(_below(x["shape"], self.scope, self.alias), back(x)).otherwise(x))
 
     def reversible(self, leaves: Column) -> Column:
-        return F.forall(leaves, lambda x: ~_within(x["path"], self.key))
+        return F.forall(leaves, lambda x: ~_below(x["shape"], self.scope, self.key))
 
 
 @dataclass(frozen=True)
 class ScratchField:
-    """A bounded string that only the internal object has."""
+    """A bounded string that only the internal objects at scope have."""
 
     key: str
     max_length: int
+    scope: str = ""
     rank = 20
 
     def forward(self, contract: list[Field]) -> list[Field]:
-        if any(f.path == f"/{self.key}" for f in contract):
-            raise ValueError(f"{self.key}: key is taken")
-        return [Field(f"/{self.key}", "string", max_length=self.max_length), *contract]
+        path = f"{self.scope}/{self.key}"
+        if any(f.path == path for f in contract):
+            raise ValueError(f"{path}: key is taken")
+        at = next((i for i, f in enumerate(contract) if f.path.startswith(self.scope + "/")), None)
+        if at is None:
+            raise ValueError(f"{self.scope}: no such scope")
+        return [*contract[:at], Field(path, "string", max_length=self.max_length), *contract[at:]]
 
     def inverse(self, leaves: Column) -> Column:
-        return F.filter(leaves, lambda x: x["path"] != f"/{self.key}")
+        return F.filter(leaves, lambda x: x["shape"] != f"{self.scope}/{self.key}")
 
     def reversible(self, leaves: Column) -> Column:
-        return F.exists(leaves, lambda x: x["path"] == f"/{self.key}")
+        mine = F.size(F.filter(leaves, lambda x: x["shape"] == f"{self.scope}/{self.key}"))
+        return mine == F.size(F.filter(leaves, lambda x: (x["shape"] == self.scope) & (x["kind"] == "object")))
 
 
 @dataclass(frozen=True)
@@ -110,6 +120,11 @@ def _under(leaves: Column, key: str) -> Column:
     return F.filter(leaves, lambda x: _within(x["path"], key))
 
 
+def _below(shape: Column, scope: str, key: str) -> Column:
+    """Whether a shape is that of a key of the objects at scope or lies below it."""
+    return (shape == f"{scope}/{key}") | shape.startswith(f"{scope}/{key}/")
+
+
 def _within(path: Column, key: str) -> Column:
     """Whether a path is that of a root key or lies below it."""
     return (path == f"/{key}") | path.startswith(f"/{key}/")

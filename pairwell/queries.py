@@ -563,7 +563,7 @@ def val_07_gate(spark, sf_dir):
 
 @query
 def hsh_05_one_environment(spark, sf_dir):
-    """How many environments (status and priority mode, by digest) the lines of each return flag and mode ran under: one is consistent."""
+    """How many environments (line status and ship year, by digest) the lines of each return flag and supplier ran under: one is consistent."""
     digest = F.sha2(F.to_json(F.struct("l_linestatus", F.year("l_shipdate").alias("year"))), 256)
     found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.countDistinct(digest).alias("environments"), F.count("*").alias("rows"))
     return found.withColumn("holds", F.col("environments") == 1)

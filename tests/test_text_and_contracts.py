@@ -169,3 +169,22 @@ def test_arguments_compare_by_value(spark):
     for given, option, right in (("1e16", 10**16, True), ("-0.0", 0, True), ("0", F.lit("-0.0"), True), ("10000000000000000", F.lit("1e16"), True), ("NaN", float("nan"), False), ("0.1", [0.1], False), ("2.50", 2.5, True)):
         call = '{"name": "t", "arguments": {"n": %s}}' % given
         assert scoring.tool_score(read_rows(spark, [call], jsontext.read_call), "r", "t", args, {"n": [option]}).first().s.arguments_correct == right, given
+
+
+def test_aliases_and_scratch_fields_in_nested_scopes(spark):
+    fields = [contracts.Field("/outer", "object"), contracts.Field("/outer/list", "array"), contracts.Field("/outer/list/*", "object", required=False), contracts.Field("/outer/list/*/name", "string", required=False), contracts.Field("/name", "string")]
+    plan = Plan(tuple(fields), (ScratchField("note", 3, "/outer/list/*"), KeyAlias("name", "n", "/outer/list/*")))
+    assert [f.path for f in plan.internal()] == ["/outer", "/outer/list", "/outer/list/*", "/outer/list/*/note", "/outer/list/*/n", "/name"]
+    given = [
+        '{"outer": {"list": [{"note": "a", "n": "x"}, {"note": "", "n": "y/z"}]}, "name": "kept"}',
+        '{"outer": {"list": [{"note": "a", "n": "x"}, {"n": "y"}]}, "name": "kept"}',  # one lacks its note
+        '{"outer": {"list": [{"note": "a", "name": "x"}]}, "name": "kept"}',  # the external key inside
+        '{"outer": {"list": []}, "name": "kept"}',
+    ]
+    got = plan.run(read_rows(spark, given), F.col("r.leaves")).orderBy("i").collect()
+    assert [g.code for g in got] == [None, "not_reversible", "internal_invalid", None]
+    assert [(x.path, x.shape, x.text) for x in got[0].external if x.kind == "string"] == [("/outer/list/0/name", "/outer/list/*/name", "x"), ("/outer/list/1/name", "/outer/list/*/name", "y/z"), ("/name", "/name", "kept")]
+    for step in (KeyAlias("name", "n", "/outer"), ScratchField("name", 3, "/outer/list/*"), ScratchField("q", 3, "/none")):
+        with pytest.raises(ValueError):
+            step.forward(fields)
+    assert KeyAlias("name", "n").forward(fields)[-1].path == "/n"
