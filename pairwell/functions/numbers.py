@@ -58,7 +58,7 @@ def _exact(text: str | None) -> str | None:
     return str(value) if "/" in text else f"{Decimal(text).normalize():f}"
 
 
-_JSON_NUMBER = r"\A(-?)(\d+)(?:\.(\d*))?(?:[eE]([-+]?\d+))?\z"
+_JSON_NUMBER = r"\A-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?\z"
 
 
 def number_key(text: Column) -> Column:
@@ -66,11 +66,23 @@ def number_key(text: Column) -> Column:
 
     Null for what is not a finite number. Native, so that it can stand inside functions over arrays.
     """
-    part = lambda k: F.regexp_extract(text, _JSON_NUMBER, k)
-    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    low = F.lower(text)
+    mantissa = F.ltrim(F.substring_index(low, "e", 1), F.lit("-"))
+    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    digits = F.ltrim(F.concat(F.substring_index(mantissa, ".", 1), fraction), F.lit("0"))
     bare = F.rtrim(digits, F.lit("0"))
-    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.char_length(part(3)) + F.char_length(digits) - F.char_length(bare)
-    return F.when(text.rlike(_JSON_NUMBER), F.when(bare == "", "0").otherwise(F.concat(part(1), bare, F.lit("e"), power.cast("string"))))
+    power = F.when(F.contains(low, F.lit("e")), F.substring_index(low, "e", -1).try_cast("int")).otherwise(0) - F.char_length(fraction) + F.char_length(digits) - F.char_length(bare)
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    return F.when(text.rlike(_JSON_NUMBER), F.when(bare == "", "0").otherwise(F.concat(sign, bare, F.lit("e"), power.cast("string"))))
+
+
+def same_number(left: Column, right: Column) -> Column:
+    """Whether two JSON numbers have one exact value; null or false for what is not finite.
+
+    Up to 15 characters without an exponent are told apart by doubles; only longer ones need their keys.
+    """
+    short = lambda x: (F.char_length(x) <= 15) & ~x.rlike("[eEnN]")
+    return F.when(short(left) & short(right), left.try_cast("double") == right.try_cast("double")).otherwise(number_key(left) == number_key(right))
 
 
 def number_key_of(text: str) -> str | None:

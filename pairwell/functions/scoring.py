@@ -89,7 +89,7 @@ def equal_values(kind: Column, text: Column, other_kind: Column, other_text: Col
     """Equality of two scalars: numbers by exact value whatever their spelling, all else by kind and text."""
     number = ["integer", "integral", "number"]
     both = kind.isin(*number) & other_kind.isin(*number)
-    return F.coalesce(F.when(both, numbers.number_key(text) == numbers.number_key(other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
+    return F.coalesce(F.when(both, numbers.same_number(text, other_text)).otherwise((kind == other_kind) & text.eqNullSafe(other_text)), F.lit(False))
 
 
 #: Arguments and the values that count as right for each: texts of scalars as columns, or JSON values.
@@ -117,7 +117,7 @@ def matches(leaves: Column, path: str, option: Column | Any) -> Column:
     if isinstance(option, Column):
         only = F.when(F.size(inside) == 1, F.get(inside, F.lit(0)))
         number = only["kind"].isin("integer", "integral", "number")
-        return F.coalesce(F.when(number, numbers.number_key(only["text"]) == numbers.number_key(option)).otherwise(only["text"] == option), F.lit(False))
+        return F.coalesce(F.when(number, numbers.same_number(only["text"], option)).otherwise(only["text"] == option), F.lit(False))
     shown = lambda p, k, t: F.to_json(F.array(p, k, F.coalesce(t, F.lit("null"))))
     have = F.transform(inside, lambda x: shown(F.substr(x["path"], F.lit(len(path) + 1)), *_plain(x["kind"], x["text"])))
     want = [json.dumps([p, k, "null" if t is None else t], ensure_ascii=False, separators=(",", ":")) for p, k, t in _parts(option)]
