@@ -38,6 +38,21 @@ def key_of(part: str) -> str:
     return "*" if part == "~2" else part.replace("~1", "/").replace("~0", "~")
 
 
+def part_of(key: Column) -> Column:
+    """pointer() of a column of keys."""
+    return F.when(key == "*", "~2").otherwise(F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+
+
+def named(part: Column) -> Column:
+    """key_of() of a column of parts."""
+    return F.when(part == "~2", "*").otherwise(F.replace(F.replace(part, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+
+def leaf_at(leaves: Column, path: Column | str) -> Column:
+    """The leaf at a path; null if there is none."""
+    return F.get(F.filter(leaves, lambda x: x["path"] == path), F.lit(0))
+
+
 def value_of(leaves: list[dict]) -> Any:
     """The value that leaves spell, a parent before its children."""
     plain = {"null": lambda t: None, "boolean": lambda t: t == "true", "integer": int, "integral": float, "number": float, "string": str, "object": lambda t: {}, "array": lambda t: []}

@@ -256,3 +256,32 @@ def first_error(leaves: Column, nodes: Column) -> Column:
         return F.when(error.isNotNull(), F.struct(path_order(leaf).alias("order"), error["rank"].alias("rank"), leaf["path"].alias("path"), error["keyword"].alias("keyword"), error["message"].alias("message")))
 
     return F.array_min(F.transform(leaves, judged))
+
+
+def options_by_key(leaves: Column, at: Column, nodes: Column, scope: str = "/arguments") -> Column:
+    """Of an object whose values are lists of options: each option's key (as it stands in paths), place and leaves' verdict by the key's node below scope.
+
+    One entry a leaf inside a list, in the order of the leaves; values that are no lists give none.
+    """
+    depth = F.size(F.split(at, "/"))
+    inside = F.filter(leaves, lambda x: x["path"].startswith(F.concat(at, F.lit("/"))) & (F.get(F.split(x["shape"], "/"), depth + 1) == "*"))
+
+    def judged(leaf: Column) -> Column:
+        path, shape = (F.slice(F.split(leaf[n], "/"), depth + 1, F.lit(1 << 30)) for n in ("path", "shape"))
+        node = F.array_join(F.concat(F.array(F.lit(scope), F.get(shape, F.lit(0))), F.slice(shape, 3, 1 << 30)), "/")
+        wrong = _leaf_error(leaf, F.try_element_at(nodes, node), leaves).isNotNull()
+        return F.struct(F.get(path, F.lit(0)).alias("key"), F.array_join(F.slice(path, 1, 2), "/").alias("option"), (F.size(path) == 2).alias("root"), leaf["kind"].alias("kind"), leaf["text"].alias("text"), wrong.alias("wrong"))
+
+    return F.transform(inside, judged)
+
+
+def accepted_keys(options: Column) -> Column:
+    """The keys that have at least one valid option, from options_by_key()."""
+    wrong = F.transform(F.filter(options, lambda x: x["wrong"]), lambda x: x["option"])
+    right = F.filter(options, lambda x: x["root"] & ~F.array_contains(wrong, x["option"]))
+    return F.array_distinct(F.transform(right, lambda x: x["key"]))
+
+
+def inner_keys(leaves: Column, path: Column) -> Column:
+    """The keys of the object at a path, as they stand in paths."""
+    return _inner_keys(leaves, path)

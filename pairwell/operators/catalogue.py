@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwell.functions import numbers
+from pairwell.operators.selection import first_per_reason
 
 
 def losses(pairs: DataFrame, correct: str = "correct", answer: str = "answer") -> DataFrame:
@@ -73,6 +74,18 @@ def targeted(marks: DataFrame, reasons: list[str]) -> DataFrame:
     return got.select("item_id", F.array_join(F.transform("all", lambda x: x["reason"]), ",").alias("selection_reason"))
 
 
+def bounded_suite(marks: DataFrame, limits: dict[str, int | None], pos: str) -> DataFrame:
+    """The first items by position of each reason, as many as its limit says (None: all), with their reasons in the order of limits.
+
+    Reasons without a limit are not ranked; the others are ranked under a bound, so a task keeps only the first of each before the shuffle.
+    """
+    free = marks.filter(F.col("reason").isin([r for r, n in limits.items() if n is None])).select(pos, "reason")
+    for reason, count in limits.items():
+        if count is not None:
+            free = free.unionByName(first_per_reason(marks.filter(F.col("reason") == reason).select(pos, "reason"), "reason", pos, count))
+    return targeted(free.withColumnRenamed(pos, "item_id"), list(limits)).withColumnRenamed("item_id", pos)
+
+
 def restore_labels(generated: DataFrame, labels: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """generated with the manual columns of labels; where there is no label they become null."""
     return generated.drop(*columns).join(labels.select(*keys, *columns), keys, "left")

@@ -98,6 +98,28 @@ def ordered_mismatches(control: DataFrame, treatment: DataFrame, pos: str = "pos
     return both.filter(~F.col("control_item").eqNullSafe(F.col("treatment_item"))).select(F.coalesce("p", "q").alias(pos), "control_item", "treatment_item")
 
 
+def subset_effects(control: DataFrame, treatment: DataFrame, success: str, subset: str = "subset", pos: str = "pos", item: str = "item") -> DataFrame:
+    """Two arms by subset: rows, positions that do not hold one item in both arms, items that an arm repeats, pairs, and what the treatment repairs and breaks.
+
+    A subset is paired strictly where mismatched and repeated are 0. Pairs are positions that hold the same item in both arms; a null success is none.
+    """
+    side = lambda rows: rows.select(F.col(subset).alias("subset"), F.col(pos).alias("pos"), F.col(item).alias("item"), F.coalesce(F.col(success), F.lit(False)).alias("ok"))
+    arms = side(control).withColumn("arm", F.lit(0)).unionByName(side(treatment).withColumn("arm", F.lit(1)))
+    here = lambda arm, name: F.max(F.when(F.col("arm") == arm, F.col(name)))
+    at = arms.groupBy("subset", "pos").agg(here(0, "item").alias("c"), here(1, "item").alias("t"), here(0, "ok").alias("c_ok"), here(1, "ok").alias("t_ok"), F.count_if(F.col("arm") == 0).alias("c_n"), F.count_if(F.col("arm") == 1).alias("t_n"))
+    same = F.coalesce(F.col("c") == F.col("t"), F.lit(False))
+    found = at.groupBy("subset").agg(
+        F.sum("c_n").alias("control_rows"),
+        F.sum("t_n").alias("treatment_rows"),
+        F.count_if(~same).alias("mismatched"),
+        F.count_if(same).alias("pairs"),
+        F.count_if(same & F.col("t_ok") & ~F.col("c_ok")).alias("repaired"),
+        F.count_if(same & F.col("c_ok") & ~F.col("t_ok")).alias("broken"),
+    )
+    repeats = arms.groupBy(F.col("subset").alias("s"), "arm", "item").agg(F.count("*").alias("n")).filter("n > 1").groupBy("s").agg(F.count("*").alias("repeated"))
+    return found.join(repeats, F.col("subset").eqNullSafe(F.col("s")), "left").drop("s").withColumn("repeated", F.coalesce("repeated", F.lit(0).cast("long")))
+
+
 def transitions(pairs: DataFrame, treatment: Column, control: Column) -> DataFrame:
     """pairs with transition: 0 both wrong, 1 lost, 2 repaired, 3 both right."""
     t, c = F.coalesce(treatment, F.lit(False)), F.coalesce(control, F.lit(False))

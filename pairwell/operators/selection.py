@@ -37,9 +37,9 @@ def numbered(rows: DataFrame, pos: str, as_name: str = "index") -> DataFrame:
     return found.select("row.*", (F.col("before") + F.col("local")).cast("long").alias(as_name))
 
 
-def sliced(rows: DataFrame, excluded: DataFrame, pos: str, start: int, end: int | None, limit: int | None, item: str = "item_id") -> DataFrame:
-    """Excludes first, then takes positions start to end (exclusive) of what is left, then at most limit rows."""
-    left = numbered(without_items(rows, excluded, item), pos)
+def sliced(rows: DataFrame, excluded: DataFrame | None, pos: str, start: int, end: int | None, limit: int | None, item: str = "item_id") -> DataFrame:
+    """Excludes first (nothing where excluded is None), then takes positions start to end (exclusive) of what is left, then at most limit rows."""
+    left = numbered(rows if excluded is None else without_items(rows, excluded, item), pos)
     stop = min(x for x in (end, None if limit is None else start + limit, 1 << 62) if x is not None)
     return left.filter((F.col("index") >= start) & (F.col("index") < stop))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwell import queries_items as items
 from pairwell import queries_layers as layers
 from pairwell import queries_strict as strict
 from pairwell.functions import contracts, jsontext, numbers, scoring, stats
@@ -587,7 +588,7 @@ def agg_27_canonical_delta(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | layers.queries() | strict.queries()
+    return _QUERIES | layers.queries() | strict.queries() | items.queries()
 
 
 def oracle_sql() -> dict[str, str]:

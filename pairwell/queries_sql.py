@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairwell.queries_items_sql import SQL as ITEMS
 from pairwell.queries_strict_sql import SQL as STRICT
 
 _RUNS = r"""
@@ -488,4 +489,11 @@ SELECT 'shape_' || l_linenumber AS scope, "check", n FROM (
   FROM calls GROUP BY l_linenumber
 ) UNPIVOT (n FOR "check" IN (whole, selected, no_error, no_cap)) WHERE n > 0""",
 }
-SQL |= STRICT
+SQL |= STRICT | ITEMS
+SQL["agg_16_mismatched_items"] = (
+    _ARMS
+    + """
+SELECT comparison, item_id, unnest(list_filter([CASE WHEN ca IS DISTINCT FROM ta THEN 'answer' END, CASE WHEN cc IS DISTINCT FROM tc THEN 'correct' END,
+       CASE WHEN cst IS DISTINCT FROM tst THEN 'strict' END, CASE WHEN ce IS DISTINCT FROM te THEN 'error' END], lambda x: x IS NOT NULL)) AS field
+FROM pairs"""
+)

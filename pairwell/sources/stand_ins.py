@@ -84,3 +84,30 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wanted = F.when(F.col("l_orderkey") % 2 == 0, -F.col("quantity")).otherwise(F.col("quantity")).cast("string")
     return dealt(rows.select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw_output"), wanted.alias("wanted_quantity")))
+
+
+def tool_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool item for every part, its question and answer as JSON texts, by key in sixteen shapes: fifteen depart from a plain one in one thing."""
+    shape, n = F.col("p_partkey") % 16, (F.col("p_size") - 25).cast("string")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", shape.alias("shape"), n.alias("n"))
+
+    def either(cases: dict[int, str], plain: str) -> Column:
+        out = F.lit(plain)
+        for at, text in cases.items():
+            out = F.when(F.col("shape") == at, text).otherwise(out)
+        return out
+
+    role = either({1: "system"}, "user")
+    tool = either({3: "7"}, '"adjust_stock"')
+    kind = either({4: "object"}, "dict")
+    required = either({5: '"sku"', 6: '["sku"]'}, '["sku", "count"]')
+    note = either({7: "tuple"}, "string")
+    count = either({8: '{"type": "integer", "minimum": 0}'}, '{"type": "integer"}')
+    function = F.concat(F.lit('{"name": '), tool, F.lit(', "parameters": {"type": "'), kind, F.lit('", "properties": {"sku": {"type": "string"}, "count": '), count, F.lit(', "note": {"type": "'), note, F.lit('"}}, "required": '), required, F.lit("}}"))
+    functions = F.concat(F.lit("["), function, F.when(F.col("shape") == 2, F.concat(F.lit(", "), function)).otherwise(""), F.lit("]"))
+    question = F.concat(F.lit('{"question": [[{"role": "'), role, F.lit('", "content": "adjust '), F.col("p_brand"), F.lit('"}]], "function": '), functions, F.lit("}"))
+    number = F.col("n")
+    options = F.when(F.col("shape") == 11, F.concat(F.lit('["'), number, F.lit('"]'))).when(F.col("shape") == 13, F.concat(F.lit("["), number, F.lit(".0]"))).otherwise(F.concat(F.lit("["), number, F.lit(', "none", -3]')))
+    call = F.concat(F.lit('{"adjust_stock": {"sku": ["P"], "count": '), options, either({10: ', "color": ["red"]', 12: ', "note": "none"'}, ', "note": [""]'), F.lit("}}"))
+    answer = F.concat(F.lit('{"ground_truth": ['), call, F.when(F.col("shape") == 9, F.concat(F.lit(", "), call)).otherwise(""), F.lit("]}"))
+    return rows.select("p_partkey", F.when(F.col("shape") == 14, F.left(question, F.lit(40))).otherwise(question).alias("question"), F.when(F.col("shape") != 15, answer).alias("answer"))
