@@ -50,7 +50,7 @@ def named(part: Column) -> Column:
 
 def leaf_at(leaves: Column, path: Column | str) -> Column:
     """The leaf at a path; null if there is none."""
-    return F.get(F.filter(leaves, lambda x: x["path"] == path), F.lit(0))
+    return F.get(leaves, (F.array_position(leaves["path"], path) - 1).cast("int"))
 
 
 def value_of(leaves: list[dict]) -> Any:

@@ -110,4 +110,4 @@ def tool_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.when(F.col("shape") == 11, F.concat(F.lit('["'), number, F.lit('"]'))).when(F.col("shape") == 13, F.concat(F.lit("["), number, F.lit(".0]"))).otherwise(F.concat(F.lit("["), number, F.lit(', "none", -3]')))
     call = F.concat(F.lit('{"adjust_stock": {"sku": ["P"], "count": '), options, either({10: ', "color": ["red"]', 12: ', "note": "none"'}, ', "note": [""]'), F.lit("}}"))
     answer = F.concat(F.lit('{"ground_truth": ['), call, F.when(F.col("shape") == 9, F.concat(F.lit(", "), call)).otherwise(""), F.lit("]}"))
-    return rows.select("p_partkey", F.when(F.col("shape") == 14, F.left(question, F.lit(40))).otherwise(question).alias("question"), F.when(F.col("shape") != 15, answer).alias("answer"))
+    return dealt(rows.select("p_partkey", F.when(F.col("shape") == 14, F.left(question, F.lit(40))).otherwise(question).alias("question"), F.when(F.col("shape") != 15, answer).alias("answer")))
