@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.functions import prompts
-from pairwell.operators import catalogue, eligibility, pairing, selection, traces
-from pairwell.sources.stand_ins import COMPARISONS, runs, table, tool_items
+from pairwell.functions import jsontext, prompts
+from pairwell.operators import catalogue, eligibility, manifests, pairing, selection, traces
+from pairwell.sources.stand_ins import COMPARISONS, dealt, runs, table, tool_items
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -118,6 +118,31 @@ def jon_08b_shared_losses(spark, sf_dir):
     return lost.select("pos", F.col("click").isNotNull().alias("available"), F.coalesce("click", F.lit(False)).alias("repaired"))
 
 
+def _manifest(model: str, seed: str, order: str, packages: str) -> Column:
+    return F.concat(F.lit('{"run_config": {"model": "'), F.col(model), F.lit('", "seed": '), F.col(seed), F.lit(', "field_order": '), F.col(order), F.lit('}, "packages": '), F.col(packages), F.lit("}"))
+
+
+@query
+def prj_01_projections(spark, sf_dir):
+    """Two manifests of every customer: the fields of their configurations and environments that differ. Some spell the same in another way."""
+    n, text = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.col("c_mktsegment").alias("model"),
+        F.when(n % 7 == 1, F.concat("c_mktsegment", F.lit("!"))).otherwise(F.col("c_mktsegment")).alias("model2"),
+        text.alias("seed"),
+        F.when(n % 5 == 1, F.concat(text, F.lit(".0"))).when(n % 5 == 2, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text).alias("seed2"),
+        F.lit('["reasoning", "answer"]').alias("order"),
+        F.when(n % 3 == 1, '["answer", "reasoning"]').otherwise('["reasoning", "answer"]').alias("order2"),
+        F.when(n % 4 == 3, "null").otherwise('{"a": "1", "b": {"c": [1, 2]}}').alias("packages"),
+        F.when(n % 8 == 3, 'null, "python": null').when(n % 4 == 1, '{"b": {"c": [1, 2]}, "a": "1"}').when(n % 4 == 2, '{"a": "1", "b": {"c": [1, 2, 3]}}').otherwise('{"a": "1", "b": {"c": [1, 2]}}').alias("packages2"),
+    )
+    both = dealt(rows).select("c_custkey", jsontext.read_call(_manifest("model", "seed", "order", "packages")).alias("l"), jsontext.read_call(_manifest("model2", "seed2", "order2", "packages2")).alias("r"))
+    both = both.select("c_custkey", manifests.comparable(F.col("l.leaves")).alias("l"), manifests.comparable(F.col("r.leaves")).alias("r"))
+    differ = lambda fields, at: F.array_join(manifests.differing_fields(F.col("l"), F.col("r"), fields, at), ",")
+    return both.select("c_custkey", differ(manifests.CONFIG, "/run_config").alias("config"), differ(manifests.ENVIRONMENT, "").alias("environment"))
+
+
 @query
 def fil_02b_slice(spark, sf_dir):
     """Positions 50 to the end of the documents, at most 200 of them, with nothing excluded."""

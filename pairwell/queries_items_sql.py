@@ -80,6 +80,10 @@ m AS (
 SELECT pos, reason AS selection_reason FROM m WHERE reason IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY reason ORDER BY pos) <= CASE reason WHEN 'matched_all_correct_control' THEN 5 WHEN 'shared_wrong_diagnostic' THEN 3 ELSE 1000000000000 END""",
     "jon_08b_shared_losses": _THREE + " SELECT pos, c IS NOT NULL AS available, coalesce(c, false) AS repaired FROM three WHERE p AND NOT s AND NOT v AND pos % 7 <> 0",
+    "prj_01_projections": """
+SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 7 = 1 THEN 'model' END, CASE WHEN c_custkey % 3 = 1 THEN 'field_order' END, CASE WHEN c_custkey % 5 = 2 THEN 'seed' END) AS config,
+       CASE WHEN c_custkey % 4 = 2 OR c_custkey % 8 = 7 THEN 'packages' ELSE '' END AS environment
+FROM customer""",
     "fil_02b_slice": """
 WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS "index" FROM documents)
 SELECT * FROM d WHERE "index" >= 50 AND "index" < 250""",

@@ -2,9 +2,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pairwell.functions import prompts
-from pairwell.operators import catalogue, eligibility, pairing, traces
+from pairwell.functions import jsontext, prompts
+from pairwell.operators import catalogue, eligibility, manifests, pairing, traces
 from pairwell.operators.eligibility import REASONS
 
 PARAMETERS = {"type": "dict", "properties": {"a/b": {"type": "integer"}, "*": {"type": "dict", "properties": {"x": {"type": "float"}}, "required": ["x"]}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["a/b", "*"]}
@@ -136,3 +137,22 @@ def test_prompts(spark):
     assert '{"reasoning": "<calculation sentences>", "answer": <integer>}\n\nQuestion:\n2+2?' in at[0].p and at[1].f.endswith("Final answer: <number>\n\nQuestion:\n")
     turned = prompts.instructions("baseline", ("answer", "reasoning"))
     assert '"answer", then "reasoning"' in turned and '{"answer": "<final numeric answer>", "reasoning": "<calculation sentences>"}' in turned
+
+
+def test_manifest_projections(spark):
+    base = {"run_config": {"model": "m", "seed": 7, "field_order": ["a", "b"]}, "packages": {"x": "1", "y": {"z": [1, {}]}}, "gpus": []}
+    others = [
+        (base, [], []),
+        ({"packages": {"y": {"z": [1.0, {}]}, "x": "1"}, "gpus": [], "run_config": {"field_order": ["a", "b"], "seed": 7.0, "model": "m", "dtype": None, "unknown": 1}}, [], []),
+        (base | {"gpus": {}}, [], ["gpus"]),
+        (base | {"gpus": None, "packages": {"x": "1", "y": {"z": [{}, 1]}}}, [], ["gpus", "packages"]),
+        (base | {"run_config": {"model": "m", "seed": "7", "field_order": ["b", "a"]}}, ["field_order", "seed"], []),
+        (base | {"run_config": None}, ["model", "field_order", "seed"], []),
+        (None, ["model", "field_order", "seed"], ["gpus", "packages"]),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(base), None if o is None else json.dumps(o)) for i, (o, _, _) in enumerate(others)], "id int, l string, r string")
+    read = rows.select("id", jsontext.read_call("l").alias("l"), jsontext.read_call("r").alias("r"))
+    read = read.select("id", manifests.comparable(F.col("l.leaves")).alias("l"), manifests.comparable(F.col("r.leaves")).alias("r"))
+    l, r = F.col("l"), F.col("r")
+    found = read.select("id", manifests.differing_fields(l, r, manifests.CONFIG, "/run_config").alias("config"), manifests.differing_fields(l, r, manifests.ENVIRONMENT).alias("environment")).collect()
+    assert [(x.config, x.environment) for x in sorted(found, key=lambda x: x.id)] == [(c, e) for _, c, e in others]
