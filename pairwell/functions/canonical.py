@@ -39,3 +39,24 @@ def canonical_json(text: Column | str, escaped: bool = True, newline: bool = Fal
 def digest(text: Column | str, escaped: bool = True, newline: bool = False) -> Column:
     """SHA-256 of the canonical form, in hexadecimal; null for what is no JSON."""
     return F.sha2(canonical_json(text, escaped, newline).cast("binary"), 256)
+
+
+def _member(key: str):
+    @F.arrow_udf(T.StringType())
+    def member(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for text in texts.to_pylist():
+            try:
+                value = None if text is None else json.loads(text)
+            except (ValueError, RecursionError):
+                value = None
+            found = isinstance(value, dict) and key in value
+            out.append(json.dumps(value[key], sort_keys=True, separators=(",", ":")) if found else None)
+        return pa.array(out, pa.string())
+
+    return member
+
+
+def member_digest(text: Column | str, key: str) -> Column:
+    """digest() of one member of a JSON object; null where there is none."""
+    return F.sha2(_member(key)(text).cast("binary"), 256)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwell import queries_items as items
 from pairwell import queries_layers as layers
+from pairwell import queries_reports as reports
 from pairwell import queries_strict as strict
 from pairwell.functions import contracts, jsontext, numbers, scoring, stats
 from pairwell.operators import catalogue, pairing, profiles, report, selection, validation
@@ -588,7 +589,7 @@ def agg_27_canonical_delta(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | layers.queries() | strict.queries() | items.queries()
+    return _QUERIES | layers.queries() | strict.queries() | items.queries() | reports.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairwell.queries_items_sql import SQL as ITEMS
+from pairwell.queries_reports_sql import SQL as REPORTS
 from pairwell.queries_strict_sql import SQL as STRICT
 
 _RUNS = r"""
@@ -489,7 +490,7 @@ SELECT 'shape_' || l_linenumber AS scope, "check", n FROM (
   FROM calls GROUP BY l_linenumber
 ) UNPIVOT (n FOR "check" IN (whole, selected, no_error, no_cap)) WHERE n > 0""",
 }
-SQL |= STRICT | ITEMS
+SQL |= STRICT | ITEMS | REPORTS
 SQL["agg_16_mismatched_items"] = (
     _ARMS
     + """
