@@ -10,6 +10,7 @@ refused when the document is compiled.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
@@ -188,6 +189,11 @@ def with_nodes(rows: DataFrame, text: str, tool: str | None = None, integers: bo
     return rows.join(made, match).select(*rows.columns, F.col("__c.problem").alias("problem"), F.col("__c.nodes").alias("nodes"))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once however often it is used: expressions inside lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _shown(leaf: Column) -> Column:
     text, kind = leaf["text"], leaf["kind"]
     return F.when(kind == "string", F.concat(F.lit("'"), text, F.lit("'"))).when(kind == "boolean", F.initcap(text)).when(kind == "null", "None").when(kind == "object", "{...}").when(kind == "array", "[...]").otherwise(text)
@@ -208,16 +214,21 @@ def path_order(leaf: Column) -> Column:
     return F.when(leaf["path"] == "", F.array().cast("array<struct<n: long, t: string>>")).otherwise(F.slice(F.transform(parts, one), 2, 1 << 30))
 
 
-def _leaf_error(leaf: Column, node: Column, leaves: Column) -> Column:
-    """The first keyword of its node that a leaf fails: rank, keyword and message; null if it fails none."""
+def _leaf_error(leaf: Column, node: Column, leaves: Column, then: Callable[[Column], Column] = lambda error: error) -> Column:
+    """then() of the first keyword of its node that a leaf fails (rank, keyword and message, null if it fails none); null without a node."""
+    keys = F.when(leaf["kind"] == "object", _inner_keys(leaves, leaf["path"]))
+    odd = lambda n: _bound(keys, lambda k: F.struct(F.array_except(n["required"], k).alias("missing"), F.array_except(k, n["keys"]).alias("extra")))
+    return _bound(node, lambda n: F.when(n.isNotNull(), _bound(odd(n), lambda o: _bound(_failed(leaf, n, o["missing"], o["extra"]), then))))
+
+
+def _failed(leaf: Column, node: Column, missing: Column, extra: Column) -> Column:
+    """The first of the node's keywords, in the document's order, that a leaf fails."""
     kind, text = leaf["kind"], leaf["text"]
     number, string = kind.isin(*KINDS["number"]), kind == "string"
     value, count = text.try_cast("double"), text.try_cast("int")
     plain = F.when(number, F.concat(F.lit("number:"), numbers.number_key(text))).otherwise(F.concat_ws(":", kind, F.coalesce(text, F.lit("None"))))
     shown = _shown(leaf)
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    keys = _inner_keys(leaves, leaf["path"])
-    missing, extra = F.array_except(node["required"], keys), F.array_except(keys, node["keys"])
     quoted = lambda names: F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
     length = F.char_length(text)
     is_array, is_object = kind == "array", kind == "object"
@@ -240,8 +251,15 @@ def _leaf_error(leaf: Column, node: Column, leaves: Column) -> Column:
         "minProperties": (is_object & (count < node["min_keys"]), say(shown, " does not have enough properties")),
         "maxProperties": (is_object & (count > node["max_keys"]), say(shown, " has too many properties")),
     }
-    found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.array_position(node["keywords"], k).alias("rank"), F.lit(k).alias("keyword"), message.alias("message"))) for k, (bad, message) in checks.items()]
-    return F.array_min(F.array(*found))
+
+    def tried(keyword: Column, at: Column) -> Column:
+        """The failure of one of the node's keywords; others are not computed."""
+        out = F.when(F.lit(False), None)
+        for name, (bad, message) in checks.items():
+            out = out.when(keyword == name, F.when(F.coalesce(bad, F.lit(False)), F.struct(at.alias("rank"), F.lit(name).alias("keyword"), message.alias("message"))))
+        return out
+
+    return F.get(F.filter(F.transform(node["keywords"], tried), lambda error: error.isNotNull()), F.lit(0))
 
 
 def first_error(leaves: Column, nodes: Column) -> Column:
@@ -252,8 +270,8 @@ def first_error(leaves: Column, nodes: Column) -> Column:
     """
 
     def judged(leaf: Column) -> Column:
-        error = _leaf_error(leaf, F.try_element_at(nodes, leaf["shape"]), leaves)
-        return F.when(error.isNotNull(), F.struct(path_order(leaf).alias("order"), error["rank"].alias("rank"), leaf["path"].alias("path"), error["keyword"].alias("keyword"), error["message"].alias("message")))
+        placed = lambda error: F.when(error.isNotNull(), F.struct(path_order(leaf).alias("order"), error["rank"].alias("rank"), leaf["path"].alias("path"), error["keyword"].alias("keyword"), error["message"].alias("message")))
+        return _leaf_error(leaf, F.try_element_at(nodes, leaf["shape"]), leaves, placed)
 
     return F.array_min(F.transform(leaves, judged))
 
@@ -269,7 +287,7 @@ def options_by_key(leaves: Column, at: Column, nodes: Column, scope: str = "/arg
     def judged(leaf: Column) -> Column:
         path, shape = (F.slice(F.split(leaf[n], "/"), depth + 1, F.lit(1 << 30)) for n in ("path", "shape"))
         node = F.array_join(F.concat(F.array(F.lit(scope), F.get(shape, F.lit(0))), F.slice(shape, 3, 1 << 30)), "/")
-        wrong = _leaf_error(leaf, F.try_element_at(nodes, node), leaves).isNotNull()
+        wrong = F.coalesce(_leaf_error(leaf, F.try_element_at(nodes, node), leaves, Column.isNotNull), F.lit(False))
         return F.struct(F.get(path, F.lit(0)).alias("key"), F.array_join(F.slice(path, 1, 2), "/").alias("option"), (F.size(path) == 2).alias("root"), leaf["kind"].alias("kind"), leaf["text"].alias("text"), wrong.alias("wrong"))
 
     return F.transform(inside, judged)
