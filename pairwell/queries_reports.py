@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.operators import replication, validation
-from pairwell.sources.stand_ins import dealt, table
+from pairwell.operators import pairing, profiles, replication, report, validation
+from pairwell.sources.stand_ins import COMPARISONS, dealt, runs, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONDITIONS = {"string": "signed_string", "integer": "integer"}
@@ -105,5 +105,38 @@ def val_04_report(spark, sf_dir):
     return counts.join(validation.gate(scope(found.filter("condition is not null")), counts), "scope").drop("scope", "run_signature")
 
 
+@query
+def snk_04_condition_table(spark, sf_dir):
+    """The lines of the report's table of conditions: four layers, negative answers, errors, caps, means."""
+    contract = F.col("correct") & F.col("strict")
+    flags = {"semantic": F.col("correct"), "external": F.col("strict"), "contract": contract, "internal": F.col("k") % 11 != 0}
+    found = profiles.layer_profile(runs(spark, sf_dir), ["condition"], flags, {"negative": F.count_if(F.startswith("answer", F.lit("-")))})
+    n = F.col("examples")
+    share = lambda name: report.share_cell(F.col(name), n)
+    cells = {"Condition": F.col("condition"), "n": n, "Semantic correctness": share("semantic_count"), "External validity": share("external_count"), "Contract-valid correctness": share("contract_count"), "Internal validity": share("internal_count")}
+    cells |= {"Negative answers": share("negative"), "Errors": F.col("errors"), "Cap hits": F.col("cap_hits"), "Avg latency ms": report.number_cell(F.col("latency_mean")), "Avg tokens": report.number_cell(F.col("tokens_mean"))}
+    return report.table_lines(found, cells, "condition")
+
+
+@query
+def snk_04_comparison_table(spark, sf_dir):
+    """The lines of the report's table of comparisons: difference with interval, items won and lost, exact p-value."""
+    arms = pairing.last_wins(runs(spark, sf_dir), ["item_id", "condition"])
+    counts = pairing.with_exact_interval(pairing.contingency(pairing.paired(arms, COMPARISONS, []), F.col("t.correct"), F.col("c.correct"), ["comparison"]))
+    won = F.concat_ws("/", F.col("treatment_only").cast("string"), F.col("control_only").cast("string"))
+    cells = {"Comparison": F.col("comparison"), "Paired n": F.col("pairs"), "Delta (95% CI)": report.interval_cell(F.col("delta"), F.col("bootstrap.low"), F.col("bootstrap.high")), "Treatment-only/control-only": won, "Exact p": report.significant("mcnemar_p")}
+    return report.table_lines(counts, cells, "comparison")
+
+
+@query
+def snk_06_repair_stage(spark, sf_dir):
+    """Items that a purchase gets right and both a signup and a view get wrong: what the arms repair, and whether they pass."""
+    last = pairing.last_wins(runs(spark, sf_dir), ["item_id", "condition"])
+    right = lambda name: F.max(F.when(F.col("condition") == name, F.col("correct")))
+    lost = last.groupBy("item_id").agg(right("purchase").alias("p"), right("signup").alias("s"), right("view").alias("v")).filter("p and not s and not v")
+    arms = last.filter(F.col("condition").isin("click", "error", "view")).select(F.col("condition").alias("arm"), "item_id", "correct", ((F.col("condition") == "error") | F.col("strict")).alias("valid"))
+    return report.repair_stage(lost, arms)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)

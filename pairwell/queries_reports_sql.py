@@ -37,4 +37,14 @@ SELECT role, condition, count(*) AS "rows", CASE WHEN role = 'O' AND condition =
        coalesce((SELECT string_agg("check", ',' ORDER BY "check") FROM failed WHERE failed.role = kept.role AND failed.condition = kept.condition), '') AS failed,
        NOT EXISTS (SELECT 1 FROM failed WHERE failed.role = kept.role AND failed.condition = kept.condition) AS passes
 FROM kept GROUP BY role, condition""",
+    "snk_04_condition_table": """
+WITH e AS (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events),
+s AS (SELECT event_type AS condition, count(*) AS n, count(*) FILTER (k % 2 = 0) AS semantic, count(*) FILTER (k % 5 <> 0 AND k % 3 = 0) AS external, count(*) FILTER (k % 5 <> 0 AND k % 6 = 0) AS contract,
+             count(*) FILTER (k % 11 <> 0) AS internal, count(*) FILTER (event_id % 4 = 0) AS negative, count(*) FILTER (k % 7 = 0) AS errors, count(*) FILTER (k >= 95) AS caps, avg(value) AS latency, avg(k) AS tokens
+      FROM e GROUP BY event_type),
+x AS (SELECT condition, n, [semantic, external, contract, internal, negative] AS c, errors, caps, latency, tokens FROM s)
+SELECT 0 AS position, '| Condition | n | Semantic correctness | External validity | Contract-valid correctness | Internal validity | Negative answers | Errors | Cap hits | Avg latency ms | Avg tokens |' AS line
+UNION ALL SELECT 1, '|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|---:|'
+UNION ALL SELECT row_number() OVER (ORDER BY condition) + 1, '| ' || condition || ' | ' || n || ' | ' || array_to_string(list_transform(c, lambda v: v || '/' || n || ' (' || printf('%.1f%%', v / CAST(n AS DOUBLE) * 100) || ')'), ' | ')
+  || ' | ' || errors || ' | ' || caps || ' | ' || printf('%.1f', latency) || ' | ' || printf('%.1f', tokens) || ' |' FROM x""",
 }

@@ -498,3 +498,21 @@ SELECT comparison, item_id, unnest(list_filter([CASE WHEN ca IS DISTINCT FROM ta
        CASE WHEN cst IS DISTINCT FROM tst THEN 'strict' END, CASE WHEN ce IS DISTINCT FROM te THEN 'error' END], lambda x: x IS NOT NULL)) AS field
 FROM pairs"""
 )
+
+SQL["snk_04_comparison_table"] = f"""
+WITH t AS (SELECT * FROM ({SQL["agg_11_paired_contingency"]}) JOIN ({SQL["agg_14_exact_bootstrap"]}) USING (comparison, pairs))
+SELECT 0 AS position, '| Comparison | Paired n | Delta (95% CI) | Treatment-only/control-only | Exact p |' AS line
+UNION ALL SELECT 1, '|---|---:|---:|---:|---:|'
+UNION ALL SELECT row_number() OVER (ORDER BY comparison) + 1, '| ' || comparison || ' | ' || pairs || ' | ' || printf('%.1f%%', delta * 100) || ' ([' || printf('%.1f%%', low * 100) || ', ' || printf('%.1f%%', high * 100) || ']) | '
+  || treatment_only || '/' || control_only || ' | ' || format('{{:.6g}}', mcnemar_p) || ' |' FROM t"""
+
+SQL["snk_06_repair_stage"] = (
+    _ARMS
+    + """,
+o AS (SELECT item_id, bool_or(correct) FILTER (condition = 'purchase') AS p, bool_or(correct) FILTER (condition = 'signup') AS s, bool_or(correct) FILTER (condition = 'view') AS v FROM arms GROUP BY item_id),
+lost AS (SELECT item_id FROM o WHERE p AND NOT s AND NOT v)
+SELECT condition AS arm, count(*) FILTER (item_id IN (FROM lost)) AS available, count(*) FILTER (item_id IN (FROM lost) AND correct) AS repaired,
+       count(*) FILTER (NOT (condition = 'error' OR coalesce(strict, false))) AS invalid,
+       count(*) FILTER (item_id IN (FROM lost) AND correct) >= 5 AND count(*) FILTER (NOT (condition = 'error' OR coalesce(strict, false))) = 0 AS passes
+FROM arms WHERE condition IN ('click', 'error', 'view') GROUP BY condition"""
+)
