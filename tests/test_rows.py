@@ -138,6 +138,24 @@ def test_stream_takes_late_rows_and_no_repeats_at_any_age(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(want)
 
 
+def test_a_batch_reads_only_its_signatures_partitions(spark, tmp_path):
+    schema = "run_signature string, item_id string, timestamp string, condition string, error string"
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+    go = lambda: resume.append_scored(resume.arriving(spark, src, schema), lambda d: d.withColumn("ok", F.lit(True)), out, ck).awaitTermination()
+    line = lambda s, i: json.dumps({"run_signature": s, "item_id": i, "timestamp": None, "condition": "c", "error": None}) + "\n"
+    (tmp_path / "in" / "1.json").write_text("".join(line(s, "a") for s in ("007", "7", "", None, "x/y=z")))
+    go()
+    keys = lambda: sorted(str(r.run_signature) + ":" + r.item_id for r in spark.read.parquet(out).collect())
+    assert keys() == sorted(["007:a", "7:a", ":a", "None:a", "x/y=z:a"])
+    (tmp_path / "in" / "2.json").write_text("".join(line(s, i) for s in ("007", "7", "", None, "x/y=z") for i in "ab"))
+    go()
+    assert keys() == sorted(f"{s}:{i}" for s in ("007", "7", "", None, "x/y=z") for i in "ab")
+    plan = resume.not_in(spark.createDataFrame([("7", "a"), ("7", "c")], "run_signature string, item_id string"), out)
+    assert [r.item_id for r in plan.collect()] == ["c"]
+    assert "PartitionFilters: [isnotnull(signature_part" in plan._jdf.queryExecution().toString()
+
+
 def test_windowed_progress(spark):
     rows = frame(spark, [("c", "2024-01-01 00:01:00", None), ("c", "2024-01-01 00:09:00", "x"), ("c", "2024-01-01 00:11:00", None)], "condition string, timestamp string, error string")
     got = resume.windowed_progress(rows.withColumn("timestamp", F.to_timestamp("timestamp"))).orderBy("window").collect()
