@@ -72,10 +72,15 @@ def text_key(col: str = "text") -> Column:
 KEY_BITS = 1 << 25
 
 
-def key_bits(keys: DataFrame) -> DataFrame:
+def bits_of(keys: DataFrame) -> DataFrame:
     """bucket and bitmap: KEY_BITS bits, of which each key (the binary column tkey) sets one."""
     place = F.pmod(F.xxhash64("tkey"), F.lit(KEY_BITS)) + 1
-    return cut(keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")))
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """bits_of(), computed once."""
+    return cut(bits_of(keys))
 
 
 def with_bit(rows: DataFrame, bits: DataFrame, key: str, name: str) -> DataFrame:

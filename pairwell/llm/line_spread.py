@@ -3,7 +3,8 @@
 A line is boilerplate if it stands on min_sites distinct sites or more. Each line hash gets a HyperLogLog
 sketch of its sites, built per task and merged by aggregation. Where the estimate lies within band of the
 threshold, the line's distinct sites are counted exactly. Only hashes and positions are written and shuffled for
-this; a text is rebuilt once, and only the positions to drop are joined to it.
+this; a text is rebuilt once, and only the positions to drop are joined to it. Only texts that a table of key bits
+marks as losing lines are shuffled; the others pass by.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import cut, text_key, without, written
+from pairwell.llm.common import bits_of, cut, text_key, with_bit, without, written
 
 MIN_SITES = 5
 #: Sketches have 2**LOG_BUCKETS buckets: a standard error of about 1.6 %.
@@ -58,8 +59,11 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     spread = spread_lines(each, min_sites, band)
     drops = each.select("tkey", "pos", "h", "g").join(spread, ["h", "g"]).groupBy("tkey").agg(F.collect_set("pos").alias("gone"))
     drops = cut(drops)  # as above, for a text with very many copies
-    rows = docs.select(row, "text", text_key().alias("key")).join(drops, F.col("key") == F.col("tkey"), "left")
-    parts = F.split("text", "\n", -1)
+    marked = with_bit(docs.select(row, text_key().alias("key")), cut(bits_of(drops)), "key", "loses")
+    rows = marked.filter("loses").join(drops, F.col("key") == F.col("tkey"), "left").select("row", "gone")
+    rows = rows.unionByName(marked.filter("not loses").select("row", F.lit(None).cast("array<int>").alias("gone")))
+    text = F.col("row.text")
+    parts = F.split(text, "\n", -1)
     # positions to keep by one hashed difference, then each line by its position; the lines are bound to a variable,
     # as an expression would be split anew for each of them
     stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone")
@@ -67,7 +71,7 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     full = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
     return rows.select(
         "row.*",
-        F.when(F.col("text").isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
+        F.when(F.col("gone").isNull(), text).otherwise(clean).alias("clean_text"),
     )
