@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Fixed value: the two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
+#: Discordant pairs up to which a binomial coefficient times a row of its triangle stays below 2**53.
+EXACT = 48
 
 
 def rate_known(flag: Column) -> Column:
@@ -48,7 +50,8 @@ def mcnemar(treatment_only: Column, control_only: Column) -> Column:
     """Two-sided exact McNemar p-value, 1 without discordant pairs.
 
     The binomial tail is summed from its largest term down; terms beyond a dozen standard deviations vanish
-    in double precision, so the work grows with the root of the number of pairs.
+    in double precision, so the work grows with the root of the number of pairs. Up to EXACT discordant pairs
+    whole coefficients are summed, which doubles hold without error, so p-values halfway between two spellings stay there.
     """
     n = (treatment_only + control_only).cast("long")
     k = F.least(treatment_only, control_only).cast("long")
@@ -61,7 +64,14 @@ def mcnemar(treatment_only: Column, control_only: Column) -> Column:
         return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
     tail = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<long>")), state, add, lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
+
+    def add_whole(s: Column, j: Column) -> Column:
+        term = s["term"] * (n - j + 1) / j
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    whole = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), state, add_whole, lambda s: s["sum"])
+    exact = F.least(F.lit(1.0), whole / F.pow(F.lit(2.0), n - 1))
+    return F.when(n == 0, 1.0).when(n <= EXACT, exact).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
 
 
 def _exact_quantiles(n: int, up: int, down: int) -> tuple[float, float]:

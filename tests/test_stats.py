@@ -71,3 +71,11 @@ def test_null_policies(spark):
     got = rows.agg(stats.rate_known(F.col("x")).alias("a"), stats.rate_all(F.col("x")).alias("b")).first()
     assert (got.a, got.b) == (0.5, 0.25)
     assert rows.filter("x is null").agg(stats.rate_known(F.col("x")).alias("a")).first().a is None
+
+
+def test_mcnemar_of_few_pairs_is_exact(spark):
+    """2/6 is 37/128: spelled with six digits, a value above it by one bit ends in 3, not 2."""
+    pairs = [(t, c) for n in range(1, stats.EXACT + 1) for t, c in {(n // 2, n - n // 2), (n // 3, n - n // 3), (0, n), (2 * n // 3, n - 2 * n // 3)}] + [(2, 6)]
+    rows = spark.createDataFrame(pairs, "t long, c long").select("t", "c", stats.mcnemar(F.col("t"), F.col("c")).alias("p")).collect()
+    for r in rows:
+        assert r.p == min(1.0, 2 * sum(math.comb(r.t + r.c, i) for i in range(min(r.t, r.c) + 1)) / 2 ** (r.t + r.c)), r
