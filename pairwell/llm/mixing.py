@@ -186,17 +186,27 @@ def planned(sized: DataFrame, weight: Callable[[Column], Column] | None = None,
     copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     missed = (F.col("epochs") == 0) & (F.col("part") == 0)
 
-    def place(k: Column) -> Column:
-        """The training position of the k-th copy: where the middle of its words lies in its source's demand."""
+    def share(k: Column) -> Column:
+        """The share of its source's demand at which the middle of the k-th copy's words lies."""
         u = (k * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
-        u = F.when(missed, F.greatest(u, F.lit(1.0)) + 1e-9).otherwise(F.least(u, F.lit(1.0)))
+        return F.when(missed, F.greatest(u, F.lit(1.0)) + 1e-9).otherwise(F.least(u, F.lit(1.0)))
+
+    def moment(u: Column) -> Column:
+        """The time of a share, by the schedule of the source."""
         out = u
         for i, knots in enumerate(schedules):
             out = F.when(F.col("rank") % len(schedules) == i, inverse(u, knots)).otherwise(out)
-        trained = sum((integral(out, knots) * (shares.get(i, 0.0) / total) for i, knots in enumerate(schedules)), F.lit(0.0)) if total else out
-        return F.when(missed, out).otherwise(F.least(trained, F.lit(1.0)))
+        return out
+
+    def place(t: Column) -> Column:
+        """The training position at a time."""
+        trained = sum((integral(t, knots) * (shares.get(i, 0.0) / total) for i, knots in enumerate(schedules)), F.lit(0.0)) if total else t
+        return F.when(missed, t).otherwise(F.least(trained, F.lit(1.0)))
 
+    # step by step: one expression of all three, in which each holds the one before many times over, is costly to plan and to compile
     line = line.withColumn("copies", copies)
+    kth = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("copies"), F.lit(1)) - 1)
+    line = line.withColumn("positions", F.transform(F.transform(F.transform(kth, share), moment), place))
     return line.select(
         "doc_id",
         "source",
@@ -206,8 +216,8 @@ def planned(sized: DataFrame, weight: Callable[[Column], Column] | None = None,
         "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         "copies",
-        place(F.lit(0)).alias("position"),
-        F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("copies"), F.lit(1)) - 1), place).alias("positions"),
+        F.get("positions", F.lit(0)).alias("position"),
+        "positions",
     )
 
 

@@ -246,3 +246,10 @@ def test_query_shards(spark):
     rows = queries.op8_sampled_shards(spark, "/root/testdata/sf0.01").collect()
     check_shards(rows, 0.05)
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+
+
+def test_positions_are_planned_step_by_step(spark):
+    """The plan holds no expression within itself many times over, which driver and executors would have to hold and compile."""
+    docs = spark.createDataFrame([(i, "a b", "en", "xy"[i % 2], 1) for i in range(20)], helpers.SCHEMA)
+    plan = mixing.curriculum(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
