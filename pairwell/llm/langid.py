@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.llm.common import id_fold, mix, slices, without, written
+from pairwell.llm.common import id_fold, lean, mix, slices, without, written
 
 ORDER = 5
 #: Labelled documents a language that the models learn from and are calibrated on, and the share of the latter.
@@ -358,7 +358,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~predicted(shared.value, batch)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def default_learn() -> Column:

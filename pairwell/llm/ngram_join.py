@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import ALNUM, Words, byte_texts, cut, key_bits, mix, slices, text_key, with_bit, written
+from pairwell.llm.common import ALNUM, Words, byte_texts, cut, key_bits, lean, mix, slices, text_key, with_bit, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tkey", "labels", "size", "bytes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey binary, labels array<long>, size int, bytes long")
+    return docs.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(lean(run), f"doc_id {kind}, tkey binary, labels array<long>, size int, bytes long")
 
 
 def distinct_texts(sig: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def forest(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         for d, part in last.items():
             yield end_entry(part, d)
 
-    edges = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, schema))
+    edges = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(scan), schema))
     ends = sorted((r.depth, r.tree, r.label, r.a, r.closes) for r in edges.filter("b is null").collect())  # two rows a task and round
     between = [(a, b, d, shared_bytes(x ^ y)) for (d, t, x, a, p), (e, u, y, b, q) in zip(ends, ends[1:], strict=False) if (d, t) == (e, u) and a != b and d in (p, q) and shared_bytes(x ^ y) >= d]
     edges = edges.filter("b is not null").select("a", "b", "depth", "shared")
@@ -259,7 +259,7 @@ def blocked(texts: DataFrame, groups: DataFrame, block: int, block_bytes: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tkey", "copies", "least", "root")), pa.array(out, pa.int64())], names=["tkey", "copies", "least", "root", "block"])
 
     kind = texts.schema["least"].dataType.simpleString()
-    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(deal, f"tkey binary, copies long, least {kind}, root binary, block long"))
+    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(deal), f"tkey binary, copies long, least {kind}, root binary, block long"))
     many = cut(rows.groupBy("root", "block").agg(F.lit(1).alias("one")).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.lit(True).alias("more")))
     return cut(rows.join(many, "root", "left").select("tkey", "copies", "least", "root", "block", F.coalesce("more", F.lit(False)).alias("shared")))
 
@@ -282,7 +282,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 sets = [np.unique(h[s:e]).astype("<u8").tobytes() for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
-    return written(rows.mapInArrow(run, "tkey binary, copies long, root binary, block long, shared boolean, shingles binary"))
+    return written(rows.mapInArrow(lean(run), "tkey binary, copies long, root binary, block long, shared boolean, shingles binary"))
 
 
 def slot_counts(sets: DataFrame) -> np.ndarray:

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -26,3 +28,28 @@ class _Session:
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(_Session)
+
+
+def test_a_lean_function_leaves_no_freed_batches_behind():
+    """A worker that has passed large batches on holds little of their memory after."""
+    code = r"""
+import re
+import pyarrow as pa
+from pairwell.llm.common import byte_texts, lean
+
+def held():
+    return sum(map(int, re.findall(r"RssAnon:\s+(\d+)", open("/proc/self/status").read()))) >> 10
+
+def run(batches):
+    for batch in batches:
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "label": pa.array([x + b"!" for x in byte_texts(batch.column("text"))][::40])[:1].take(pa.array([0] * batch.num_rows))})
+
+def made():
+    for _ in range(3):
+        yield pa.record_batch({"doc_id": pa.array(range(10_000)), "text": pa.array([str(n) * 300 for n in range(10_000)])})
+
+before = held()
+assert sum(b.num_rows for b in lean(run)(made())) == 30_000
+assert held() - before < 40, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
