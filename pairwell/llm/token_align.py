@@ -34,6 +34,8 @@ PASS_BYTES = 1 << 18
 HEAVY = 1 << 20
 #: Stretches whose tokens a worker remembers; then it begins anew. And those tokenized at once.
 MEMO, ENCODE = 200_000, 4096
+#: Stretches that are tokenized as one text.
+JOIN = 64
 #: Ends of one block of the search, which begins where the block before it ended.
 BLOCK = 4096
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -74,32 +76,58 @@ class Tokenizers:
 
     def encode(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B of stretches that begin with a blank, laid end to end, and how many each stretch has. A
-        stretch that a tokenizer does not give back byte for byte has none."""
+        stretch that a tokenizer does not give back byte for byte has none. Up to JOIN of them are tokenized as one
+        text, and each by itself where such a text does not come back or has a token across two of them."""
+        groups = [stretches[at : at + JOIN] for at in range(0, len(stretches), JOIN)]
+        texts = ["".join(g) for g in groups]
+        joined = [[x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        out: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []), ([], [])]
+        for g, text, *both in zip(groups, texts, *joined, strict=True):
+            raw = text.encode()
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, g)) if len(raw) > len(text) else map(len, g), np.int64, len(g)))
+            found = []
+            apart = text == " " or any(map(str.isspace, {x[-1] for x in g[:-1]}))
+            for ids, table, size in zip(both, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
+                if apart or b"".join(map(table.__getitem__, ids)) != raw:
+                    break
+                ids = np.array(ids, np.int64)
+                stop = np.cumsum(size[ids])
+                at = np.searchsorted(stop, ends)
+                if (stop[at] != ends).any():
+                    break
+                found.append((ids, np.diff(at, prepend=-1)))
+            for side, (ids, n) in zip(out, found if len(found) == 2 else self.each(g), strict=True):
+                side[0].append(ids)
+                side[1].append(n)
+        return [(np.concatenate(ids), np.concatenate(n)) for ids, n in out]
+
+    def each(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """encode() of stretches tokenized one by one."""
         sides = [[x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)], self.b.encode([s[1:] for s in stretches], num_threads=1)]
         for i, s in enumerate(stretches):
             if s == " ":  # a text's last blank, which B would take for an empty text
                 sides[1][i] = [self.b.piece_to_id("▁")]
-        whole = "".join(stretches).encode()
         for ids, table in zip(sides, (self.a_bytes, self.b_bytes), strict=True):
-            if b"".join(map(table.__getitem__, chain.from_iterable(ids))) != whole:
-                for i, s in enumerate(stretches):
-                    if b"".join(map(table.__getitem__, ids[i])) != s.encode():
-                        sides[0][i] = sides[1][i] = []
+            for i, s in enumerate(stretches):
+                if b"".join(map(table.__getitem__, ids[i])) != s.encode():
+                    sides[0][i] = sides[1][i] = []
         return [(np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))) for ids in sides]
 
     def numbers(self, stretches: list[str]) -> np.ndarray:
         """Where the ids of each stretch stand in the memo; new ones are tokenized."""
-        new = list(set(stretches) - self.memo.keys())
+        known = list(map(self.memo.get, stretches))
+        new = list(dict.fromkeys(x for x, i in zip(stretches, known, strict=True) if i is None))
         if len(self.memo) + len(new) > MEMO:
             self.forget()
-            new = list(set(stretches))
+            new, known = list(dict.fromkeys(stretches)), [None]
+        new.sort(key=lambda x: x[-1].isspace())  # those are not joined
         made = [self.encode(new[at : at + ENCODE]) for at in range(0, len(new), ENCODE)]
         for side in (0, 1) if new else ():
             self.ids[side] = np.concatenate([self.ids[side], *(m[side][0] for m in made)])
             self.size[side] = np.concatenate([self.size[side], *(m[side][1] for m in made)])
             self.begin[side] = np.cumsum(self.size[side]) - self.size[side]
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-        return np.fromiter(map(self.memo.__getitem__, stretches), np.int64, len(stretches))
+        return np.array(list(map(self.memo.__getitem__, stretches)) if new else known, np.int64)
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
@@ -130,14 +158,10 @@ def ranks(few: np.ndarray, many: np.ndarray) -> np.ndarray:
             high[open_:inside] = bound
             low[max(inside, open_) :] = bound
             open_, step = max(inside, open_), step * 2
-        while True:
-            on = low < high
-            if not on.any():
-                break
-            middle = (low + high) >> 1
-            less = on & (many[np.minimum(middle, len(many) - 1)] < want)
-            low = np.where(less, middle + 1, low)
-            high = np.where(on & ~less, middle, high)
+        half = 1 << int((high - low).max()).bit_length()
+        while half := half >> 1:
+            probe = np.minimum(low + half, high)
+            low = np.where(many[probe - 1] < want, probe, low)
         out[at : at + len(want)] = low
         origin = int(low[-1])
     return out

@@ -117,3 +117,21 @@ def test_a_long_text_is_as_its_parts(spark):
 
 def test_empty_table(spark):
     assert token_align.aligned(empty_docs(spark)).count() == 0
+
+
+def test_stretches_are_tokenized_together(both, monkeypatch):
+    """Few calls' worth of texts, and the ids and counts of stretches tokenized one by one, odd ones too."""
+    real, texts = both.b, []
+
+    class Spy:
+        encode = staticmethod(lambda x, **more: texts.extend(x) or real.encode(x, **more))
+        piece_to_id = staticmethod(real.piece_to_id)
+
+    monkeypatch.setattr(both, "b", Spy())
+    plain_ones = [f" w{i}é" for i in range(640)]
+    together = both.encode(plain_ones)
+    assert len(texts) <= 640 / 32
+    odd = [*plain_ones[:70], " ﬁne", "  x", " <s>", " a\n", " ", " \x1c", *plain_ones[70:90]]
+    for got, want in ((together, both.each(plain_ones)), (both.encode(odd), both.each(odd))):
+        for (ids, n), (a, b) in zip(got, want, strict=True):
+            assert ids.tolist() == a.tolist() and n.tolist() == b.tolist()
