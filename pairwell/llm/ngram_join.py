@@ -13,7 +13,9 @@ Candidates are joined to groups and dealt to blocks of bounded count and bytes,
 block are verified exactly; two blocks of a group only if they share a shingle that is among the rarest of a
 text in each, as the texts of every link across them must (rare_prefix). So groups that many weak candidates
 hold together, such as texts of one template, cost little more than their blocks. Rarity is read from counts in
-a fixed number of slots, which affects the cost only.
+a fixed number of slots, which affects the cost only. Where most blocks of a group meet, as in a group of near
+copies, its sets are sent by tiles of blocks, of which a group has about TILES, and not once for each other
+block; tiles are bounded, so beyond TILES * TILE blocks the sets sent grow with the square again, as links do.
 
 Verification compares 64-bit hashes of shingles, not their words: two different shingles are taken for one with
 a chance of 2**-64 a pair. Copies (equal texts) are counted, not compared.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwell.llm.common import ALNUM, Words, byte_texts, cut, key_bits, lean, mix, slices, text_key, with_bit, written
@@ -36,8 +38,10 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 8
 RECALL = 0.999
-#: Texts of a block, and bytes of text where one block holds more than one; a unit compares two blocks.
+#: Texts of a block, and bytes of text where one block holds more than one.
 BLOCK, BLOCK_BYTES = 96, 16 << 20
+#: Blocks of a tile at most, and tiles that a group is dealt to until its tiles are full; a unit compares blocks of two tiles.
+TILE, TILES = 8, 64
 #: Sets up to this size have a closing depth of their own; sizes are told apart up to SIZES.
 SHORT, SIZES = 64, 128
 #: Slots of the counts that tell rare shingles.
@@ -239,8 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def blocked(texts: DataFrame, groups: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """tkey, copies, least, root, block and shared of the texts of groups (node, root): blocks of up to so many
-    texts and bytes (one text at least) in label order. shared says that the group has several blocks."""
+    """tkey, copies, least, root, block, tile and shared of the texts of groups (node, root): blocks of up to so many
+    texts and bytes (one text at least) in label order. tile is the first block of a run of up to TILE blocks in which the
+    bytes pass a multiple of block_bytes nowhere but at its end. shared says that the group has several blocks."""
     rows = groups.join(texts.withColumnRenamed("tkey", "node"), "node")
     rows = cut(rows.select(F.col("node").alias("tkey"), "copies", "least", "root", F.element_at("labels", 1).alias("label"), "bytes"))
     order = ["root", "label", "tkey"]
@@ -256,12 +261,17 @@ def blocked(texts: DataFrame, groups: DataFrame, block: int, block_bytes: int =
                     name, n, held, root = name + 1, 0, 0, r
                 n, held = n + 1, held + size
                 out.append(name)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tkey", "copies", "least", "root")), pa.array(out, pa.int64())], names=["tkey", "copies", "least", "root", "block"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tkey", "copies", "least", "root", "bytes")), pa.array(out, pa.int64())], names=["tkey", "copies", "least", "root", "bytes", "block"])
 
     kind = texts.schema["least"].dataType.simpleString()
-    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(deal), f"tkey binary, copies long, least {kind}, root binary, block long"))
-    many = cut(rows.groupBy("root", "block").agg(F.lit(1).alias("one")).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root", F.lit(True).alias("more")))
-    return cut(rows.join(many, "root", "left").select("tkey", "copies", "least", "root", "block", F.coalesce("more", F.lit(False)).alias("shared")))
+    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(deal), f"tkey binary, copies long, least {kind}, root binary, bytes long, block long"))
+    # a row a block from here
+    group = Window.partitionBy("root")
+    before = group.orderBy("block")
+    blocks = cut(rows.groupBy("root", "block").agg(F.sum("bytes").alias("bytes"))).withColumns({"n": F.count("*").over(group), "nth": F.row_number().over(before) - 1, "end": F.sum("bytes").over(before)})
+    many = blocks.filter("n > 1").withColumns({"run": F.floor(F.col("nth") / F.least(F.lit(TILE), F.ceil(F.col("n") / TILES))), "part": F.floor((F.col("end") - F.col("bytes")) / block_bytes)})
+    many = cut(many.select("block", F.min("block").over(Window.partitionBy("root", "run", "part")).alias("tile")))
+    return cut(rows.join(many, "block", "left").select("tkey", "copies", "least", "root", "block", F.coalesce("tile", "block").alias("tile"), F.col("tile").isNotNull().alias("shared")))
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), text_key().alias("tkey"), "text")
     texts = with_bit(texts, key_bits(members), "tkey", "near").filter("near")
-    names = ["tkey", "copies", "root", "block", "shared"]
+    names = ["tkey", "copies", "root", "block", "tile", "shared"]
     rows = texts.join(members, "tkey").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("tkey").agg(*(F.first(c).alias(c) for c in (*names[1:], "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +292,16 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 sets = [np.unique(h[s:e]).astype("<u8").tobytes() for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
-    return written(rows.mapInArrow(lean(run), "tkey binary, copies long, root binary, block long, shared boolean, shingles binary"))
+    return written(rows.mapInArrow(lean(run), "tkey binary, copies long, root binary, block long, tile long, shared boolean, shingles binary"))
 
 
-def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of the sets fall into each of SLOTS slots."""
+def by_block(sets: DataFrame) -> DataFrame:
+    """The sets of groups of several blocks, those of a block in one task: what they have in common is then counted and listed once."""
+    return written(sets.filter("shared").repartitionByRange("block"))
+
+
+def slot_rows(sets: DataFrame) -> DataFrame:
+    """slot and n: of each task the slots that shingles of its sets fall into, so at most a row a shingle, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -295,7 +310,12 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["slot", "n"])
 
-    found = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    return sets.select("shingles").mapInArrow(run, "slot int, n long")
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each of SLOTS slots."""
+    found = slot_rows(sets).groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     out = np.ones(SLOTS, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -335,12 +355,19 @@ def block_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def units(sets: DataFrame, threshold: float) -> DataFrame:
-    """The sets by unit (low, high): every block by itself, and the pairs of blocks that may hold a link across."""
-    large = sets.filter("shared")
+    """The sets by unit (low, high): every block by itself, and pairs of tiles (the first block of one, the last of the other).
+
+    against has the blocks of the unit that a set's own block is compared with, each pair of blocks on one side only:
+    those that may hold a link across.
+    """
+    large = by_block(sets)
+    tiles = cut(large.select("block", "tile").distinct()).withColumn("last", F.max("block").over(Window.partitionBy("tile")))
     pairs = block_pairs(large, threshold)
-    ends = pairs.select(F.col("low").alias("block"), "low", "high").unionByName(pairs.select(F.col("high").alias("block"), "low", "high"))
-    names = ["tkey", "block", "copies", "shingles", "low", "high"]
-    alone = sets.withColumns({"low": F.col("block"), "high": F.col("block")})
+    pairs = pairs.join(tiles.select(F.col("block").alias("low"), "tile"), "low").join(tiles.select(F.col("block").alias("high"), "last"), "high")
+    ends = pairs.select(F.col("low").alias("block"), "tile", "last", F.col("high").alias("other")).unionByName(pairs.select(F.col("high").alias("block"), "tile", "last", F.lit(None).cast("long").alias("other")))
+    ends = cut(ends.groupBy("block", F.col("tile").alias("low"), F.col("last").alias("high")).agg(F.collect_list("other").alias("against")))
+    names = ["tkey", "block", "copies", "shingles", "low", "high", "against"]
+    alone = sets.withColumns({"low": F.col("block"), "high": F.col("block"), "against": F.array("block")})
     return alone.select(*names).unionByName(large.join(ends, "block").select(*names))
 
 
@@ -351,13 +378,20 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
         keys = unit["tkey"].to_pylist()
         order = sorted(range(len(keys)), key=keys.__getitem__)
         keys = [keys[i] for i in order]
-        block = unit["block"].to_numpy()[order]
         copies = unit["copies"].to_numpy()[order]
         sets = [np.frombuffer(unit["shingles"][i].as_py(), "<u8") for i in order]
-        near = similar(sets, threshold)
-        lo, hi = unit["low"][0].as_py(), unit["high"][0].as_py()
-        if lo != hi:
-            near &= block[:, None] != block[None, :]
+        held: dict[int, list[int]] = {}
+        for i, name in enumerate(unit["block"].to_numpy()[order].tolist()):
+            held.setdefault(name, []).append(i)
+        near = np.zeros((len(keys), len(keys)), bool)
+        for own in held.values():
+            for other in unit["against"][order[own[0]]].as_py():
+                rest = [] if held[other] is own else held[other]
+                found = similar([sets[i] for i in own + rest], threshold)
+                if rest:
+                    found = found[: len(own), len(own) :]
+                    near[np.ix_(rest, own)] = found.T
+                near[np.ix_(own, rest or own)] = found
         n = near.sum(1)
         weight = near @ copies
         hub = np.arange(len(keys))
@@ -394,9 +428,10 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         row, col = row[by], col[by]
         width = max(1, 4_000_000 // m)
         total = np.zeros((m, m), np.float64)
-        for a in range(0, int(shared.sum()), width):
+        columns = int(shared.sum())
+        for a in range(0, columns, width):
             s, e = np.searchsorted(col, [a, a + width])
-            part = np.zeros((m, width), np.float32)
+            part = np.zeros((m, min(width, columns - a)), np.float32)
             part[row[s:e], col[s:e] - a] = 1
             total += part @ part.T
         common = np.rint(total).astype(np.int64)

@@ -67,6 +67,49 @@ def test_a_large_group_in_many_blocks(spark):
     assert helpers.rows_of(got, "doc_id", "class_id", "n_links") == brute(docs)
 
 
+def near_copies_of_one(n, words=60):
+    rng = random.Random(n)
+    body = helpers.prose(9, words, 5000)
+    docs = []
+    for i in range(n):
+        copy = list(body)
+        copy[rng.randrange(len(copy))] = f"q{i}"
+        docs.append((i, " ".join(copy), "en", "s", 1))
+    return docs
+
+
+def grouped_sets(spark, docs, block):
+    frame = spark.createDataFrame(docs, helpers.SCHEMA)
+    texts = ngram_join.cut(ngram_join.distinct_texts(ngram_join.signatures(frame)))
+    return ngram_join.shingle_sets(frame, ngram_join.blocked(texts, ngram_join.components(ngram_join.forest(texts)), block))
+
+
+def test_sets_sent_grow_with_the_group_not_its_square(spark):
+    n = 600
+    docs = near_copies_of_one(n)
+    sets = grouped_sets(spark, docs, block=2)
+    blocks = sets.select("block").distinct().count()
+    assert blocks >= n / 2  # each of which may hold links to all others
+    assert ngram_join.units(sets, 0.8).count() <= n * (ngram_join.TILES + 10)
+    got = ngram_join.joined(spark.createDataFrame(docs, helpers.SCHEMA), block=2)
+    assert helpers.rows_of(got, "doc_id", "class_id", "n_links") == brute(docs)
+
+
+def test_slots_are_counted_once_a_block(spark):
+    """Sets that lie anywhere make no more rows than their blocks have different shingles, and twice the blocks twice as many."""
+    rng = random.Random(2)
+    body = rng.sample(range(1 << 60), 60)
+    rows = {}
+    for blocks in (10, 20):
+        sets = [(i % blocks, sorted([*body[1:], rng.randrange(1 << 60)])) for i in range(blocks * 16)]
+        frame = spark.createDataFrame([(k, True, ngram_join.np.array(h, "<u8").tobytes()) for k, h in sets], "block long, shared boolean, shingles binary").repartition(blocks * 4)
+        counted = ngram_join.slot_rows(ngram_join.by_block(frame)).cache()
+        rows[blocks] = counted.count()
+        assert counted.agg(F.sum("n")).first()[0] == 60 * len(sets)
+        assert rows[blocks] <= sum(len({x for k, h in sets if k == b for x in h}) for b in range(blocks))
+    assert rows[20] <= 2.1 * rows[10]
+
+
 def test_one_of_each(spark):
     docs = near_copies() + helpers.odd_rows()
     frame = helpers.clashing(spark.createDataFrame(docs, helpers.SCHEMA), ["tkey", "class_id", "__row"])
