@@ -169,12 +169,17 @@ def _compiled(text: str | None, tool: str | None, integers: bool | None) -> dict
 def _compile(texts: pa.Array, tools: pa.Array, integers: pa.Array) -> pa.Array:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = [_compiled(*x) for x in zip(texts.to_pylist(), tools.to_pylist(), integers.to_pylist(), strict=True)]
-    return pa.array(rows, to_arrow_type(COMPILED))
+    asked = list(zip(texts.to_pylist(), tools.to_pylist(), integers.to_pylist(), strict=True))
+    place = {x: i for i, x in enumerate(dict.fromkeys(asked))}
+    made = pa.array([_compiled(*x) for x in place], to_arrow_type(COMPILED))
+    return made.take(pa.array([place[x] for x in asked], pa.int64()))
 
 
 def compiled(text: Column, tool: Column | None = None, integers: bool = True) -> Column:
-    """problem and nodes of a document's text; with tool, of the call of a tool (its name) whose own schema the text is."""
+    """problem and nodes of a document's text; with tool, of the call of a tool (its name) whose own schema the text is.
+
+    An Arrow batch compiles each of its documents once, so rows of few documents need no join with them.
+    """
     return _compile(text, F.lit(None).cast("string") if tool is None else tool, F.lit(integers))
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def test_documents_of_a_column(spark):
     assert all(got[i, j] == (True, None) for i in (1, 3) for j in range(3))
     text = schemas.with_nodes(frame, "doc", "tool", integers=False).filter("i = 2").first()
     assert "minimum" in text.problem
+
+
+def test_a_batch_compiles_each_document_once(monkeypatch):
+    seen, one = [], schemas._compiled
+    monkeypatch.setattr(schemas, "_compiled", lambda *x: seen.append(x) or one(*x))
+    docs = [json.dumps(TOOL), None, "{", json.dumps(TOOL), "{", json.dumps(TOOL), None]
+    tools, integers = ["t", "t", "t", "t", "t", "u", None], [True] * 7
+    got = schemas._compile.func(*map(pa.array, (docs, tools, integers)))
+    want = [one(*x) for x in zip(docs, tools, integers, strict=True)]
+    assert [x["problem"] for x in got.to_pylist()] == [x["problem"] for x in want]
+    assert [x["nodes"] and [k for k, _ in x["nodes"]] for x in got.to_pylist()] == [x["nodes"] and [k for k, _ in x["nodes"]] for x in want]
+    assert len(seen) == 5
+    assert schemas._compile.func(*(pa.array([], t) for t in (pa.string(), pa.string(), pa.bool_()))).to_pylist() == []
